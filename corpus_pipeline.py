@@ -1,10 +1,14 @@
-"""A corpus pipeline of the operators in ``spanloom.llm``."""
+"""A corpus pipeline of the operators in ``spanloom.llm``.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before
+it kept. Between stages the rows are written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import quality_rules
+from spanloom.llm import mixing, near_dedup, packing, quality_rules, secrets
 from spanloom.llm.common import stored, table
 
 
@@ -13,7 +17,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judged_documents(docs)
 
 
-STAGES = [("quality rules", quality)]
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return near_dedup.deduplicated(docs)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced in their texts."""
+    return secrets.redacted_documents(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and the sequence that each is in."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality rules", quality), ("near-duplicates", dedup), ("secret scan", redact), ("source mixing", mix), ("best-fit packing", pack)]
+#: Decoding, sampling and balancing have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
