@@ -150,11 +150,18 @@ def flatten_threads(posts: DataFrame) -> DataFrame:
     return one.select("top", F.lit(1).alias("depth"), "uri").union(two.select("top", F.lit(2), "uri"))
 
 
-def time_window_match(talks: DataFrame, vods: DataFrame) -> DataFrame:
+def time_window_match(talks: DataFrame, vods: DataFrame, bucket_s: int = 3600) -> DataFrame:
     """(uri, vod_uri, offset_s, covered_s, confidence): recordings of the room that run at the talk's start; the one
-    that covers most is primary. Talks without one have confidence 0."""
+    that covers most is primary. Talks without one have confidence 0.
+
+    A recording is dealt to the hours it runs in, a talk to its starting hour, so
+    the join is on (room, hour) and no room meets all its recordings.
+    """
     v = vods.select("vod_uri", "room", (F.col("created_at") - F.make_dt_interval(secs=F.col("duration_s"))).alias("v_start"), F.col("created_at").alias("v_end"))
-    hits = talks.join(v, "room").where((F.col("v_start") <= F.col("starts_at")) & (F.col("starts_at") < F.col("v_end")))
+    hour = F.sequence(F.floor(F.unix_timestamp("v_start") / bucket_s), F.floor(F.unix_timestamp("v_end") / bucket_s))
+    v = v.withColumn("_hour", F.explode(hour))
+    starts = talks.withColumn("_hour", F.floor(F.unix_timestamp("starts_at") / bucket_s))
+    hits = starts.join(v, ["room", "_hour"]).where((F.col("v_start") <= F.col("starts_at")) & (F.col("starts_at") < F.col("v_end")))
     offset = F.unix_timestamp("starts_at") - F.unix_timestamp("v_start")
     covered = F.unix_timestamp(F.least("v_end", "ends_at")) - F.unix_timestamp("starts_at")
     best = hits.withColumns({"offset_s": offset, "covered_s": covered}).groupBy("uri").agg(F.max_by(F.struct("vod_uri", "offset_s", "covered_s"), F.struct("covered_s", "vod_uri", "offset_s")).alias("b"))
