@@ -85,3 +85,10 @@ def payload_cap(rows: DataFrame, column: str, most: int) -> DataFrame:
 
 def stream_max_age(commits: DataFrame, now_us: int, hours: int = 72) -> DataFrame:
     return commits.where(F.col("time_us") >= now_us - hours * 3_600_000_000)
+
+
+def replace_links(old: DataFrame, records: DataFrame, key: str, items: str, name: str) -> DataFrame:
+    """Links (key, name): a record's list replaces its links, without repeats; records without a list leave theirs."""
+    listed = records.where(F.col(items).isNotNull())
+    kept = old.join(listed.select(key), key, "left_anti").select(key, name)
+    return kept.union(listed.select(key, F.explode(F.array_distinct(items)).alias(name)))
