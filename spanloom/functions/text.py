@@ -129,30 +129,39 @@ def page_title(html: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(html, f"(?i){w}", 1)), F.lit("")) for w in ways])
 
 
+# fixed values: starts that change, and the sound of each letter in its surroundings; "^" marks no sound
+PHONETIC_STARTS = [("^(?:kn|gn|pn|wr|ae)", 1, ""), ("^wh", 2, "w"), ("^x", 1, "s")]
+PHONETIC_SOUNDS = [
+    ("[aeiou]", "^"), ("(?<=m)b$", "^"), ("b", "B"), ("ch", "X"), ("c(?=[eiy]|$)", "S"), ("c", "K"), ("dg(?=[eiy]|$)", "J"), ("d", "T"),
+    ("f", "F"), ("g(?=[eiy]|$)", "J"), ("gh(?=[^aeiou])", "^"), ("g", "K"), ("(?<=[aeiou])h", "^"), ("h", "H"), ("j", "J"),
+    ("(?<=c)k", "^"), ("(?<=ch)k", "^"), ("k", "K"), ("l", "L"), ("m", "M"), ("n", "N"), ("p(?=h)", "F"), ("p", "P"), ("q", "K"), ("r", "R"),
+    ("sh", "X"), ("si(?=[ao]|$)", "X"), ("s", "S"), ("th", "0"), ("ti(?=[ao]|$)", "X"), ("t", "T"), ("v", "F"), ("w(?=[aeiou])", "W"), ("w", "^"),
+    ("x", "KS"), ("y(?=[aeiou])", "Y"), ("y", "^"), ("z", "S"),
+]
+
+
 def phonetic_code(words):
-    """Phonetic codes (6 characters at most) of a pandas Series of words; use on distinct words.
+    """Sound codes of at most six characters for a pandas Series; use on distinct words.
 
-    Letters fall into sound classes; vowels count only at the start, and equal
-    neighbours are one.
+    One expression with an alternative per rule reads a word after its first
+    letter; a sound equal to the last one written is left out.
     """
-    import pandas as pd
+    import re
 
-    sounds = {}
-    for group, sign in (("bp", "P"), ("fv", "F"), ("ckqg", "K"), ("sz", "S"), ("xj", "S"), ("dt", "T"), ("mn", "N"), ("l", "L"), ("r", "R")):
-        sounds |= dict.fromkeys(group, sign)
-    pairs = {"ph": "F", "gh": "K", "sh": "X", "ch": "X", "th": "0", "ck": "K"}
+    rules = re.compile("|".join(f"({p})" for p, _ in PHONETIC_SOUNDS))
 
     def code(word):
-        if word is None:
-            return None
-        w = "".join(c for c in word.lower() if "a" <= c <= "z")
-        out, i = "", 0
-        while i < len(w):
-            two = pairs.get(w[i : i + 2])
-            sign = two or sounds.get(w[i]) or ("A" if i == 0 and w[i] in "aeiouy" else "")
-            if sign and not out.endswith(sign):
-                out += sign
-            i += 2 if two else 1
+        letters = re.sub("[^a-z]", "", (word or "").lower())
+        for pattern, drop, put in PHONETIC_STARTS:
+            if re.match(pattern, letters):
+                letters = put + letters[drop:]
+        if not letters:
+            return ""
+        out = letters[0].upper()
+        for m in rules.finditer(letters, 1):
+            sound = PHONETIC_SOUNDS[m.lastindex - 1][1]
+            if sound != "^" and sound != out[-1] and len(out) < 6:
+                out += sound
         return out[:6]
 
-    return pd.Series([code(w) for w in words], dtype="object")
+    return words.map(code)

@@ -127,5 +127,14 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(repr(tuple(norm(r[c]) for c in names)) for r in df.collect()) == want
 
 
+#: Ordered greedy choices and sound codes, which SQL doesn't express; tested on rows in test_boundaries.py.
+WITHOUT_SQL = {"phonetic_name_join", "concept_scan", "assign_transitions", "replay_corrections"}
+
+
 def test_registered_queries_have_sql():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert set(registry.queries()) - set(registry.oracle_sql()) == WITHOUT_SQL
+
+
+@pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
+def test_query_runs(spark, name):
+    assert registry.queries()[name](spark, SF).count() > 0
