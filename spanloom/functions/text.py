@@ -129,6 +129,43 @@ def page_title(html: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(html, f"(?i){w}", 1)), F.lit("")) for w in ways])
 
 
+def extract_links(facets: Column) -> Column:
+    """Addresses in the features of facets (array of (features array of (uri)))."""
+    return F.filter(F.flatten(F.transform(facets, lambda f: F.transform(f["features"], lambda x: x["uri"]))), lambda u: u.isNotNull())
+
+
+def _on_any(url: Column, domains: Iterable[str]) -> Column:
+    host = F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))
+    out = F.lit(False)
+    for d in domains:
+        out = out | host.endswith(d)
+    return out
+
+
+#: Words that tell a post about a longer text.
+BLOG_WORDS = ("wrote", "recap", "writeup", "blog", "reflection")
+
+
+def classify_post(text: Column, links: Column, video_domains: Iterable[str], search_domain: Column | None = None) -> Column:
+    """video: found under or linking to a video domain; blog: a blog word and a link elsewhere; else post."""
+    domains = tuple(video_domains)
+    video = F.exists(links, lambda u: _on_any(u, domains))
+    if search_domain is not None:
+        video = video | F.coalesce(search_domain.isin(*domains), F.lit(False))
+    low, blog = F.lower(F.coalesce(text, F.lit(""))), F.lit(False)
+    for w in BLOG_WORDS:
+        blog = blog | low.contains(w)
+    return F.when(video, "video").when(blog & F.exists(links, lambda u: ~_on_any(u, domains)), "blog").otherwise("post")
+
+
+def primary_url(kind: Column, links: Column, video_domains: Iterable[str], home: str) -> Column:
+    """A video's first video link, a blog's first link that is neither video nor ``home``; else the first link."""
+    domains = tuple(video_domains)
+    first = lambda a: F.try_element_at(a, F.lit(1))
+    video, blog = F.filter(links, lambda u: _on_any(u, domains)), F.filter(links, lambda u: ~_on_any(u, [*domains, home]))
+    return F.when(kind == "video", F.coalesce(first(video), first(links))).when(kind == "blog", F.coalesce(first(blog), first(links))).otherwise(first(links))
+
+
 # fixed values: starts that change, and the sound of each letter in its surroundings; "^" marks no sound
 PHONETIC_STARTS = [("^(?:kn|gn|pn|wr|ae)", 1, ""), ("^wh", 2, "w"), ("^x", 1, "s")]
 PHONETIC_SOUNDS = [
