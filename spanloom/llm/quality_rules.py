@@ -95,24 +95,24 @@ def text_counts(text: Column) -> Column:
     return _let(F.filter(F.split(squeezed, " "), lambda w: w != ""), with_words)
 
 
-def _failures(c: str, which: int) -> dict[str, Column]:
-    """Rule failures from a struct of counts; ``which``: 0 hard limits, 1 strict ones."""
-    words = F.greatest(F.col(f"{c}.n_words"), F.lit(1))
-    return {
-        "symbols": F.col(f"{c}.n_symbols") / words > LIMITS["symbols"][which],
-        "dup_lines": F.col(f"{c}.n_dup_lines") / F.greatest(F.col(f"{c}.n_lines"), F.lit(1)) > LIMITS["dup_lines"][which],
-        "word_length": F.col(f"{c}.word_chars") / words > LIMITS["word_length"][which],
-    }
-
-
-def with_failures(df: DataFrame, counts: str = "_counts", out: str = "_fail") -> DataFrame:
-    """Adds a struct: base, hard (any hard limit) and strict (any strict limit)."""
-    base = (F.col(f"{counts}.n_words") < MIN_WORDS) | (100 * F.col(f"{counts}.n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{counts}.n_words"))
-    either = [None, None]
-    for k in (0, 1):
-        for cond in _failures(counts, k).values():
-            either[k] = cond if either[k] is None else either[k] | cond
-    return df.withColumn(out, F.struct(base.alias("base"), either[0].alias("hard"), either[1].alias("strict")))
+BASE, HARD, STRICT = 1, 2, 4
+
+
+def failure_code(c: Column) -> Column:
+    """Bits of a struct of counts: BASE, HARD (any hard limit missed), STRICT (any strict limit missed)."""
+    words, lines = F.greatest(c["n_words"], F.lit(1)), F.greatest(c["n_lines"], F.lit(1))
+    base = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
+
+    def missed(k: int) -> Column:
+        return (c["n_symbols"] / words > LIMITS["symbols"][k]) | (c["n_dup_lines"] / lines > LIMITS["dup_lines"][k]) | (c["word_chars"] / words > LIMITS["word_length"][k])
+
+    return F.when(base, BASE).otherwise(0) + F.when(missed(0), HARD).otherwise(0) + F.when(missed(1), STRICT).otherwise(0)
+
+
+def text_code(text: Column) -> Column:
+    """Failure bits of a non-null text, as one number: fields of a struct would be taken out, and counted, one by one.
+    It can't be null, so no filter for nulls, which would count the text once more, is inferred from its use."""
+    return F.coalesce(_let(text_counts(text), failure_code), F.lit(0))
 
 
 def host_verdicts(failures: DataFrame, host_limit: float = 0.5) -> DataFrame:
@@ -122,7 +122,8 @@ def host_verdicts(failures: DataFrame, host_limit: float = 0.5) -> DataFrame:
     strength comes from the variance of the hosts' rates around m, less what
     sampling alone explains. One row of totals is joined to all hosts.
     """
-    hosts = failures.groupBy("host").agg(F.count("*").alias("n"), F.count_if("failed").alias("failed"))
+    # read twice below, and made from whole texts
+    hosts = stored(failures.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("int")).alias("failed")), "quality-hosts")
     raw = F.col("failed") / F.col("n")
     totals = hosts.agg(
         (F.sum("failed") / F.sum("n")).alias("_m"),
@@ -151,17 +152,19 @@ def _with_verdict(df: DataFrame, hosts: DataFrame, host: str) -> DataFrame:
     return df.join(side, F.col(host).eqNullSafe(F.col("_host_key")), "left").drop("_host_key").withColumn("_suspect", F.coalesce("_suspect", F.lit(False)))
 
 
-def _kept() -> Column:
-    return ~F.col("_fail.base") & ~F.col("_fail.hard") & ~(F.col("_suspect") & F.col("_fail.strict"))
+def _kept(code: Column) -> Column:
+    """One sum rather than a conjunction, whose parts Catalyst would push below the join, each with the counts computed anew."""
+    suspect = (F.col("_suspect") & (code.bitwiseAND(STRICT) != 0)).cast("int")
+    return code.bitwiseAND(BASE | HARD) + suspect == 0
 
 
 def quality_report(docs: DataFrame, host: str = "source", host_limit: float = 0.5) -> DataFrame:
     """One row a document: doc_id, the counts, base_failed, kept, host, host_suspect."""
     counted = docs.select("doc_id", F.col(host).alias("host"), text_or_empty().alias("_text")).select("doc_id", "host", text_counts(F.col("_text")).alias("_counts"))
-    rows = stored(with_failures(counted), "quality-counts")
-    hosts = host_verdicts(rows.select("host", (F.col("_fail.base") | F.col("_fail.hard")).alias("failed")), host_limit)
+    rows = stored(counted, "quality-counts").withColumn("_code", failure_code(F.col("_counts")))
+    hosts = host_verdicts(rows.select("host", (F.col("_code").bitwiseAND(BASE | HARD) != 0).alias("failed")), host_limit)
     return _with_verdict(rows, hosts, "host").select(
-        "doc_id", *[F.col(f"_counts.{c}").alias(c) for c in COUNTS], F.col("_fail.base").alias("base_failed"), _kept().alias("kept"), "host", F.col("_suspect").alias("host_suspect")
+        "doc_id", *[F.col(f"_counts.{c}").alias(c) for c in COUNTS], (F.col("_code").bitwiseAND(BASE) != 0).alias("base_failed"), _kept(F.col("_code")).alias("kept"), "host", F.col("_suspect").alias("host_suspect")
     )
 
 
@@ -171,11 +174,9 @@ def judged_documents(docs: DataFrame, host: str = "source", host_limit: float =
     Texts are counted twice, once for the hosts and once for the rows, rather
     than shuffled or written a second time.
     """
-    taken = set(docs.columns)
-    clash = {c: f"_own_{c}" for c in taken if c in ("_counts", "_fail", "_suspect", "_host_key")}
-    named = docs.withColumnsRenamed(clash)
-    counted = with_failures(named.withColumn("_counts", text_counts(text_or_empty())))
-    failed = counted.select(F.col(host).alias("host"), (F.col("_fail.base") | F.col("_fail.hard")).alias("failed"))
-    hosts = stored(host_verdicts(failed, host_limit), "quality-hosts")
-    kept = _with_verdict(counted, hosts, host).where(_kept()).drop("_counts", "_fail", "_suspect")
+    clash = {c: f"_own{c}" for c in docs.columns if c in ("_code", "_suspect", "_host_key")}
+    counted = docs.withColumnsRenamed(clash).withColumn("_code", text_code(text_or_empty()))
+    failed = counted.select(F.col(host).alias("host"), (F.col("_code").bitwiseAND(BASE | HARD) != 0).alias("failed"))
+    hosts = host_verdicts(failed, host_limit)
+    kept = _with_verdict(counted, hosts, host).where(_kept(F.col("_code"))).drop("_code", "_suspect")
     return kept.withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
