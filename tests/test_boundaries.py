@@ -76,11 +76,11 @@ def test_replay(spark):
 
 
 def test_concept_scan(spark):
-    docs = spark.createDataFrame([(1, "Déjà: AT Protocol and the PDS, PDServer; at protocols. pds")], "doc_id int, text string")
-    terms = spark.createDataFrame([("AT Protocol", 1), ("protocol", 2), ("PDS", 3), ("at", 4)], "term string, uri long")
+    docs = spark.createDataFrame([(1, "Déjà: At Library and the PDS, PDServer; at libraries. pds")], "doc_id int, text string")
+    terms = spark.createDataFrame([("At Library", 1), ("library", 2), ("PDS", 3), ("at", 4)], "term string, uri long")
     got = sorted((r["byte_start"], r["label"], r["uri"]) for r in B.concept_scan(docs, terms).collect())
     data = docs.first()["text"].encode()
-    assert got == [(data.index(b"AT P"), "AT Protocol", 1), (data.index(b"PDS,"), "PDS", 3), (data.rindex(b"pds"), "pds", 3)]
+    assert got == [(data.index(b"At L"), "At Library", 1), (data.index(b"PDS,"), "PDS", 3), (data.rindex(b"pds"), "pds", 3)]
     blocked = spark.createDataFrame([(1, data.index(b"PDS,"), data.index(b"PDS,") + 3)], "doc_id int, byte_start long, byte_end long")
     assert len(B.concept_scan(docs, terms, blocked).collect()) == 2
 
