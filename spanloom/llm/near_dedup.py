@@ -11,12 +11,14 @@
 3. Improved consistent weighted sampling draws 30 samples (shingle, level) a text,
    equal for two texts with probability their weighted Jaccard similarity; bands
    of 3 make 10 keys. Equal texts are one node.
-4. In each bucket of equal keys, all nodes are compared with one leader, the node
-   that shares most buckets with others, by exact weighted Jaccard similarity of
-   whole texts. While some members have no link at all, one of those leads the
-   next round against all that stay in its bucket; from the third round
-   on, buckets are cut by a longer key (the next band appended). No bucket is
-   capped and none is expanded to all pairs.
+4. In each bucket of equal keys, all nodes are first compared with one leader,
+   the node that shares most buckets with others, then with the first node that
+   has no link yet, by exact weighted Jaccard similarity of whole texts. Then all
+   other pairs of a bucket whose ends aren't in one component are compared, block
+   by block: by weight sums and by a bound from sums of weights in 128 cells,
+   neither of which loses a pair, then by their whole texts, best bounds first,
+   until each pair left has both ends in one component. Only those pairs are not
+   compared. A bucket of n nodes without links costs n * n / 2 bounds.
 5. Classes are the connected components of the links, by hooking and pointer
    jumping over stored tables; a class is named by its smallest doc_id.
 
@@ -32,6 +34,7 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stored, text_or_empty
@@ -40,6 +43,8 @@ from .shingles import U, chunks, mix, shingles
 TABLE_BITS, PART_BITS = 20, 12
 BANDS, ROWS = 10, 3
 IDF_RANGE = 0.25
+#: Cells of a text's sketch, nodes of a block, rounds of leaders, and pairs of two components verified in the first round.
+CELLS, BLOCK, LEADERS, FIRST_PAIRS = 128, 512, 2, 4
 #: Rows of two keys that may be broadcast, some 40 bytes each.
 BROADCAST_ROWS = 500_000
 
@@ -192,6 +197,82 @@ def _maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _sketches(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(node, total, scale, cells): the weight sum of a text, and those of its CELLS cells of shingles as bytes times scale, rounded up."""
+    table = texts.sparkSession.sparkContext.broadcast(idf)
+
+    def sketch(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo, part in chunks(batch.column(1)):
+                row, s, times = shingles(part)
+                n = len(part)
+                sums = np.bincount(row * CELLS + (s % U(CELLS)).astype("i8"), weights(s, times, table.value), n * CELLS).reshape(n, CELLS)
+                scale = np.maximum(sums.max(axis=1), 1e-9) / 255
+                cells = np.minimum(np.ceil(sums / scale[:, None]), 255).astype("u1")
+                yield pa.record_batch([batch.column(0).slice(lo, n), pa.array(sums.sum(axis=1)), pa.array(scale), pa.array([c.tobytes() for c in cells], pa.binary())], names=["node", "total", "scale", "cells"])
+
+    return texts.select("node", "text").mapInArrow(sketch, "node binary, total double, scale double, cells binary")
+
+
+def _bounded(block, similarity: float):
+    """Pairs of one block of a bucket, or of two, that may be similar: other components, no earlier band shared, bound large enough."""
+    import pyarrow as pa
+
+    def column(name: str) -> np.ndarray:
+        return block.column(name).to_numpy()
+
+    least = similarity - 1e-4  # more than rounding takes
+    order = np.argsort(column("total"), kind="stable")
+    total, side, band = column("total")[order], column("side")[order], int(block.column("band")[0].as_py())
+    root = block.column("root").combine_chunks().dictionary_encode().indices.to_numpy()[order]
+    bands = np.array(block.column("bands").to_pylist(), "i8")[order]
+    cells = np.frombuffer(b"".join(block.column("cells").to_pylist()), "u1").reshape(-1, CELLS)[order] * column("scale")[order].astype("f4")[:, None]
+    across = block.column("i")[0].as_py() != block.column("j")[0].as_py()
+    ends = np.searchsorted(total, total / least, "right")
+    left, right, bounds = [], [], []
+    for a in range(len(total)):
+        other = a + 1 + np.flatnonzero(root[a + 1 : ends[a]] != root[a])
+        if across:
+            other = other[side[other] != side[a]]
+        if band:
+            other = other[~(bands[other, :band] == bands[a, :band]).any(axis=1)]
+        if not len(other):
+            continue
+        both = np.minimum(cells[other], cells[a]).sum(axis=1)
+        bound = both / np.maximum(total[a] + total[other] - both, 1e-9)
+        fine = bound >= least
+        left.append(np.full(int(fine.sum()), a))
+        right.append(other[fine])
+        bounds.append(bound[fine])
+    names = block.column("node").to_pylist()
+    left, right, bounds = (np.concatenate(x) if x else np.zeros(0, "i8") for x in (left, right, bounds))
+    pairs = [sorted((names[order[x]], names[order[y]])) for x, y in zip(left, right, strict=True)]
+    return pa.table([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary()), pa.array(bounds.astype("f8"))], names=["leader", "node", "bound"])
+
+
+def _rooted(df: DataFrame, roots: DataFrame | None, node: str, root: str) -> DataFrame:
+    """``df`` with the component of its column ``node``; a node without links is its own."""
+    if roots is None:
+        return df.withColumn(root, F.col(node))
+    return df.join(roots.toDF(node, "_root"), node, "left").withColumn(root, F.coalesce("_root", node)).drop("_root")
+
+
+def _candidates(shared: DataFrame, roots: DataFrame | None, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """(leader, node, bound): all pairs of a bucket in two components that may be similar, each pair once."""
+    members = stored(_rooted(shared.where("n > 2").select("key", "node", "bands", "band", "n"), roots, "node", "root"), "near-rooted")
+    apart = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+    members = stored(members.join(apart, "key"), "near-apart")
+    asked = members.select("node").distinct()
+    sketches = stored(_sketches(texts.join(asked, "node", "left_semi"), idf), "near-sketches")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    members = members.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sketches, "node")
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "band", "node", "root", "bands", "total", "scale", "cells")
+    return members.groupBy("key", "i", "j").applyInArrow(lambda block: _bounded(block, similarity), "leader binary, node binary, bound double")
+
+
 def links(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, similarity: float = 0.8) -> DataFrame | None:
     """Links (leader, node) between nodes (node, first_id, bands); None if there are none.
 
@@ -207,23 +288,39 @@ def links(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, similarity: float
     texts = texts.join(wanted, (F.col("node") == F.col("_wanted")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "text").dropDuplicates(["node"])
     texts = stored(texts, "near-texts")
     members = shared.drop("n").join(scores, "node").withColumn("open", F.lit(True))
-    tried, step = None, 0
-    while True:
+    tried = None
+    for step in range(LEADERS):
         buckets = members.groupBy("key").agg(F.max(F.when(F.col("open"), F.struct("score", "node"))).alias("top"), F.count("*").alias("n"))
         buckets = buckets.where("n > 1 and top is not null").select("key", F.col("top.node").alias("leader"))
         near = stored(members.join(buckets, "key").where("node != leader"), f"near-buckets-{step}")
+        if near.limit(1).count() == 0:
+            break
         pairs = near.select(F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["leader", "node"], "left_anti")
         tested = stored(_verified(pairs, texts, idf, similarity), f"near-tested-{step}")
-        if near.limit(1).count() == 0:
-            break
         tried = tested if tried is None else tried.unionByName(tested)
-        step += 1
         linked = tried.where("ok").select(F.explode(F.array("leader", "node")).alias("node")).distinct().withColumn("linked", F.lit(True))
-        longer = F.when(F.lit(1 < step <= BANDS), F.xxhash64("key", F.get("bands", (F.col("band") + step - 1) % BANDS))).otherwise(F.col("key"))
-        members = near.join(linked, "node", "left").select("node", "bands", "band", longer.alias("key"), "score", (F.col("open") & F.col("linked").isNull()).alias("open"))
-    return None if tried is None else stored(tried.where("ok").drop("ok"), "near-links")
+        members = near.join(linked, "node", "left").select("node", "bands", "band", "key", "score", (F.col("open") & F.col("linked").isNull()).alias("open"))
+    if tried is None:
+        return None
+    edges = stored(tried.where("ok").drop("ok"), "near-links")
+    roots = components(edges)
+    left = stored(_candidates(shared, roots, texts, idf, similarity).join(tried, ["leader", "node"], "left_anti"), "near-candidates")
+    most, step = FIRST_PAIRS, 0
+    while True:
+        apart = _rooted(_rooted(left, roots, "leader", "ra"), roots, "node", "rb").where("ra != rb")
+        place = F.row_number().over(W.partitionBy(F.least("ra", "rb"), F.greatest("ra", "rb")).orderBy(F.desc("bound"), "leader", "node"))
+        apart = stored(apart.select("leader", "node", "bound", place.alias("place")), f"near-left-{step}")
+        if apart.limit(1).count() == 0:
+            return edges
+        now = apart.where(F.col("place") <= most).select("leader", "node")
+        found = stored(_verified(now, texts, idf, similarity).where("ok").drop("ok"), f"near-found-{step}")
+        left = apart.where(F.col("place") > most).select("leader", "node", "bound")
+        if found.limit(1).count():
+            edges = edges.unionByName(found)
+            roots = components(edges)
+        most, step = most * 16, step + 1
 
 
 def components(edges: DataFrame) -> DataFrame:

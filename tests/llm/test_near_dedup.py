@@ -95,3 +95,34 @@ def test_awkward_rows(spark):
     assert nd.deduplicated(df).columns == df.columns
     assert nd.deduplicated(df).count() == len({r[1] or "" for r in AWKWARD})
     assert nd.near_duplicates(df.limit(0)).count() == 0
+
+
+def crafted(spark, texts, bands):
+    """Links, as pairs of names, between texts whose band keys are given as name -> {band: key}; all other keys are their own."""
+    own = iter(range(10**6, 2 * 10**6))
+    ids = {name: i for i, name in enumerate(texts)}
+    docs = spark.createDataFrame([(ids[n], t) for n, t in texts.items()], "doc_id long, text string")
+    keys = spark.createDataFrame([(ids[n], [bands.get(n, {}).get(b) or next(own) for b in range(nd.BANDS)]) for n in texts], "first_id long, bands array<long>")
+    nodes = docs.select(nd._node().alias("node"), nd.F.col("doc_id").alias("first_id")).join(keys, "first_id").select("node", "first_id", "bands")
+    idf = nd.idf_table(*nd.document_frequencies(docs))
+    names = {bytes(r["node"]): r["first_id"] for r in nodes.collect()}
+    found = nd.links(docs, nodes, idf)
+    back = {i: n for n, i in ids.items()}
+    return {frozenset(back[names[bytes(x)]] for x in (r["leader"], r["node"])) for r in found.collect()} if found else set()
+
+
+def edited(words, *places):
+    return [f"edit{k}" if k in places else w for k, w in enumerate(words)]
+
+
+def plain(name):
+    return " ".join(f"{name}_{k}" for k in range(200))
+
+
+def test_linked_members_under_a_foreign_hub_are_compared(spark):
+    a = [f"w{k}" for k in range(200)]
+    b = edited(a, 20, 40, 60)
+    texts = {"a": " ".join(a), "b": " ".join(b), "a2": " ".join(edited(a, 100, 120, 140)), "b2": " ".join(edited(b, 160, 170, 180)), "hub": plain("hub")}
+    texts |= {f"far{i}": plain(f"far{i}") for i in range(12)}
+    bands = {"a": {0: 1, 2: 3}, "a2": {0: 1}, "b": {1: 2, 2: 3}, "b2": {1: 2}, "hub": {2: 3, 3: 4}} | {f"far{i}": {3: 4} for i in range(12)}
+    assert crafted(spark, texts, bands) == {frozenset(x) for x in (("a", "a2"), ("b", "b2"), ("a", "b"))}
