@@ -126,3 +126,12 @@ def test_linked_members_under_a_foreign_hub_are_compared(spark):
     texts |= {f"far{i}": plain(f"far{i}") for i in range(12)}
     bands = {"a": {0: 1, 2: 3}, "a2": {0: 1}, "b": {1: 2, 2: 3}, "b2": {1: 2}, "hub": {2: 3, 3: 4}} | {f"far{i}": {3: 4} for i in range(12)}
     assert crafted(spark, texts, bands) == {frozenset(x) for x in (("a", "a2"), ("b", "b2"), ("a", "b"))}
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_pairs_beyond_the_first_leaders_of_a_bucket_are_compared(spark, monkeypatch, block):
+    monkeypatch.setattr(nd, "BLOCK", block, raising=False)
+    a = [f"w{k}" for k in range(200)]
+    texts = {"a": " ".join(a), "b": " ".join(edited(a, 20, 40, 60))} | {f"far{i}": plain(f"far{i}") for i in range(8)} | {f"by{i}": plain(f"by{i}") for i in range(8)}
+    bands = {"a": {0: 1}, "b": {0: 1}} | {f"far{i}": {0: 1, 1: 10 + i} for i in range(8)} | {f"by{i}": {1: 10 + i} for i in range(8)}
+    assert crafted(spark, texts, bands) == {frozenset(("a", "b"))}
