@@ -6,7 +6,10 @@ random rotation and dealt to lists by their nearest centroid; the centroids are
 fitted on at most ``SAMPLE`` vectors (by hash), every vector is indexed. Lists
 are split into slots of about ``SLOT`` vectors, so a large one is many tasks.
 
-A query scans the slots of its nearest lists. Distances grow by blocks of
+A query scans the slots of its nearest lists, ``probes`` at least. Where there
+are more lists, at most ``TRIALS`` queries are compared with the whole index, and
+the lists probed are as many as held ``RECALL`` of their true neighbours, all if
+need be. Distances grow by blocks of
 columns; after each block a candidate whose partial distance, scaled to all
 columns, exceeds the current k-th distance by more than a chance deviation of a
 random rotation allows (1 + EPSILON / sqrt(columns seen)) is abandoned. Scores
@@ -33,6 +36,8 @@ from .common import stored
 
 SAMPLE, LIST_ROWS, MOST_LISTS, SLOT = 20_000, 128, 4096, 4096
 PROBES, BLOCK, EPSILON = 24, 16, 2.1
+#: Queries that recall is measured on, and the share of their neighbours that probed lists must hold; abandoning takes up to 0.03.
+TRIALS, RECALL = 256, 0.98
 
 
 def valid_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -103,6 +108,39 @@ def adaptive_scan(query: np.ndarray, x: np.ndarray, k: int, block: int = BLOCK,
     return rows[np.argsort(d, kind="stable")[:k]]
 
 
+def needed_probes(index: DataFrame, searched: DataFrame, k: int, model) -> int:
+    """Lists to probe so that RECALL of the k nearest classes of at most TRIALS queries lie in them, by comparing with all of ``index``."""
+    trials = searched.select("class_id", "v").orderBy(F.xxhash64("class_id"), "class_id").limit(TRIALS).collect()
+    turned, c = model.value
+    q = _unit(np.array([r["v"] for r in trials])) @ turned
+    names = np.array([r["class_id"] for r in trials])
+    asked = searched.sparkSession.sparkContext.broadcast((q, names))
+
+    def compare(batches):
+        import pyarrow as pa
+
+        q_, names_ = asked.value
+        score, lists = np.zeros((len(q_), 0)), np.zeros((len(q_), 0), "i4")
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                near = q_ @ (_unit(_matrix(part.column(1))) @ model.value[0]).T
+                near[names_[:, None] == part.column(0).to_numpy(zero_copy_only=False)] = -np.inf
+                score = np.concatenate([score, near], axis=1)
+                lists = np.concatenate([lists, np.broadcast_to(part.column(2).to_numpy(), near.shape)], axis=1)
+                if score.shape[1] > k:
+                    best = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                    score, lists = np.take_along_axis(score, best, 1), np.take_along_axis(lists, best, 1)
+        query = np.repeat(np.arange(len(q_)), score.shape[1])
+        yield pa.record_batch([pa.array(query.astype("i4")), pa.array(lists.ravel().astype("i4")), pa.array(score.ravel())], names=["query", "list", "score"])
+
+    hits = index.select("class_id", "v", "list").mapInArrow(compare, "query int, list int, score double").where(F.col("score") > float("-inf"))
+    hits = hits.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "list"))).where(F.col("place") <= k)
+    order = np.argsort(np.argsort(-(q @ c.T), axis=1, kind="stable"), axis=1)
+    places = np.sort([order[r["query"], r["list"]] for r in hits.select("query", "list").collect()])
+    return int(places[math.ceil(RECALL * len(places)) - 1]) + 1 if len(places) else 1
+
+
 def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", probes: int = PROBES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row that ``is_query`` (of vec_id) holds for."""
     valid = stored(valid_vectors(df, key, vector), "ann-vectors")
@@ -143,6 +181,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", ve
     asked = wanted.withColumn("code", F.xxhash64("v")).join(classes.select("class_id", F.col("v").alias("_v"), F.xxhash64("v").alias("code")), "code").where(F.col("v") == F.col("_v"))
     asked = stored(asked.select("vec_id", "class_id"), "ann-queries")
     searched = classes.join(asked.select("class_id").distinct(), "class_id", "left_semi")
+    if probes < n_lists:
+        probes = max(probes, needed_probes(index, searched, k, model))
     probe = dealt(searched, probes).select("class_id", "v", F.explode("lists").alias("list")).join(F.broadcast(slots), "list")
     probe = probe.select("list", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(True).alias("asks"), "class_id", "v")
     placed = index.join(F.broadcast(slots), "list").select("list", F.pmod(F.xxhash64("class_id"), F.col("slots")).cast("int").alias("slot"), F.lit(False).alias("asks"), "class_id", "v")

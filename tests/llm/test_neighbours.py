@@ -3,6 +3,8 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from spanloom.llm import neighbours as nn
@@ -62,3 +64,18 @@ def test_scan_keeps_the_nearest():
         q = rng.standard_normal(64)
         kept += len(set(nn.adaptive_scan(q, x, 6).tolist()) & set(np.argsort(((x - q) ** 2).sum(axis=1))[:6].tolist()))
     assert kept >= 0.97 * 240
+
+
+def test_recall_with_many_lists(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    n = 50_000
+    x = rng.standard_normal((n, 64)) + rng.standard_normal((10, 64))[rng.integers(0, 10, n)] * 0.5
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float64()))}), tmp_path / "x.parquet")
+    got = found(nn.nearest(spark.read.parquet(str(tmp_path / "x.parquet")), F.col("vec_id") % 500 == 0))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit[::500] @ unit.T
+    near[np.arange(len(near)), np.arange(0, n, 500)] = -1
+    want = np.argsort(-near, axis=1)[:, :5]
+    hits = sum(len({v for v, _ in got[500 * i]} & set(row.tolist())) for i, row in enumerate(want))
+    print("recall", hits / want.size)
+    assert hits >= 0.95 * want.size
