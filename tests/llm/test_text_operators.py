@@ -150,6 +150,14 @@ def test_nested_layers_map_to_the_text():
     assert secrets.all_matches("%2525252541 nothing here")[1] == []
 
 
+def test_every_copy_of_an_encoded_secret_has_a_span():
+    secret = b'password = "hunter2hunter2"'
+    for inner in (base64.b64encode(secret), base64.b64encode(gzip.compress(secret)), base64.b64encode(base64.b64encode(secret))):
+        text = f"one {inner.decode()} two {inner.decode()} three"
+        assert secrets.redact(text) == "one [secret] two [secret] three"
+        assert [text[a:b] for a, k, b in secrets.all_matches(text)[1]] == [inner.decode().rstrip()] * 2
+
+
 def test_secret_report_of_awkward_rows(spark, awkward, docs):
     rows = secrets.secret_report(awkward).collect()
     assert len(rows) == len(AWKWARD)
