@@ -1,9 +1,11 @@
 """Brute force, round trips and awkward rows for the operators on single documents."""
 
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
+import lzma
 import re
 import urllib.parse
 import zlib
@@ -158,6 +160,28 @@ def test_every_copy_of_an_encoded_secret_has_a_span():
         assert [text[a:b] for a, k, b in secrets.all_matches(text)[1]] == [inner.decode().rstrip()] * 2
 
 
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, bz2.compress, lzma.compress])
+def test_wrapped_runs_keep_their_last_line(pack):
+    whole = 0
+    for n in range(60):
+        blob = base64.b64encode(pack(base64.b85encode(hashlib.shake_128(b"any").digest(60))[:n] + b' password = "hunter2hunter2" ' + bytes(range(33, 93)) + b" end")).decode()
+        lines = "\n".join(blob[k : k + 76] for k in range(0, len(blob), 76))
+        assert secrets.redact(f"see {lines} now") == "see [secret] now"
+        assert secrets.redact(f"see {lines}\nnow it") in ("see [secret]\nnow it", "see [secret] it")
+        whole += len(blob) % 76 < 16
+    assert whole
+
+
+def test_layers_that_are_not_clean_text_are_scanned():
+    secret = 'password = "hunter2hunter2"'
+    plain = secret.encode()
+    for data in (secret.encode("utf-16"), secret.encode("utf-16-le"), secret.encode("utf-16-be"), b"\x1b[31m" + plain + b"\x1b[0m", b"\x00\x01\xff\xfe\x80" + plain, b"abc\xff" + secret.encode("utf-16-le"), plain + b"\xc3"):
+        text = f"see {base64.b64encode(data).decode()} now"
+        assert secrets.redact(text) == "see [secret] now", data
+    inner = base64.b64encode(base64.b64encode(plain).decode().encode("utf-16-le")).decode()
+    assert secrets.redact(f"see {inner} now") == "see [secret] now"
+
+
 def test_secret_report_of_awkward_rows(spark, awkward, docs):
     rows = secrets.secret_report(awkward).collect()
     assert len(rows) == len(AWKWARD)
