@@ -3,9 +3,13 @@
 Each text gets counts (words, symbols, repeated lines and word windows) and
 from them rule failures. Failures are summed by host; a host's failure rate is
 shrunk by a beta prior whose two numbers are fitted to all hosts by moments, so
-a host with few documents is judged by its peers. A host whose shrunken rate
-stays above ``host_limit`` even two posterior deviations lower is suspect, and
-its documents must also pass the strict limits.
+a host with few documents is judged by its peers. The shrunken rate is then the
+prior of each of the host's documents: its odds times the likelihood ratio of
+what the document's own rules say (``RATIOS``) are the odds that the document is
+bad, and it is kept while they are below one. A document that misses a hard
+limit is thus kept only on a host that hardly ever fails, one that misses
+a strict limit only on a host of ordinary rate, and one that passes all limits
+unless nearly all else on its host fails.
 
 Defined results: null text counts as empty (all counts 0, base_failed); a null
 host is a host of its own; repeated rows are judged one by one; an empty table
@@ -26,6 +30,8 @@ LIMITS = {
     "dup_lines": (0.5, 0.3),
     "word_length": (20.0, 14.0),
 }
+#: How much likelier a bad document is than a good one to miss a hard limit, a strict one only, and none.
+RATIOS = (40.0, 3.0, 0.2)
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -115,8 +121,8 @@ def text_code(text: Column) -> Column:
     return F.coalesce(_let(text_counts(text), failure_code), F.lit(0))
 
 
-def host_verdicts(failures: DataFrame, host_limit: float = 0.5) -> DataFrame:
-    """(host, n, failed, rate, suspect) from rows (host, failed boolean).
+def host_rates(failures: DataFrame) -> DataFrame:
+    """(host, n, failed, rate) from rows (host, failed boolean), the rate shrunk.
 
     The prior's mean m is the share of failures over all hosts' rows and its
     strength comes from the variance of the hosts' rates around m, less what
@@ -138,45 +144,41 @@ def host_verdicts(failures: DataFrame, host_limit: float = 0.5) -> DataFrame:
     strength = F.greatest(F.lit(2.0), F.least(F.lit(1e4), m * (1 - m) / between - 1))
     a = F.col("failed") + m * F.col("_strength")
     b = F.col("n") - F.col("failed") + (1 - m) * F.col("_strength")
-    rate = a / (a + b)
-    deviation = F.sqrt(rate * (1 - rate) / (a + b + 1))
-    return (
-        hosts.crossJoin(F.broadcast(totals.withColumn("_strength", strength)))
-        .select("host", "n", "failed", rate.alias("rate"), (rate - 2 * deviation > host_limit).alias("suspect"))
-    )
+    return hosts.crossJoin(F.broadcast(totals.withColumn("_strength", strength))).select("host", "n", "failed", (a / (a + b)).alias("rate"))
 
 
-def _with_verdict(df: DataFrame, hosts: DataFrame, host: str) -> DataFrame:
-    """Joins the verdicts on ``host`` (null equals null); Spark broadcasts them if small, else splits skewed hosts."""
-    side = hosts.select(F.col("host").alias("_host_key"), F.col("suspect").alias("_suspect"))
-    return df.join(side, F.col(host).eqNullSafe(F.col("_host_key")), "left").drop("_host_key").withColumn("_suspect", F.coalesce("_suspect", F.lit(False)))
+def _with_rate(df: DataFrame, hosts: DataFrame, host: str) -> DataFrame:
+    """Joins the rates on ``host`` (null equals null); Spark broadcasts them if small, else splits skewed hosts."""
+    side = hosts.select(F.col("host").alias("_host_key"), F.col("rate").alias("_rate"))
+    return df.join(side, F.col(host).eqNullSafe(F.col("_host_key")), "left").drop("_host_key")
 
 
 def _kept(code: Column) -> Column:
-    """One sum rather than a conjunction, whose parts Catalyst would push below the join, each with the counts computed anew."""
-    suspect = (F.col("_suspect") & (code.bitwiseAND(STRICT) != 0)).cast("int")
-    return code.bitwiseAND(BASE | HARD) + suspect == 0
+    """Odds below one: rate / (1 - rate) * ratio < 1. One comparison rather than a conjunction, whose parts
+    Catalyst would push below the join, each with the counts computed anew."""
+    hard, strict, none = RATIOS
+    ratio = F.when(code.bitwiseAND(HARD) != 0, hard).when(code.bitwiseAND(STRICT) != 0, strict).otherwise(none)
+    return F.coalesce(F.when(code.bitwiseAND(BASE) != 0, 1.0).otherwise(F.col("_rate") * (1 + ratio)), F.lit(1.0)) < 1
 
 
-def quality_report(docs: DataFrame, host: str = "source", host_limit: float = 0.5) -> DataFrame:
-    """One row a document: doc_id, the counts, base_failed, kept, host, host_suspect."""
+def quality_report(docs: DataFrame, host: str = "source") -> DataFrame:
+    """One row a document: doc_id, the counts, base_failed, kept, host, host_rate."""
     counted = docs.select("doc_id", F.col(host).alias("host"), text_or_empty().alias("_text")).select("doc_id", "host", text_counts(F.col("_text")).alias("_counts"))
     rows = stored(counted, "quality-counts").withColumn("_code", failure_code(F.col("_counts")))
-    hosts = host_verdicts(rows.select("host", (F.col("_code").bitwiseAND(BASE | HARD) != 0).alias("failed")), host_limit)
-    return _with_verdict(rows, hosts, "host").select(
-        "doc_id", *[F.col(f"_counts.{c}").alias(c) for c in COUNTS], (F.col("_code").bitwiseAND(BASE) != 0).alias("base_failed"), _kept(F.col("_code")).alias("kept"), "host", F.col("_suspect").alias("host_suspect")
+    hosts = host_rates(rows.select("host", (F.col("_code").bitwiseAND(BASE | HARD) != 0).alias("failed")))
+    return _with_rate(rows, hosts, "host").select(
+        "doc_id", *[F.col(f"_counts.{c}").alias(c) for c in COUNTS], (F.col("_code").bitwiseAND(BASE) != 0).alias("base_failed"), _kept(F.col("_code")).alias("kept"), "host", F.col("_rate").alias("host_rate")
     )
 
 
-def judged_documents(docs: DataFrame, host: str = "source", host_limit: float = 0.5) -> DataFrame:
+def judged_documents(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns.
 
     Texts are counted twice, once for the hosts and once for the rows, rather
     than shuffled or written a second time.
     """
-    clash = {c: f"_own{c}" for c in docs.columns if c in ("_code", "_suspect", "_host_key")}
+    clash = {c: f"_own{c}" for c in docs.columns if c in ("_code", "_rate", "_host_key")}
     counted = docs.withColumnsRenamed(clash).withColumn("_code", text_code(text_or_empty()))
     failed = counted.select(F.col(host).alias("host"), (F.col("_code").bitwiseAND(BASE | HARD) != 0).alias("failed"))
-    hosts = host_verdicts(failed, host_limit)
-    kept = _with_verdict(counted, hosts, host).where(_kept(F.col("_code"))).drop("_code", "_suspect")
+    kept = _with_rate(counted, host_rates(failed), host).where(_kept(F.col("_code"))).drop("_code", "_rate")
     return kept.withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)

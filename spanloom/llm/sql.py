@@ -48,11 +48,11 @@ prior AS (
   SELECT m, greatest(2.0, least(1e4, m * (1 - m) / greatest(s2 / total - m * m - m * (1 - m) * k / total, 1e-6) - 1)) AS strength FROM totals),
 post AS (
   SELECT host, failed + m * strength AS a, n - failed + (1 - m) * strength AS b FROM hosts, prior),
-verdict AS (
-  SELECT host, a / (a + b) - 2 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) > 0.5 AS suspect FROM post)
+rates AS (
+  SELECT host, a / (a + b) AS rate FROM post)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base AS base_failed,
-  NOT base AND NOT hard AND NOT (v.suspect AND strict) AS kept
-FROM fails f JOIN verdict v ON f.host IS NOT DISTINCT FROM v.host
+  NOT base AND r.rate * (1 + CASE WHEN hard THEN 40.0 WHEN strict THEN 3.0 ELSE 0.2 END) < 1 AS kept
+FROM fails f JOIN rates r ON f.host IS NOT DISTINCT FROM r.host
 """
 
 
