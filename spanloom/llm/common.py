@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 import uuid
 from array import array
@@ -21,11 +20,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir``; where that is unset (tests, one machine) a
-    new folder is made and set.
+    It is ``spark.checkpoint.dir``; where that is unset a new folder is made and
+    set, but only in local mode, where driver and executors are one process.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -62,32 +63,58 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Classes of characters for the pre-tokenizer; ODD ones send their text to the library whole.
+LETTER, DIGIT, OTHER, BLANK, WHITE, ODD = range(6)
+_CLASSES: list = []
+
+
+def _classes():
+    """Class of each code point below 2**17, and of all beyond as the last entry.
+
+    Letters and numbers are those that an old and the current edition of Unicode
+    agree on; where they differ, and for white space beyond ASCII, the library decides.
+    """
+    import unicodedata
+
+    import numpy as np
+
+    if not _CLASSES:
+        table = np.full((1 << 17) + 1, ODD, "u1")
+        old = unicodedata.ucd_3_2_0.category
+        for code in range(1 << 17):
+            char = chr(code)
+            now, then = unicodedata.category(char), old(char)
+            kind = {"L": LETTER, "N": DIGIT}.get(now[0], OTHER)
+            if now != "Cn" and then != "Cn" and now != "Cs" and kind == {"L": LETTER, "N": DIGIT}.get(then[0], OTHER):
+                table[code] = kind
+            if char.isspace():
+                table[code] = ODD
+        table[ord(" ")] = BLANK
+        table[[9, 10, 11, 12, 13]] = WHITE
+        _CLASSES.append(table)
+    return _CLASSES[0]
+
+
 class UnitEncoder:
-    """Byte-level BPE ids of whole texts, word by word, with bounded caches.
-
-    The pre-tokenizer never joins a non-space character to a space after it, so
-    a text cut before each single space has the ids of its parts. Arrow finds
-    the distinct words of a batch; each is looked up or encoded once, and the
-    ids are gathered with numpy. Texts where a cut isn't safe (two spaces in a
-    row, or any space other than blank and newline) are encoded whole. Strings
-    of special tokens count as plain text.
+    """Byte-level BPE ids of whole texts, pre-token by pre-token, with a bounded cache.
+
+    Pre-tokens (a contraction; letters, digits or other signs with one blank
+    before them; white space) are found for all texts of a chunk with numpy,
+    Arrow finds the distinct ones, each is looked up or encoded once by the
+    library, and the ids are gathered. Texts that hold the string of an added
+    token or a character of class ODD are encoded whole, so the ids are always
+    those of the library for the whole text.
     """
 
-    LIMIT = 500_000
-    ODD = re.compile("[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-    FAR = re.compile("[^\\x00-\\u024f]")
-    CHUNK = 8_000_000
+    LIMIT = 700_000
+    CHUNK = 4_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.words: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.parts: dict[str, bytes] = {}
 
     @classmethod
@@ -99,23 +126,17 @@ class UnitEncoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _known(self, words: list[str]) -> list[bytes]:
-        """Ids of words (each with its leading blank), through the caches."""
-        cache = self.words
-        new = [w for w in words if w not in cache]
+    def _known(self, units: list[str]) -> list[bytes]:
+        """Ids of distinct pre-tokens, through the cache."""
+        cache = self.parts
+        new = [u for u in units if u not in cache]
         if new:
-            if len(cache) + len(new) > self.LIMIT:
-                cache.clear()
-                new = list(dict.fromkeys(words))
-            if len(self.parts) > self.LIMIT:
-                self.parts.clear()
-            parts = self.parts
-            cut = [self.split(w) if self.FAR.search(w) is None else [w] for w in new]
-            lack = list({p for c in cut for p in c}.difference(parts))
-            parts.update(zip(lack, self.whole(lack), strict=True))
-            for w, c in zip(new, cut, strict=True):
-                cache[w] = parts[c[0]] if len(c) == 1 else b"".join([parts[p] for p in c])
-        return [cache[w] for w in words]
+            if len(cache) + len(new) > self.LIMIT:  # what this chunk uses stays
+                cache = self.parts = {u: cache[u] for u in units if u in cache}
+            for lo in range(0, len(new), 10_000):
+                few = new[lo : lo + 10_000]
+                cache.update(zip(few, self.whole(few), strict=True))
+        return [cache[u] for u in units]
 
     def encode(self, texts):
         """(ids uint32, starts int64): the ids of all texts of an Arrow string array, one after
@@ -127,53 +148,102 @@ class UnitEncoder:
         at = np.cumsum(sizes)
         while lo < n:
             hi = max(lo + 1, int(np.searchsorted(at, (at[lo - 1] if lo else 0) + self.CHUNK, "right")))
-            got, cum = self._chunk(texts.slice(lo, hi - lo))
+            got, cum = self._chunk(texts.slice(lo, hi - lo).cast(pa.large_string()))
             ids.append(got)
             ends.append(ends[-1][-1] + cum)
             lo = hi
         return (np.concatenate(ids) if ids else np.zeros(0, "<u4")), np.concatenate(ends)
 
+    @staticmethod
+    def _marked(data, offsets):
+        """(class of each byte, whether a text begins there); the bytes of a character share its class."""
+        import numpy as np
+
+        table = _classes()
+        kinds = table[data]
+        lead = np.flatnonzero(data >= 0xC0)
+        if len(lead):
+            more = np.concatenate([data, np.zeros(3, "u1")])
+            b0, b1, b2, b3 = (more[lead + k].astype("u4") for k in range(4))
+            three, four = b0 >= 0xE0, b0 >= 0xF0
+            code = np.where(four, (b0 & 7) << 18 | (b1 & 63) << 12 | (b2 & 63) << 6 | (b3 & 63), np.where(three, (b0 & 15) << 12 | (b1 & 63) << 6 | (b2 & 63), (b0 & 31) << 6 | (b1 & 63)))
+            kind = table[np.minimum(code, 1 << 17)]
+            kinds[lead] = kinds[lead + 1] = kind
+            kinds[lead[three] + 2] = kind[three]
+            kinds[lead[four] + 3] = kind[four]
+        begins = np.zeros(len(data) + 1, bool)
+        begins[offsets] = True
+        return kinds, begins
+
+    @staticmethod
+    def _starts(data, kinds, begins):
+        """Places where pre-tokens begin."""
+        import numpy as np
+
+        first, n = begins[:-1], len(data)
+        white = kinds >= BLANK
+        before = np.empty_like(kinds)
+        before[0], before[1:] = OTHER, kinds[:-1]
+        after_white = before >= BLANK
+        starts = first | (~white & (before != kinds) & (before != BLANK)) | (white & ~after_white)
+        # the last of several white characters before a word stands apart from the others
+        last = white & after_white & ~first
+        last[:-1] &= ~white[1:] & ~first[1:]
+        last[-1] = False
+        starts |= last
+        quotes = np.flatnonzero((data == ord("'")) & starts)
+        if len(quotes):
+            more = np.concatenate([data, np.zeros(2, "u1")])
+            ends = np.concatenate([begins, [True]])
+            a, b = more[quotes + 1], more[quotes + 2]
+            one = ~ends[quotes + 1] & np.isin(a, np.frombuffer(b"stmd", "u1"))
+            pair = a.astype("u2") << 8 | b
+            two = ~one & ~ends[quotes + 1] & ~ends[quotes + 2] & np.isin(pair, [a << 8 | b for a, b in (b"re", b"ve", b"ll")])
+            starts[quotes[one | two] + 1] = False
+            stops = np.concatenate([quotes[one] + 2, quotes[two] + 3])
+            starts[stops[stops < n]] = True
+        return np.flatnonzero(starts)
+
     def _chunk(self, texts):
         import numpy as np
 
-        joined = "\n".join(texts.to_pylist())
-        if "  " in joined or self.ODD.search(joined):
-            plain = [not ("  " in t or self.ODD.search(t)) for t in texts.to_pylist()]
-            if not all(plain):
-                return self._mixed(texts, plain)
-        del joined
-        lists = pc.split_pattern(texts.cast(pa.large_string()), pattern=" ")
-        offsets = lists.offsets.to_numpy()
+        offsets = np.frombuffer(texts.buffers()[1], "i8")[texts.offset : texts.offset + len(texts) + 1]
+        if offsets[0] == offsets[-1]:
+            return np.zeros(0, "<u4"), np.zeros(len(texts), "i8")
+        data = np.frombuffer(texts.buffers()[2], "u1")[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
-        flat = lists.flatten()
-        coded = flat.dictionary_encode()
-        codes = coded.indices.to_numpy().copy()
-        first = offsets[:-1]
-        heads = flat.take(pa.array(first)).to_pylist()
-        distinct = coded.dictionary.to_pylist()
-        values = self._known([f" {w}" for w in distinct])
-        head_values = self._known(heads)
-        codes[first] = len(values) + np.arange(len(heads))
-        values += head_values
+        kinds, begins = self._marked(data, offsets)
+        plain = np.ones(len(texts), bool)
+        plain[np.searchsorted(offsets, np.flatnonzero(kinds == ODD), "right") - 1] = False
+        for word in self.added:
+            plain &= ~pc.match_substring(texts, word).to_numpy(zero_copy_only=False)
+        if not plain.all():
+            return self._mixed(texts, plain)
+        starts = self._starts(data, kinds, begins)
+        places = np.append(starts, len(data)).astype("i8")
+        units = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        values = self._known(units.dictionary.to_pylist())
+        codes = units.indices.to_numpy()
         lens = np.fromiter(map(len, values), "i4", len(values)) >> 2
-        starts = np.cumsum(lens, dtype="i8") - lens
+        at = np.cumsum(lens, dtype="i8") - lens
         pool = np.frombuffer(b"".join(values), "<u4")
         n = lens[codes]
-        cum = np.cumsum(n, dtype="i8")
-        where = np.arange(int(cum[-1]) if len(cum) else 0, dtype="i4")
-        where += np.repeat((starts[codes] - (cum - n)).astype("i4"), n)
-        return pool[where], cum[offsets[1:] - 1]
+        cum = np.zeros(len(n) + 1, "i8")
+        np.cumsum(n, out=cum[1:])
+        where = np.arange(int(cum[-1]), dtype="i4")
+        where += np.repeat((at[codes] - cum[:-1]).astype("i4"), n)
+        return pool[where], cum[np.searchsorted(starts, offsets[1:])]
 
     def _mixed(self, texts, plain):
         import numpy as np
 
         out = [b""] * len(plain)
-        odd = [i for i, ok in enumerate(plain) if not ok]
-        for i, b in zip(odd, self.whole(texts.take(pa.array(odd)).to_pylist()), strict=True):
+        odd = np.flatnonzero(~plain)
+        for i, b in zip(odd.tolist(), self.whole(texts.take(pa.array(odd)).to_pylist()), strict=True):
             out[i] = b
-        rest = [i for i, ok in enumerate(plain) if ok]
-        if rest:
+        rest = np.flatnonzero(plain)
+        if len(rest):
             ids, ends = self._chunk(texts.take(pa.array(rest)))
-            for i, lo, hi in zip(rest, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            for i, lo, hi in zip(rest.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 out[i] = ids[lo:hi].tobytes()
         return np.frombuffer(b"".join(out), "<u4"), np.cumsum([len(b) >> 2 for b in out], dtype="i8")
