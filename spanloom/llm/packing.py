@@ -3,10 +3,12 @@
 Documents are tokenized and cut into pieces of at most ``capacity`` ids. Full
 pieces are sequences already. The others are packed in rounds: each partition
 packs its own bins best-fit, largest first, and emits those that are full or
-lack at most ``slack`` ids. Underfull bins become the items of the next round,
-in fewer partitions, like the merges of a tree, until one partition suffices or
-a round no longer helps. A partition holds about ``per_task`` items, whatever
-the corpus; bins are moved by a hash of their number, so none is hot.
+lack at most ``slack`` ids. Underfull bins that can still be merged become the
+items of the next round, in ``FAN_IN`` times fewer partitions, like the merges of
+a tree, until all that is left was in one. A partition of the first round holds
+about ``per_task`` items, whatever the corpus; in later rounds the bins of one
+fill are at most as many as the partitions merged into it times those of the
+round before. Bins are moved by a hash of their number, so none is hot.
 
 Defined results: null text counts as empty (one piece, the end id alone);
 repeated rows and ids are separate documents; an empty table gives no rows;
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import UnitEncoder, stored, tokenizer_path
 
+FAN_IN = 8
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BINNED = f"{PIECE}, bin long, offset long, fill long"
 
@@ -107,7 +110,13 @@ def _round(rows: DataFrame, parts: int, number: int, capacity: int, slack: int,
         total = np.bincount(where, weights=size).astype("i8")
         base = (number << 56) | (TaskContext.get().partitionId() << 33)
         new = where[inverse]
-        done = (total[new] >= capacity - slack) | last
+        # of the bins of one fill over half, those beyond the number of partitions can't be asked for
+        by_fill = np.lexsort((np.arange(len(total)), total))
+        place = np.arange(len(total)) - np.searchsorted(total[by_fill], total[by_fill])
+        spare = np.zeros(len(total), bool)
+        spare[by_fill] = (place >= parts) & (2 * total[by_fill] > capacity)
+        done = (total >= capacity - slack) | spare | last
+        done = done[new]
         t = t.set_column(5, "bin", pa.array(base + new)).set_column(6, "offset", pa.array(t.column("offset").to_numpy() + offset[inverse])).set_column(7, "fill", pa.array(total[new]))
         yield from t.append_column("done", pa.array(done)).to_batches()
 
@@ -115,23 +124,30 @@ def _round(rows: DataFrame, parts: int, number: int, capacity: int, slack: int,
 
 
 def packed(pieces: DataFrame, capacity: int = 1024, slack: int = 2, per_task: int = 100_000) -> DataFrame:
-    """Pieces with the sequence each is in and its offset there. ``pieces``: a stored table of ``token_pieces``."""
+    """Pieces with the sequence each is in and its offset there. ``pieces``: a stored table of ``token_pieces``.
+
+    Best fit leaves at most one bin of half the capacity or less in a partition, as two would
+    have gone together. Only such small bins can still be merged, so of the larger bins of one
+    fill as many stay open as there are partitions that could hold a small one, and none that
+    the smallest open bin doesn't fit into: all others are final, and no fit is lost by it.
+    """
     out = [pieces.where(F.col("fill") >= capacity)]
     open_ = pieces.where(F.col("fill") < capacity).select(*[c.split()[0] for c in BINNED.split(", ")])
     items, number = open_.count(), 1
+    parts = max(1, math.ceil(items / per_task))
     while items:
-        parts = max(1, math.ceil(items / per_task))
         last = parts == 1
         now = stored(_round(open_, parts, number, capacity, slack, last), f"packing-{number}")
         out.append(now.where("done").drop("done"))
         if last:
             break
-        open_ = now.where("not done").drop("done")
-        left = open_.select("bin").distinct().count()
-        if left > 0.95 * items:  # a further round wouldn't help: what is open stays as it is
-            out.append(open_)
+        least = now.where("not done").agg(F.min("fill")).first()[0]
+        if least is None:
             break
-        items, number = left, number + 1
+        fits = ~F.col("done") & ((F.col("fill") + least <= capacity) | (F.col("fill") == least))
+        out.append(now.where(~F.col("done") & ~fits).drop("done"))
+        open_ = now.where(fits).drop("done")
+        parts, number = max(1, math.ceil(parts / FAN_IN)), number + 1
     rows = reduce(DataFrame.unionByName, out)
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
 
