@@ -15,11 +15,14 @@ number a step.
 Rates become whole copies by carrying the rounding error, in words, from larger
 to smaller sizes within bounded groups of counts, so a source's taken words
 miss its target by about the size of its smallest documents. Inside a count, a
-hash of doc_id says which documents get the extra copy; reruns agree.
+hash of doc_id and text says which documents get the extra copy: those up to an
+edge that is found exactly. The cells of (source, size) and their edges are as
+many as there are sources times distinct sizes; they are broadcast if counted to
+be few, and rows decide in place, so texts aren't shuffled. Reruns agree.
 
 Defined results: null text counts as empty (size 0, taken 0); a null source is
 a source; repeated rows are separate documents; an empty table gives no rows;
-other columns are ignored (``mixed_documents`` keeps them).
+other columns are ignored, whatever their names (``mixed_documents`` keeps them).
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import WORD, stored, text_or_empty
 
 WEIGHTS = (1, 2, 3)
+#: Rows of cells that may be broadcast, some 60 bytes each.
+BROADCAST_ROWS = 500_000
 
 
 def document_size(text: Column) -> Column:
@@ -75,7 +80,7 @@ def source_targets(sources: DataFrame, most: float = 3.0) -> DataFrame:
     return rows.select("key", "total", F.least(share, most * F.col("total")).alias("target"))
 
 
-def tilts(cells: DataFrame, targets: DataFrame, most: float = 3.0, steps: int = 40, within: float = 1e-9) -> DataFrame:
+def tilts(cells: DataFrame, targets: DataFrame, most: float = 3.0, steps: int = 100, within: float = 1e-9) -> DataFrame:
     """(key, mean, tilt) per source, by bracketed Newton steps on the dual."""
     stats = cells.groupBy("key").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
     top = math.log(most)
@@ -104,74 +109,101 @@ def tilts(cells: DataFrame, targets: DataFrame, most: float = 3.0, steps: int =
         joined = state.join(sums, "key")
         state = stored(joined.select("key", "target", "mean", new.alias("tilt"), low.alias("low"), high.alias("high"), (~close).alias("open")), f"mix-tilts-{step}")
         if not state.where("open").limit(1).count():
-            break
+            return state.select("key", "mean", "tilt")
         state = state.drop("open")
-    return state.select("key", "mean", "tilt")
+    raise ArithmeticError(f"tilts don't meet their targets after {steps} steps")
 
 
-def copies(sizes: DataFrame, most: float = 3.0, cell_rows: int = 50_000, group_cells: int = 20_000) -> DataFrame:
-    """Rows (doc_id, key, size) with source_size, target, copies. ``sizes`` must be a stored table."""
-    n_rows = sizes.count()
-    slots = max(1, math.ceil(n_rows / cell_rows))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int")
-    sizes = sizes.withColumn("slot", slot)
-    cells = stored(sizes.groupBy("key", "size", "slot").agg(F.count("*").alias("n")), "mix-cells")
-    by_size = stored(cells.groupBy("key", "size").agg(F.sum("n").alias("n")), "mix-sizes")
+def decisions(sizes: DataFrame, most: float = 3.0, group_cells: int = 20_000) -> DataFrame:
+    """(key, size, total, target, each, edge, allowed, tied) per cell of rows (key, size, mark): every row of
+    the cell is taken ``each`` times, once more if its mark is below ``edge``, and once more as well
+    for ``allowed`` of the ``tied`` rows whose mark is the edge. ``sizes`` must be a stored table."""
+    by_size = stored(sizes.groupBy("key", "size").agg(F.count("*").alias("n")), "mix-sizes")
     targets = stored(source_targets(by_size.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("total")), most), "mix-targets")
     rates = targets.join(tilts(by_size, targets, most), "key")
-    groups = max(1, math.ceil(cells.count() / group_cells))
+    groups = max(1, math.ceil(by_size.count() / group_cells))
     whole = int(most)
 
     def rounded(pdf):
-        pdf = pdf.sort_values(["size", "slot"], ascending=[False, True])
+        pdf = pdf.sort_values(["size"], ascending=[False])
         out, carry = [], 0.0
         for size, n, rate in zip(pdf["size"].tolist(), pdf["n"].tolist(), pdf["rate"].tolist(), strict=True):
             want = n * rate * size + carry
             k = min(whole * n, max(0, math.floor(want / size + 0.5))) if size else n
             carry = want - k * size
             out.append(k)
-        return pdf[["key", "size", "slot", "n"]].assign(total_copies=out)
+        return pdf[["key", "size", "n"]].assign(total_copies=out)
 
     power = F.least(F.col("tilt") * F.col("size") / F.greatest("mean", F.lit(1e-9)), F.lit(math.log(most)))
     given = (
-        cells.join(rates.select("key", "mean", "tilt"), "key")
+        by_size.join(rates.select("key", "mean", "tilt"), "key")
         .withColumn("rate", F.exp(power))
-        .withColumn("part", F.pmod(F.xxhash64("size", "slot"), F.lit(groups)))
-        .select("key", "part", "size", "slot", "n", "rate")
+        .withColumn("part", F.pmod(F.xxhash64("size"), F.lit(groups)))
+        .select("key", "part", "size", "n", "rate")
         .groupBy("key", "part")
-        .applyInPandas(rounded, "key string, size long, slot int, n long, total_copies long")
+        .applyInPandas(rounded, "key string, size long, n long, total_copies long")
     )
-    given = stored(given, "mix-copies")
-    turn = F.row_number().over(W.partitionBy("key", "size", "slot").orderBy(F.xxhash64("doc_id"), "doc_id"))
     each = F.floor(F.col("total_copies") / F.col("n"))
-    number = each + (F.col("turn") <= F.col("total_copies") - each * F.col("n")).cast("long")
-    rows = sizes.withColumn("turn", turn).join(given, ["key", "size", "slot"]).join(targets, "key")
-    return rows.select("doc_id", "key", "size", F.col("total").alias("source_size"), "target", number.alias("copies"))
+    given = stored(given.select("key", "size", "n", each.alias("each"), (F.col("total_copies") - each * F.col("n")).alias("more")), "mix-copies")
+    # the edge is the more-th smallest mark of a cell: found among its 4096 ranges of marks, then within one of them
+    partial = sizes.join(_if_small(given.where("more > 0").select("key", "size", "more")), ["key", "size"]).withColumn("range", F.shiftright("mark", 52))
+    ranges = partial.groupBy("key", "size", "more", "range").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.partitionBy("key", "size").orderBy("range"))
+    ranges = stored(ranges.withColumn("upto", upto).where("upto >= more and upto - n < more"), "mix-ranges")
+    inside = partial.select("key", "size", "mark", "range").join(_if_small(ranges.select("key", "size", "range", (F.col("more") - F.col("upto") + F.col("n")).alias("want"))), ["key", "size", "range"])
+    marks = inside.groupBy("key", "size", "want", "mark").agg(F.count("*").alias("tied"))
+    seen = F.sum("tied").over(W.partitionBy("key", "size").orderBy("mark"))
+    edges = marks.withColumn("seen", seen).where("seen >= want and seen - tied < want").select("key", "size", F.col("mark").alias("edge"), (F.col("want") - F.col("seen") + F.col("tied")).alias("allowed"), "tied")
+    return stored(given.join(edges, ["key", "size"], "left").join(targets, "key").select("key", "size", "total", "target", "each", "edge", "allowed", "tied"), "mix-decisions")
+
+
+def _if_small(df: DataFrame) -> DataFrame:
+    """Broadcast only if counted to be small; else Spark shuffles both sides."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _taken(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """``rows`` (with _mix_key, _mix_size, _mix_mark) and the ``_mix_copies`` of each, decided in place by the cells' edges.
+
+    Only rows that share their mark with others, of which some are taken, are numbered in a window.
+    """
+    own = cells.select(*[F.col(c).alias(f"_mix_{c}") for c in cells.columns])
+    joined = rows.withColumnsRenamed({"_mix_key": "_mix_k", "_mix_size": "_mix_s"}).join(_if_small(own), (F.col("_mix_k") == F.col("_mix_key")) & (F.col("_mix_s") == F.col("_mix_size"))).drop("_mix_k", "_mix_s")
+    some = F.coalesce((F.col("_mix_mark") == F.col("_mix_edge")) & (F.col("_mix_allowed") < F.col("_mix_tied")), F.lit(False))
+    below = F.coalesce((F.col("_mix_mark") <= F.col("_mix_edge")).cast("long"), F.lit(0))
+    plain = joined.where(~some).withColumn("_mix_copies", F.col("_mix_each") + below)
+    if not cells.where("allowed < tied").limit(1).count():
+        return plain
+    turn = F.row_number().over(W.partitionBy("_mix_key", "_mix_size", "_mix_mark").orderBy(F.lit(0)))
+    return plain.unionByName(joined.where(some).withColumn("_mix_copies", F.col("_mix_each") + (turn <= F.col("_mix_allowed")).cast("long")))
+
+
+def _measured(docs: DataFrame, source: str) -> DataFrame:
+    """``docs`` and what the mix knows of a row: source, size, and a mark that only rows of the same doc_id and text share."""
+    return docs.withColumns({"_mix_key": _key(F.col(source)), "_mix_size": document_size(text_or_empty()), "_mix_mark": F.xxhash64("doc_id", "text")})
+
+
+def _sizes(docs: DataFrame, source: str) -> DataFrame:
+    rows = _measured(docs.select("doc_id", "text", source) if source not in ("doc_id", "text") else docs.select("doc_id", "text"), source)
+    return stored(rows.select("doc_id", *[F.col(f"_mix_{c}").alias(c) for c in ("key", "size", "mark")]), "mix-documents")
 
 
 def mix_report(docs: DataFrame, source: str = "source", most: float = 3.0) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (words, repeats counted), copies."""
-    sizes = stored(docs.select("doc_id", _key(F.col(source)).alias("key"), document_size(text_or_empty()).alias("size")), "mix-documents")
-    return copies(sizes, most).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    sizes = _sizes(docs, source)
+    rows = _taken(sizes.toDF("doc_id", "_mix_key", "_mix_size", "_mix_mark"), decisions(sizes, most))
+    return rows.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_total").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("_mix_copies") * F.col("_mix_size")).alias("taken"), F.col("_mix_copies").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, source: str = "source", most: float = 3.0) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with all their columns.
 
-    Copies of rows that share doc_id, source and size are added up and dealt to
-    those rows in the order of their texts.
+    Texts are read twice rather than shuffled: each row finds its copies by its cell.
     """
-    key, size = _key(F.col(source)), document_size(text_or_empty())
-    sizes = stored(docs.select("doc_id", key.alias("key"), size.alias("size")), "mix-documents")
-    taken = stored(copies(sizes, most).groupBy("doc_id", "key", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "mix-taken")
-    own = {c: f"_mix_{c}" for c in ("doc_id", "key", "size", "copies", "rows")}
-    taken = taken.select(*[F.col(c).alias(n) for c, n in own.items()])
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_mix_doc_id"]) & (key == F.col("_mix_key")) & (size == F.col("_mix_size")))
-    number = F.col("_mix_copies")
-    if taken.where("_mix_rows > 1").limit(1).count():
-        turn = F.row_number().over(W.partitionBy("_mix_doc_id", "_mix_key", "_mix_size").orderBy("text"))
-        rows = rows.withColumn("_mix_turn", turn)
-        each = F.floor(F.col("_mix_copies") / F.col("_mix_rows"))
-        number = each + (F.col("_mix_turn") <= F.col("_mix_copies") - each * F.col("_mix_rows")).cast("long")
-    repeated = rows.withColumn("_mix_copies", number).where("_mix_copies > 0").withColumn("_mix_again", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    cells = decisions(_sizes(docs, source), most)
+    names = [f"_own_{i}" for i in range(len(docs.columns))]
+    fixed = {"doc_id", "text", source}
+    renamed = docs.withColumnsRenamed({c: n for c, n in zip(docs.columns, names, strict=True) if c not in fixed})
+    rows = _taken(_measured(renamed, source), cells).where("_mix_copies > 0")
+    again = rows.withColumn("_mix_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))))
+    return again.select(*[F.col(c if c in fixed else n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
