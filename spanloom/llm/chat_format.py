@@ -1,8 +1,11 @@
 """Chat formatting in DataFrame functions only.
 
 ``canonical_turns`` reads tables of several layouts. A row's schema fingerprint
-is a hash of the nested field paths that are set in it; the fingerprint selects
-a declarative mapping, a list of (role, path) or a path to a list of messages.
+is a hash of the nested field paths that are set in it. Which mapping a
+fingerprint selects is worked out beforehand for every set of paths that the
+table's columns allow: the mapping that shares most paths with the set, then the
+one that lacks fewest, then the first. A mapping is a list of (role, path), a
+path to a list of messages, or the columns of a row that is one turn itself.
 
 ``format_chats`` writes one string per conversation. Turn by turn:
 ``<|role|>``, the text, ``<|end|>``. Inside roles and texts every control
@@ -44,7 +47,7 @@ def unescape(value: Column) -> Column:
 
 # --- layouts --------------------------------------------------------------------
 
-#: name -> fields that must be set, and turns: ("turn", role, path) or ("messages", path, role field, text field).
+#: name -> its fields, and turns: ("turn", role, path), ("messages", path, role field, text field) or ("row", turn, role, text).
 MAPPINGS: dict[str, dict] = {
     "prompt_response": {"fields": ["prompt", "response"], "turns": [("turn", "user", "prompt"), ("turn", "assistant", "response")]},
     "prompt_completion": {"fields": ["prompt", "completion"], "turns": [("turn", "user", "prompt"), ("turn", "assistant", "completion")]},
@@ -76,33 +79,61 @@ def _paths(schema: T.StructType) -> list[tuple[str, str]]:
     return out
 
 
+def _units(df: DataFrame, key: str) -> list[tuple[list[str], Column]]:
+    """Sets of known paths that are set together in a row, with the condition that they are: the fields of a
+    list hang on the list; role, text and turn of a turn row on any of them, as each may be null."""
+    known = {p for m in MAPPINGS.values() for p in m["fields"]}
+    tops: dict[str, list[str]] = {}
+    for top, path in _paths(df.schema):
+        if top != key and path in known:
+            tops.setdefault(top, []).append(path)
+    row = MAPPINGS["turn_rows"]["fields"]
+    units = [(sorted(paths), F.col(f"`{top}`").isNotNull()) for top, paths in sorted(tops.items()) if top not in row]
+    if set(row) <= set(tops):
+        any_set = reduce(lambda a, b: a | b, [F.col(f).isNotNull() for f in row])
+        others = reduce(lambda a, b: a | b, [c for _, c in units], F.lit(False))
+        units.append((sorted(row), any_set | ~others))
+    return sorted(units, key=lambda u: u[0])
+
+
 def schema_fingerprint(df: DataFrame, key: str) -> Column:
     """Hash of the sorted field paths, besides ``key``, that some mapping names and this row has set."""
-    known = {p for m in MAPPINGS.values() for p in m["fields"]}
-    paths = sorted((p, top) for top, p in _paths(df.schema) if top != key and p in known)
-    if not paths:
-        return F.xxhash64(F.lit(""))
-    present = F.array_compact(F.array(*[F.when(F.col(f"`{top}`").isNotNull(), F.lit(p)) for p, top in paths]))
-    return F.xxhash64(F.array_join(present, "\n"))
+    units = _units(df, key)
+    if not units:
+        return fingerprint_of([])
+    return F.xxhash64(F.array_join(F.flatten(F.array_compact(F.array(*[F.when(is_set, F.array(*map(F.lit, paths))) for paths, is_set in units]))), "\n"))
 
 
-def canonical_turns(df: DataFrame, key: str = "conv_id") -> DataFrame:
-    """(conv_id, turn long, role, text) from any mix of the known layouts.
+def best_mapping(paths: Sequence[str], names: Sequence[str]) -> str | None:
+    """Of the mappings ``names``, the one for a row with these paths set; None if it names none of them."""
+    score = {n: (len(set(paths) & set(MAPPINGS[n]["fields"])), -len(set(MAPPINGS[n]["fields"]) - set(paths))) for n in names}
+    best = max(names, key=lambda n: score[n], default=None)  # the first of equals
+    return best if best is not None and score[best][0] else None
 
-    A row whose fingerprint fits no mapping gives one turn with a null role and
-    text, which keeps its conversation visible. Rows of turns have nullable
-    values, so their layout is told by the table's columns.
-    """
+
+def mapping_number(df: DataFrame, key: str, names: Sequence[str]) -> Column:
+    """Place in ``names`` of the mapping that a row's fingerprint selects; null for none."""
+    units = [paths for paths, _ in _units(df, key)]
+    table = []
+    for bits in range(1 << len(units)):  # at most 9 units
+        paths = [p for k, unit in enumerate(units) if bits >> k & 1 for p in unit]
+        found = best_mapping(paths, names)
+        if found is not None:
+            table += [fingerprint_of(paths), F.lit(names.index(found))]
+    return F.create_map(*table)[schema_fingerprint(df, key)] if table else F.lit(None).cast("int")
+
+
+def canonical_turns(df: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(conv_id, turn long, role, text) from any mix of the known layouts."""
     columns = {p for _, p in _paths(df.schema)}
-    empty = F.array(F.struct(F.lit(0).cast("long").alias("turn"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text")))
-    if {"role", "text", "turn"} <= columns:
-        return df.select(F.col(key).alias("conv_id"), F.col("turn").cast("long").alias("turn"), _role(F.col("role")).alias("role"), F.col("text").cast("string").alias("text"))
-    mark = schema_fingerprint(df, key)
-    turns = empty
-    for mapping in MAPPINGS.values():
-        if set(mapping["fields"]) <= columns:
-            turns = F.when(mark == fingerprint_of(mapping["fields"]), _apply(mapping["turns"])).otherwise(turns)
-    return df.select(F.col(key).alias("conv_id"), F.explode(turns).alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
+    names = [n for n, m in MAPPINGS.items() if set(m["fields"]) <= columns]
+    number, turns = mapping_number(df, key, names), None
+    for k, name in enumerate(names):
+        made = _apply(MAPPINGS[name]["turns"])
+        turns = F.when(number == k, made) if turns is None else turns.when(number == k, made)
+    none = F.lit(None).cast("array<struct<turn: long, role: string, text: string>>")
+    rows = df.select(F.col(key).alias("conv_id"), F.explode_outer(none if turns is None else turns).alias("t"))
+    return rows.select("conv_id", "t.turn", "t.role", "t.text")
 
 
 def _role(role: Column) -> Column:
@@ -111,6 +142,9 @@ def _role(role: Column) -> Column:
 
 
 def _apply(turns: list[tuple]) -> Column:
+    if turns[0][0] == "row":
+        _, turn, role, text = turns[0]
+        return F.array(F.struct(F.col(turn).cast("long").alias("turn"), _role(F.col(role)).alias("role"), F.col(text).cast("string").alias("text")))
     if turns[0][0] == "messages":
         _, path, role, text = turns[0]
         return F.transform(F.col(path), lambda x, i: F.struct(i.cast("long").alias("turn"), _role(x[role]).alias("role"), x[text].cast("string").alias("text")))
