@@ -1,11 +1,11 @@
 """A quality classifier on random-indexing word vectors.
 
-Each word has two units: its hash among 2**14 buckets, and the hash of its
+Each word has two units: its hash among 2**16 buckets, and the hash of its
 shape (capitals, small letters, digits and signs, runs squeezed) among 2**10. A
 unit's index vector has one +1 and one -1 among 32 places, given by its number;
 its word vector is the sum of the index vectors of the units two words to
-either side, over all documents. The vectors take 2 MB, however large the
-corpus; tasks sum their own and Spark adds them up.
+either side, over all documents. The vectors take 9 MB, however large the
+corpus (``WORD_BITS`` sets it); tasks sum their own and Spark adds them up.
 
 A document is the mean of its words' unit vectors and of its shapes', with the
 lengths of the two means, ln(1 + words) and the share of distinct words. A
@@ -18,7 +18,8 @@ read. Labels, lang, source and doc_id are no inputs of a score.
 
 Defined results: null text counts as empty and gets a score like any text; a
 null doc_id isn't held out and has no label; several labels of one doc_id count
-by their mean, null ones not; repeated rows are scored one by one; an empty
+by their mean, null ones not; repeated rows of a doc_id are scored one by one
+and are one example for the fit; an empty
 table gives no rows; without labels every score is 0.5; other columns are
 ignored.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import stored, text_or_empty
 from .shingles import chunks, mix, word_and_shape_hashes
 
-WORD_BITS, SHAPE_BITS, DIMS = 14, 10, 32
+WORD_BITS, SHAPE_BITS, DIMS = 16, 10, 32
 UNITS = (1 << WORD_BITS) + (1 << SHAPE_BITS)
 FEATURES = 2 * DIMS + 4
 SAMPLE = 20_000
@@ -170,8 +171,8 @@ def fit_network(features: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.avg("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # the documented bound on what reaches the driver
-    rows = features.dropDuplicates(["doc_id"]) if features.join(chosen, "doc_id").count() > sample else features
-    pairs = rows.join(chosen, "doc_id").select("doc_id", "features", "quality").toPandas().sort_values(["doc_id"], kind="stable")
+    # repeated rows of a doc_id are one example: the least features, at any size
+    pairs = features.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.first("quality").alias("quality")).toPandas().sort_values(["doc_id"], kind="stable")
     if not len(pairs):
         return None
     return Network().fit(np.stack(pairs["features"].to_numpy()).astype("f8"), (pairs["quality"].to_numpy() >= 0.5).astype("f8"))
