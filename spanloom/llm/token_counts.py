@@ -11,8 +11,8 @@ Defined results: null text counts as empty (0 tokens, no leaves); edits are
 (start, end, text) in code points of the text before any of them, must not
 overlap, and are clipped to the text; null edits are none; repeated rows are
 counted one by one; an empty table gives no rows; other columns are kept, in
-``with_trees`` and ``edited`` alike, so they must not be named like those that
-are added.
+``with_trees`` and ``edited`` alike, but for those named like a column that is
+added, which the added one replaces.
 """
 
 from __future__ import annotations
@@ -124,6 +124,7 @@ def apply_edits(tree: SegmentTree, leaves: list[str], edits: list[tuple[int, int
 def with_trees(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """``docs`` with leaf_chars and leaf_tokens, the leaves of each text's tree."""
     path = tokenizer or tokenizer_path()
+    docs = docs.drop("leaf_chars", "leaf_tokens")
     column = docs.columns.index("text")
 
     def build(batches):
@@ -148,6 +149,7 @@ def edited(trees: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Rows of ``with_trees`` with a column ``edits`` (see EDITS): text and tree after the edits, and
     n_tokens before, n_edits, n_tokens_after, reencoded_chars."""
     path = tokenizer or tokenizer_path()
+    trees = trees.drop("n_tokens", "n_edits", "n_tokens_after", "reencoded_chars")
     names = trees.columns
 
     def work(batches):
@@ -197,7 +199,7 @@ def sample_edits(docs: DataFrame) -> DataFrame:
     n = F.length(F.coalesce("text", F.lit("")))
     middle = F.floor(n / 2).cast("int")
     edits = [
-        (F.lit(True), F.lit(0), F.lit(0), F.concat(F.lit("["), F.coalesce("lang", F.lit("?")), F.lit("] "))),
+        (F.lit(True), F.lit(0), F.lit(0), F.concat(F.lit("["), F.coalesce(F.col("lang").cast("string"), F.lit("?")) if "lang" in docs.columns else F.lit("?"), F.lit("] "))),
         (n >= 40, middle, middle + 9, F.lit(" edited, text")),
         (n >= 80, n - 21, n, F.lit("")),
     ]
@@ -207,5 +209,5 @@ def sample_edits(docs: DataFrame) -> DataFrame:
 
 def edit_report(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Per document: doc_id, n_tokens, n_edits, n_tokens_after, n_leaves, reencoded_chars, under ``sample_edits``."""
-    trees = with_trees(docs.select("doc_id", "text", "lang"), tokenizer)
+    trees = with_trees(docs.select("doc_id", "text", *["lang"] * ("lang" in docs.columns)), tokenizer)
     return edited(sample_edits(trees), tokenizer).select("doc_id", "n_tokens", "n_edits", "n_tokens_after", F.size("leaf_chars").alias("n_leaves"), "reencoded_chars")
