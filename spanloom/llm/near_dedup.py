@@ -375,7 +375,10 @@ def deduplicated(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         F.col("doc_id").alias("_near_id"), F.col("node").alias("_near_node"), (F.col("kept") & F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("_near_kept"), F.col("n").alias("_near_n")
     )
     special = _maybe_broadcast(stored(special.where("not _near_kept or _near_n > 1"), "near-special"))
-    joined = docs.withColumn("_near_own", _node()).join(special, F.col("doc_id").eqNullSafe(F.col("_near_id")) & (F.col("_near_own") == F.col("_near_node")), "left")
-    single = joined.where("_near_kept is null").select(*[docs[c] for c in docs.columns])
-    repeated = joined.where("_near_kept").dropDuplicates(["doc_id", "_near_own"]).select(*docs.columns)
-    return single.union(repeated)
+    # own columns stand beside those of ``docs`` under names that it hasn't
+    names = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
+    joined = docs.toDF(*names.values()).withColumnRenamed(names["text"], "text").withColumn("_near_own", _node()).withColumnRenamed("text", names["text"])
+    joined = joined.join(special, F.col(names["doc_id"]).eqNullSafe(F.col("_near_id")) & (F.col("_near_own") == F.col("_near_node")), "left")
+    single = joined.where("_near_kept is null")
+    repeated = joined.where("_near_kept").dropDuplicates([names["doc_id"], "_near_own"])
+    return single.unionByName(repeated).select(*[F.col(n).alias(c) for c, n in names.items()])
