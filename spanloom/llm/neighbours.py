@@ -9,9 +9,9 @@ are split into slots of about ``SLOT`` vectors, so a large one is many tasks.
 A query scans the slots of its nearest lists, ``probes`` at least. Where there
 are more lists, at most ``TRIALS`` queries are compared with the whole index, and
 the lists probed are as many as held ``RECALL`` of their true neighbours, all if
-need be. Distances grow by blocks of
-columns; after each block a candidate whose partial distance, scaled to all
-columns, exceeds the current k-th distance by more than a chance deviation of a
+need be. Vectors lie in blocks of columns, and distances grow block by block;
+after each a candidate whose partial distance, scaled to all columns, exceeds the
+k-th distance found so far in its slot by more than a chance deviation of a
 random rotation allows (1 + EPSILON / sqrt(columns seen)) is abandoned. Scores
 of those left are computed in double precision on the original vectors.
 
@@ -64,6 +64,11 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Rows by a power of two so that squares neither overflow nor vanish; exact, and no cosine changes."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def _matrix(column) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False)
     return values.reshape(len(column), -1)
@@ -88,24 +93,35 @@ def fit_centroids(classes: DataFrame, n_lists: int, turned: np.ndarray, steps: i
     return c
 
 
-def adaptive_scan(query: np.ndarray, x: np.ndarray, k: int, block: int = BLOCK, epsilon: float = EPSILON) -> np.ndarray:
-    """Rows of ``x`` that may be among the k nearest to ``query`` (both rotated), nearest first."""
-    n, dims = x.shape
-    seed = min(n, max(4 * k, 64))
-    first = ((x[:seed] - query) ** 2).sum(axis=1)
-    bound = np.partition(first, k - 1)[k - 1] if seed >= k else np.inf
-    rows = np.arange(seed, n)
-    partial = np.zeros(len(rows))
-    for lo in range(0, dims, block):
-        hi = min(lo + block, dims)
-        partial += ((x[rows, lo:hi] - query[lo:hi]) ** 2).sum(axis=1)
-        if hi < dims:
-            keep = partial * (dims / hi) <= bound * (1 + epsilon / math.sqrt(hi)) ** 2
-            rows, partial = rows[keep], partial[keep]
-            if not len(rows):
-                break
-    rows, d = np.concatenate([np.arange(seed), rows]), np.concatenate([first, partial])
-    return rows[np.argsort(d, kind="stable")[:k]]
+def column_blocks(x: np.ndarray, block: int = BLOCK) -> list[np.ndarray]:
+    """``x`` as contiguous blocks of columns."""
+    return [np.ascontiguousarray(x[:, lo : lo + block]) for lo in range(0, x.shape[1], block)]
+
+
+def adaptive_scan(query: np.ndarray, blocks: list[np.ndarray], k: int, epsilon: float = EPSILON, step: int = 256) -> np.ndarray:
+    """Rows of ``blocks`` that may be among the k nearest to ``query`` (both rotated), nearest first.
+
+    Rows come ``step`` at a time; each step is held against the k-th distance of all before it.
+    """
+    n, dims = len(blocks[0]), len(query)
+    parts = np.split(query, np.cumsum([b.shape[1] for b in blocks])[:-1])
+    best, near = np.zeros(0, "i8"), np.zeros(0)
+    for first in range(0, n, step):
+        rows = np.arange(first, min(first + step, n))
+        bound = near[-1] if len(near) == k else np.inf
+        partial, seen = np.zeros(len(rows)), 0
+        for b, q in zip(blocks, parts, strict=True):
+            partial += ((b[rows] - q) ** 2).sum(axis=1)
+            seen += len(q)
+            if seen < dims and bound < np.inf:
+                keep = partial * (dims / seen) <= bound * (1 + epsilon / math.sqrt(seen)) ** 2
+                rows, partial = rows[keep], partial[keep]
+                if not len(rows):
+                    break
+        best, near = np.concatenate([best, rows]), np.concatenate([near, partial])
+        order = np.argsort(near, kind="stable")[:k]
+        best, near = best[order], near[order]
+    return best
 
 
 def needed_probes(index: DataFrame, searched: DataFrame, k: int, model) -> int:
@@ -196,12 +212,12 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", ve
             q, x = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
             order = np.argsort(right["class_id"].to_numpy(), kind="stable")
             x, names = x[order], right["class_id"].to_numpy()[order]
-            unit_x = _unit(x)
-            near_x = unit_x @ turned_
+            blocks = column_blocks(_unit(x) @ turned_)
             near_q = _unit(q) @ turned_
+            x, q = _scaled(x), _scaled(q)
             norm_x = np.sqrt((x * x).sum(axis=1))
             for i, name in enumerate(left["class_id"].to_numpy()):
-                found = adaptive_scan(near_q[i], near_x, min(k + 1, len(x)))
+                found = adaptive_scan(near_q[i], blocks, min(k + 1, len(x)))
                 scores = (x[found] * q[i]).sum(axis=1) / (norm_x[found] * np.sqrt((q[i] * q[i]).sum()))
                 out["query"] += [name] * len(found)
                 out["class_id"] += names[found].tolist()
