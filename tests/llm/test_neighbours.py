@@ -56,13 +56,19 @@ def test_ties_copies_and_bad_vectors(spark):
     assert nn.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_huge_and_tiny_components(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e199]), (2, [0.0, 1e-200]), (3, [-1.0, 0.0])]
+    got = found(nn.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0))
+    assert [v for v, _ in got[0]] == [1, 2, 3] and abs(got[0][0][1] - 1 / math.sqrt(1.01)) < 1e-12
+
+
 def test_scan_keeps_the_nearest():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((3000, 64)) @ nn.rotation(64)
     kept = 0
     for _ in range(40):
         q = rng.standard_normal(64)
-        kept += len(set(nn.adaptive_scan(q, x, 6).tolist()) & set(np.argsort(((x - q) ** 2).sum(axis=1))[:6].tolist()))
+        kept += len(set(nn.adaptive_scan(q, nn.column_blocks(x), 6).tolist()) & set(np.argsort(((x - q) ** 2).sum(axis=1))[:6].tolist()))
     assert kept >= 0.97 * 240
 
 

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat_format, common, mixing, packing, quality_rules, queries, secrets
+from spanloom.llm import chat_format, common, mixing, near_dedup, packing, quality_rules, queries, secrets, token_counts
 from spanloom.llm.sql import OP8
 from tests.conftest import SF
 
@@ -138,6 +138,9 @@ def test_layouts_are_told_by_fingerprint(spark):
         (3, None, None, "i", "in", "o", None, None),
         (4, None, None, None, None, None, [("human", "q"), ("gpt", "a")], None),
         (5, None, None, None, None, None, None, "n"),
+        (6, "p", None, None, None, None, None, None),
+        (7, "p", "r", None, None, "stray", None, None),
+        (8, None, None, None, None, None, [], None),
     ]
     got = collections.defaultdict(list)
     for r in chat_format.canonical_turns(spark.createDataFrame(rows, schema)).orderBy("conv_id", "turn").collect():
@@ -148,9 +151,24 @@ def test_layouts_are_told_by_fingerprint(spark):
         3: [("system", "i"), ("user", "in"), ("assistant", "o")],
         4: [("user", "q"), ("assistant", "a")],
         5: [(None, None)],
+        6: [("user", "p"), ("assistant", None)],
+        7: [("user", "p"), ("assistant", "r")],
+        8: [(None, None)],
     }
 
 
+def test_turn_rows_and_other_layouts_in_one_table(spark, monkeypatch):
+    schema = "conv_id long, turn long, role string, text string, prompt string, response string, messages array<struct<role: string, content: string>>"
+    rows = [(1, 0, "human", "q", None, None, None), (1, 1, None, None, None, None, None), (2, None, None, None, "p", "r", None), (3, None, None, None, None, None, [("user", "m")]), (4, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    got = sorted((r["conv_id"], r["turn"] or 0, r["role"], r["text"]) for r in chat_format.canonical_turns(df).collect())
+    assert got == [(1, 0, "user", "q"), (1, 1, None, None), (2, 0, "user", "p"), (2, 1, "assistant", "r"), (3, 0, "user", "m"), (4, 0, None, None)]
+    # the query goes through the mapping that the fingerprint selects
+    monkeypatch.setitem(chat_format.MAPPINGS, "turn_rows", {"fields": ["role", "text", "turn"], "turns": [("row", "turn", "text", "role")]})
+    table = spark.createDataFrame([(1, 0, "user", "swapped")], "conv_id long, turn long, role string, text string")
+    assert [(r["role"], r["text"]) for r in chat_format.canonical_turns(table).collect()] == [("swapped", "user")]
+
+
 def test_base_secrets_equal_plain_patterns(docs):
     plain = [
         (0, re.compile(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
@@ -393,3 +411,18 @@ def test_mixing_awkward_rows(spark, awkward):
     assert mixing.mixed_documents(awkward).columns == awkward.columns
     skew = spark.createDataFrame([(i, "w " * (1 + i % 3), "hot") for i in range(300)] + [(1000, "x " * 50, "b"), (1001, "x " * 7, None)], "doc_id long, text string, source string")
     check_mix(mixing.mix_report(skew).collect(), {r["doc_id"]: r["source"] for r in skew.collect()})
+
+
+def test_clashing_names(spark):
+    names = ["_mix_key", "_mix_turn", "_mix_again", "_mix_copies", "_near_own", "_near_id", "_near_kept", "_code", "_rate", "leaf_chars", "edits", "n_tokens", "bin", "ids", "key", "size"]
+    rows = [(i, f"some words of text number {i} " * 30, "en", "a", *["x"] * len(names)) for i in range(6)] + [(0, None, None, None, *[None] * len(names))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    for stage in (quality_rules.judged_documents, near_dedup.deduplicated, secrets.redacted_documents, mixing.mixed_documents):
+        got = stage(df)
+        assert got.columns == df.columns
+        assert all(r["_mix_key"] == "x" for r in got.collect() if r["text"])
+        assert stage(df.limit(0)).count() == 0
+    assert token_counts.edit_report(df).count() == len(rows)
+    assert token_counts.edit_report(df.drop("lang")).count() == len(rows)
+    assert token_counts.with_trees(df).where("text is not null and size(leaf_chars) = 0").count() == 0
+    assert packing.pack_documents(df).count() == len(rows)
