@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
 it kept. Between stages the rows are written as Parquet and read again.
+
+Defined results: an empty table gives an empty table at every stage; null text
+counts as empty, so it fails the quality rules; rows with a null doc_id or source
+take part like any other; repeated rows fall together as near-duplicates; other
+columns, whatever their names, are kept up to the last stage.
 """
 
 from __future__ import annotations
