@@ -7,11 +7,11 @@ being the absolute start.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .text import tokenize_ws
+from .text import SPACES
 
 
 def decode_signed(df: DataFrame, key: str = "doc_id", timings: str = "timings", start_ms: str = "start_ms") -> DataFrame:
@@ -48,22 +48,81 @@ def decode_pairs(df: DataFrame, key: str = "doc_id", timings: str = "timings") -
     return timed.select(key, F.floor(F.col("_k") / 2).cast("int").alias("pos"), (F.col("end_ms") - F.col("_v")).alias("start_ms"), "end_ms")
 
 
-def word_bytes(word: Column, window) -> tuple[Column, Column]:
-    """UTF-8 byte range of each word in the text of all words joined by blanks, from sums of lengths."""
-    end = F.sum(F.octet_length(word) + 1).over(window) - 1
-    return end - F.octet_length(word), end
+def _words(texts):
+    """(row, place, word, first byte, last byte) of the words of an Arrow string array, row by row."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = pc.split_pattern_regex(texts.fill_null("").cast(pa.large_string()), pattern=SPACES)
+    row, flat = pc.list_parent_indices(lists), lists.flatten()
+    full = pc.not_equal(flat, "")
+    row, flat = row.filter(full).to_numpy(), flat.filter(full)
+    size = pc.binary_length(flat).to_numpy()
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    end = np.cumsum(size + 1)
+    end = end - (end - size - 1)[np.searchsorted(row, row)] - 1 if len(row) else end
+    return row, place, flat, end - size, end
 
 
 def text_words(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pos, word, byte_start, byte_end)."""
-    rows = df.select(key, F.posexplode(tokenize_ws(F.col(text))).alias("pos", "word"))
-    upto = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    start, end = word_bytes(F.col("word"), upto)
-    return rows.withColumns({"byte_start": start, "byte_end": end})
+    """(key, pos, word, byte_start, byte_end); bytes count in the text of all words joined by blanks.
+
+    A text's words come from one row, so no shuffle is needed for their places.
+    """
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                row, place, word, first, last = _words(part.column(1))
+                yield pa.record_batch([part.column(0).take(pa.array(row)), pa.array(place, pa.int32()), word.cast(pa.string()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=[key, "pos", "word", "byte_start", "byte_end"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, F.col(text).cast("string")).mapInArrow(cut, f"{key} {kind}, pos int, word string, byte_start long, byte_end long")
 
 
 def words_table(transcripts: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Words with times and bytes of transcripts (text, start_ms, timings, encoding 'signed' or 'pairs')."""
-    signed = decode_signed(transcripts.where("encoding = 'signed'"), key)
-    pairs = decode_pairs(transcripts.where("encoding = 'pairs'"), key)
-    return text_words(transcripts, key).join(signed.unionByName(pairs), [key, "pos"], "left")
+    """Words with times and bytes of transcripts (text, start_ms, timings, encoding 'signed' or 'pairs').
+
+    Words beyond the timings have null times. Both lists lie in one row, so nothing is shuffled.
+    """
+
+    def cut(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                row, place, word, first, last = _words(part.column(1))
+                zero = part.column(2).fill_null(0).to_numpy()
+                signed = part.column(4).fill_null("").to_numpy(zero_copy_only=False) == "signed"
+                lists = part.column(3)
+                at = pc.list_parent_indices(lists).to_numpy().astype("i8")
+                v = lists.flatten().fill_null(0).to_numpy()
+                begins = np.searchsorted(at, at)
+                k = np.arange(len(at)) - begins
+                run = np.cumsum(np.abs(v))
+                run = run - (run - np.abs(v))[begins] if len(at) else run
+                heard = np.where(signed[at], v >= 0, k % 2 == 1)
+                nth = np.cumsum(heard)
+                nth = nth - (nth - heard)[begins] - 1 if len(at) else nth
+                end = run + np.where(signed[at], zero[at], 0)
+                counts = np.bincount(row, minlength=part.num_rows)
+                use = heard & (nth < counts[at])
+                target = (np.cumsum(counts) - counts)[at[use]] + nth[use]
+                known = np.zeros(len(row), bool)
+                start_ms, end_ms = np.zeros(len(row), "i8"), np.zeros(len(row), "i8")
+                known[target], end_ms[target], start_ms[target] = True, end[use], end[use] - v[use]
+                yield pa.record_batch(
+                    [part.column(0).take(pa.array(row)), pa.array(place, pa.int32()), word.cast(pa.string()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(start_ms, mask=~known), pa.array(end_ms, mask=~known)],
+                    names=[key, "pos", "word", "byte_start", "byte_end", "start_ms", "end_ms"],
+                )
+
+    kind = transcripts.schema[key].dataType.simpleString()
+    rows = transcripts.select(key, F.col("text").cast("string"), F.col("start_ms").cast("long"), F.col("timings").cast("array<long>"), "encoding")
+    return rows.mapInArrow(cut, f"{key} {kind}, pos int, word string, byte_start long, byte_end long, start_ms long, end_ms long")

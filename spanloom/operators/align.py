@@ -34,11 +34,15 @@ def noise_title_filter(rows: DataFrame, titles: tuple, prefixes: tuple, parts: t
 
 
 def talks_for_stream(talks: DataFrame, streams: DataFrame) -> DataFrame:
-    """(stream, uri): talks of a stream's room and day, or with its key prefix. Two equi-joins, one on the prefix's own length."""
-    by_room = talks.join(F.broadcast(streams.where("room is not null").select("stream", "room", "day")), ["room", "day"]).select("stream", "uri")
-    prefixes = streams.where("prefix is not null").select("stream", "prefix")
-    by_key = talks.join(F.broadcast(prefixes), F.col("rkey").startswith(F.col("prefix"))).select("stream", "uri")
-    return by_room.union(by_key).distinct()
+    """(stream, uri): talks of a stream's room and day, or with its key prefix.
+
+    Equi-joins on (room, day) and on each distinct length of a prefix and the start of the key it stands for.
+    """
+    out = talks.join(streams.where("room is not null").select("stream", "room", "day"), ["room", "day"]).select("stream", "uri")
+    prefixes = streams.where("prefix is not null").select("stream", "prefix", F.length("prefix").alias("_n"))
+    lengths = [r["_n"] for r in prefixes.select("_n").distinct().orderBy("_n").collect()]  # as many as lengths differ
+    starts = talks.select("uri", F.explode(F.array(*[F.struct(F.lit(n).alias("_n"), F.substring("rkey", 1, n).alias("prefix")) for n in lengths])).alias("_s")).select("uri", "_s.*") if lengths else None
+    return (out if starts is None else out.union(starts.join(prefixes, ["_n", "prefix"]).select("stream", "uri"))).distinct()
 
 
 def tracks_index(talks: DataFrame, streams: DataFrame) -> DataFrame:
@@ -140,11 +144,13 @@ def realign_vod(talks: DataFrame, vods: DataFrame, allowed: DataFrame, low: floa
     start = F.col("created_at") - F.make_dt_interval(secs=F.col("duration_s"))
     v = vods.select("vod_uri", F.col("room").alias("v_room"), start.alias("v_start"), F.col("created_at").alias("v_end"), "duration_s")
     v = v.withColumn("_hour", F.explode(F.sequence(F.floor(F.unix_timestamp("v_start") / bucket_s), F.floor(F.unix_timestamp("v_end") / bucket_s))))
-    hits = odd.join(v, "_hour").where("v_start <= starts_at and starts_at < v_end")
-    ok = allowed.select(F.col("talk_room").alias("room"), F.col("room").alias("v_room"), F.lit(True).alias("_ok"))
-    hits = hits.join(F.broadcast(ok), ["room", "v_room"], "left")
-    best = hits.groupBy("talk").agg(F.max_by("vod_uri", F.struct(F.coalesce("_ok", F.lit(False)), "duration_s", "vod_uri")).alias("vod_uri"))
-    return odd.select("talk").join(best, "talk", "left")
+    covers = "v_start <= starts_at and starts_at < v_end"
+    longest = F.max_by("vod_uri", F.struct("duration_s", "vod_uri")).alias("vod_uri")
+    rooms = allowed.select(F.col("talk_room").alias("room"), F.col("room").alias("v_room")).distinct()
+    first = odd.join(rooms, "room").join(v, ["v_room", "_hour"]).where(covers).groupBy("talk").agg(longest)
+    # only talks without a recording in an allowed room meet those of all rooms
+    rest = odd.join(first, "talk", "left_anti").join(v, "_hour").where(covers).groupBy("talk").agg(longest)
+    return odd.select("talk").join(first.union(rest), "talk", "left")
 
 
 def reconcile_end_times(matches: DataFrame, segments: DataFrame, near_s: float = 60.0) -> DataFrame:

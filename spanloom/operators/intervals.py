@@ -48,10 +48,8 @@ def as_of(points: DataFrame, marks: DataFrame, keys: list[str], at: str, mark: s
     others = [c for c in marks.columns if c not in keys]
     a = points.select(*keys, F.col(at).alias("_at"), F.lit(1 if not forward else 0).alias("_side"), F.struct(*points.columns).alias("_p"), F.lit(None).cast(marks.select(F.struct(*others).alias("m")).schema["m"].dataType).alias("_m"))
     b = marks.select(*keys, F.col(mark).alias("_at"), F.lit(0 if not forward else 1).alias("_side"), F.lit(None).cast(a.schema["_p"].dataType).alias("_p"), F.struct(*others).alias("_m"))
-    ordered = W.partitionBy(*keys).orderBy("_at", "_side")
-    if forward:
-        found = F.first("_m", ignorenulls=True).over(ordered.rowsBetween(0, W.unboundedFollowing))
-    else:
-        found = F.last("_m", ignorenulls=True).over(ordered.rowsBetween(W.unboundedPreceding, 0))
+    # forward runs from the end, as a frame that grows costs one step a row and one that shrinks a whole pass
+    order = [F.desc("_at"), F.desc("_side")] if forward else ["_at", "_side"]
+    found = F.last("_m", ignorenulls=True).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
     joined = a.unionByName(b).withColumn("_found", found).where("_p is not null")
     return joined.select("_p.*", *[F.col(f"_found.{c}").alias(c) for c in others])

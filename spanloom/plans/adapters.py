@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.functions.timing import text_words
+from spanloom.functions.text import tokenize_ws
+from spanloom.functions.timing import words_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +19,12 @@ def transcripts(spark, d) -> DataFrame:
 
 def words(spark, d) -> DataFrame:
     """Words with made-up times: 80 ms and 20 for each character, and now and then a pause of 2.5 s before."""
-    base = text_words(transcripts(spark, d))
-    dur = 80 + 20 * F.length("word")
-    gap = F.when((F.col("pos") > 0) & ((F.col("pos") * 7 + F.col("doc_id")) % 41 == 0), 2500).otherwise(0)
-    timed = base.withColumns({"dur_ms": dur.cast("long"), "gap_ms": gap.cast("long")})
-    upto = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    end = 1000 * (F.col("doc_id") % 7) + F.sum(F.col("dur_ms") + F.col("gap_ms")).over(upto)
-    return timed.withColumn("end_ms", end).withColumn("start_ms", F.col("end_ms") - F.col("dur_ms"))
+    rows = transcripts(spark, d)
+    dur = lambda w: (80 + 20 * F.length(w)).cast("long")
+    gap = lambda pos: F.when((pos > 0) & ((pos * 7 + F.col("doc_id")) % 41 == 0), 2500).otherwise(0).cast("long")
+    pairs = F.transform(tokenize_ws(F.col("text")), lambda w, i: F.array(F.when(i == 0, F.col("start_ms")).otherwise(gap(i)).cast("long"), dur(w)))
+    timed = words_table(rows.select("doc_id", "text", "start_ms", F.flatten(pairs).alias("timings"), F.lit("pairs").alias("encoding")))
+    return timed.withColumns({"dur_ms": F.col("end_ms") - F.col("start_ms"), "gap_ms": gap(F.col("pos"))})
 
 
 def diarization(spark, d) -> DataFrame:
@@ -34,6 +33,13 @@ def diarization(spark, d) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("stream"), F.round(second, 3).alias("start_s"), (F.round(second, 3) + F.col("value") / 2).alias("end_s"), F.col("event_type").alias("speaker"))
 
 
+def streamed_words(spark, d, step: float, length: float) -> DataFrame:
+    """The words of each document on the stream of one day, ``step`` seconds apart; pos is unique in a stream."""
+    stream = F.date_format(F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 30).cast("int")), "yyyy-MM-dd")
+    start = F.col("pos") * step + F.col("doc_id") % 7
+    return words(spark, d).select(stream.alias("stream"), (F.col("doc_id") * 100_000 + F.col("pos")).alias("pos"), "word", start.alias("start_s"), (start + length).alias("end_s"))
+
+
 def asr_segments(spark, d) -> DataFrame:
     rows = diarization(spark, d).join(table(spark, d, "events").select("event_id", "value"), "event_id")
     return rows.select("event_id", "stream", "start_s", "end_s", (-F.col("value") / 50).alias("avg_logprob"), ((F.col("event_id") % 10) / 10).alias("no_speech_prob"))

@@ -101,15 +101,14 @@ def post_offsets(spark, d):
 
 
 @query(V("""
-, m AS (SELECT s.stream, pos, (pos * 7 + 0.6)::DOUBLE AS mid FROM words CROSS JOIN (SELECT DISTINCT stream FROM diarization WHERE stream <= '2024-01-05') s WHERE doc_id = 0),
+, m AS (SELECT strftime(DATE '2024-01-01' + (doc_id % 30)::INTEGER, '%Y-%m-%d') AS stream, doc_id * 100000 + pos AS pos, (pos * 7 + doc_id % 7 + 0.6)::DOUBLE AS mid FROM words),
 i AS (SELECT m.stream, m.pos, arg_min(speaker, (start_s, event_id)) AS speaker FROM m JOIN diarization g ON g.stream = m.stream AND mid BETWEEN start_s AND end_s GROUP BY ALL),
 e AS (SELECT m.stream, m.pos, mid, max(end_s) AS e, arg_max(speaker, end_s) AS es FROM m LEFT JOIN diarization g ON g.stream = m.stream AND end_s <= mid GROUP BY ALL),
 s AS (SELECT m.stream, m.pos, min(start_s) AS s, arg_min(speaker, start_s) AS ss FROM m LEFT JOIN diarization g ON g.stream = m.stream AND start_s >= mid GROUP BY ALL)
 SELECT e.stream, e.pos, coalesce(i.speaker, CASE WHEN e IS NOT NULL AND (s IS NULL OR mid - e <= s - mid) THEN es ELSE ss END) AS speaker FROM e JOIN s USING (stream, pos) LEFT JOIN i USING (stream, pos)""", "words", "diarization"))
 def assign_speakers(spark, d):
-    one = A.words(spark, d).where("doc_id = 0").select("pos", (F.col("pos") * 7.0).alias("start_s"), (F.col("pos") * 7 + 1.2).alias("end_s"))
-    di = A.diarization(spark, d).where("stream <= '2024-01-05'")
-    return L.assign_speakers(di.select("stream").distinct().crossJoin(one), di)
+    """The words of all documents, laid out over the streams."""
+    return L.assign_speakers(A.streamed_words(spark, d, 7.0, 1.2), A.diarization(spark, d))
 
 
 @query("WITH p AS (SELECT doc_id AS post, CASE WHEN doc_id % 3 = 0 THEN 'see https://x.org/talks/t' || doc_id || '?a=1 @u1' WHEN doc_id % 3 = 1 THEN 'hi @u' || (doc_id % 40) || ' and @u' || (doc_id % 7) ELSE 'none' END AS text FROM documents), sp AS (SELECT 'u' || (s_suppkey % 30) AS handle, s_suppkey % 45 AS talk FROM supplier), one AS (SELECT handle, any_value(talk) AS talk FROM (SELECT DISTINCT handle, talk FROM sp) GROUP BY 1 HAVING count(*) = 1), h AS (SELECT post, unnest(regexp_extract_all(text, '@([A-Za-z0-9_.-]+)', 1)) AS handle, unnest(range(0, len(regexp_extract_all(text, '@([A-Za-z0-9_.-]+)', 1)))) AS k FROM p), b AS (SELECT post, arg_min(talk, k) AS t FROM h JOIN one USING (handle) GROUP BY 1) SELECT post, coalesce(nullif(regexp_extract(text, '/talks/([A-Za-z0-9_-]+)', 1), ''), t::VARCHAR) AS talk FROM p LEFT JOIN b USING (post)")

@@ -101,10 +101,10 @@ def assign_transitions(spark, d):
 
 @query()
 def replay_corrections(spark, d):
-    """Events as edits of their day's first segments."""
-    segments = S.talk_segments(S.speech_blocks(A.diarization(spark, d))).where("segment <= 20")
+    """All events as edits of their day's segments."""
+    segments = S.talk_segments(S.speech_blocks(A.diarization(spark, d)))
     talks = segments.select("stream", F.concat(F.lit("t"), "segment").alias("talk"), F.concat(F.lit("Talk "), "segment").alias("title"), "start_s", "end_s", F.lit("high").alias("confidence"))
     kinds = F.array(*[F.lit(k) for k in ("move", "verify", "title", "remove", "split", "add")])
     i = F.col("event_id")
-    edits = A.diarization(spark, d).where(i % 5 == 0).select("stream", i.alias("seq"), F.element_at(kinds, (i / 5 % 6 + 1).cast("int")).alias("kind"), F.concat(F.lit("t"), i % 25).alias("talk"), F.when(i % 2 == 0, "start").otherwise("end").alias("edge"), F.col("start_s").alias("at_s"), "end_s", F.concat(F.lit("n"), i).alias("text"))
+    edits = A.diarization(spark, d).select("stream", i.alias("seq"), F.element_at(kinds, (i % 6 + 1).cast("int")).alias("kind"), F.concat(F.lit("t"), i % 25).alias("talk"), F.when(i % 2 == 0, "start").otherwise("end").alias("edge"), F.col("start_s").alias("at_s"), "end_s", F.concat(F.lit("n"), i).alias("text"))
     return B.replay_corrections(talks, edits)

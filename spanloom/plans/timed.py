@@ -154,20 +154,22 @@ def run_zones(spark, d):
     return S.run_zones(A.words(spark, d), F.length("word") <= 4, 6, 2000, name="short words")
 
 
-@query(V(RUNS.replace("length(word) <= 4", "trim(word) = '0'").replace("> 2000", "> 5000") + " SELECT doc_id, start_ms, end_ms, 'numeric zero loop' AS pattern FROM z WHERE c >= 20", "words"))
+ZEROS = ", zw AS (SELECT * REPLACE (CASE WHEN pos % 97 < 25 THEN '0' ELSE word END AS word) FROM words)"
+
+
+@query(V(ZEROS + RUNS.replace("FROM words)", "FROM zw)").replace("length(word) <= 4", "trim(word) = '0'").replace("> 2000", "> 5000") + " SELECT doc_id, start_ms, end_ms, 'numeric zero loop' AS pattern FROM z WHERE c >= 20", "words"))
 def zero_run_zones(spark, d):
-    return S.zero_run_zones(A.words(spark, d))
+    """A fourth of each hundred words is taken to be a zero."""
+    return S.zero_run_zones(A.words(spark, d).withColumn("word", F.when(F.col("pos") % 97 < 25, "0").otherwise(F.col("word"))))
 
 
 @query(V("""
 , g AS (SELECT stream, end_s AS a, lead(start_s) OVER o AS b, row_number() OVER o AS gap FROM diarization WINDOW o AS (PARTITION BY stream ORDER BY start_s, event_id)),
-w AS (SELECT s.stream, (pos * 3)::DOUBLE AS start_s, pos * 3 + 1.5::DOUBLE AS end_s FROM words CROSS JOIN (SELECT DISTINCT stream FROM diarization) s WHERE doc_id = 0)
+w AS (SELECT strftime(DATE '2024-01-01' + (doc_id % 30)::INTEGER, '%Y-%m-%d') AS stream, (pos * 3 + doc_id % 7)::DOUBLE AS start_s, pos * 3 + doc_id % 7 + 1.5::DOUBLE AS end_s FROM words)
 SELECT g.stream, min(start_s) AS start_s, arg_max(end_s, start_s) AS end_s, 'diarization silence mismatch' AS pattern FROM g JOIN w ON g.stream = w.stream AND w.start_s >= a AND w.end_s <= b WHERE b - a >= 60 GROUP BY g.stream, gap""", "words", "diarization"))
 def silence_mismatch_zones(spark, d):
-    """The words of one document, laid out over every stream."""
-    one = A.words(spark, d).where("doc_id = 0").select((F.col("pos") * 3.0).alias("start_s"), (F.col("pos") * 3 + 1.5).alias("end_s"))
-    streams = A.diarization(spark, d).select("stream").distinct()
-    return S.silence_mismatch_zones(streams.crossJoin(one), A.diarization(spark, d))
+    """The words of all documents, laid out over the streams."""
+    return S.silence_mismatch_zones(A.streamed_words(spark, d, 3.0, 1.5).select("stream", "start_s", "end_s"), A.diarization(spark, d))
 
 
 LOW = ", b AS (SELECT *, avg_logprob < -1 OR no_speech_prob > 0.5 AS bad FROM asr_segments), c AS (SELECT *, sum((NOT bad)::INT) OVER (PARTITION BY stream ORDER BY start_s, event_id ROWS UNBOUNDED PRECEDING) AS run FROM b), low AS (SELECT stream, min(start_s) AS start_s, arg_max(end_s, (start_s, event_id)) AS end_s FROM c WHERE bad GROUP BY stream, run HAVING arg_max(end_s, (start_s, event_id)) - min(start_s) > 30)"
