@@ -57,6 +57,17 @@ def american_spelling(word: Column, rules: list[tuple[str, str]] = SPELLING) ->
     return out
 
 
+def expand_abbreviation(word: Column, table: dict[str, str]) -> Column:
+    """The expansion of a word in ``table`` (lower-case keys), whatever its case; null for others."""
+    names = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.try_element_at(names, F.lower(F.trim(word)))
+
+
+def confidence_label(score: Column, first: Column) -> Column:
+    """high from 15, medium from 8, else low; without a score the first of a chain is high, others extrapolated."""
+    return F.when(score >= 15, "high").when(score >= 8, "medium").when(score.isNotNull(), "low").when(first, "high").otherwise("extrapolated")
+
+
 def is_proper(word: Column) -> Column:
     """The first character is a capital letter."""
     first = F.substring(word, 1, 1)

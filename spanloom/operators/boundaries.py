@@ -114,6 +114,42 @@ def assign_transitions(talks: DataFrame, gaps: DataFrame, bonus: DataFrame | Non
     return talks.groupBy("stream").cogroup(marks.groupBy("stream")).applyInPandas(chain, f"stream {kinds['stream']}, talk {kinds['talk']}, at_s double, score double")
 
 
+def first_talk_start(gaps: DataFrame, usable: DataFrame, bonus: DataFrame | None = None, within_s: float = 2700.0) -> DataFrame:
+    """(stream, start_s): the best gap (stream, at_s, score) within ``within_s`` after the usable start (stream,
+    usable_s), where ``bonus`` (stream, at_s, bonus) lifts a score; a plain score wins a tie with a lifted one, then the
+    earlier gap; without a gap of a score above 0, the usable start."""
+    rows = gaps.join(usable, "stream").where((F.col("at_s") >= F.col("usable_s")) & (F.col("at_s") < F.col("usable_s") + within_s))
+    lifted = F.lit(0.0)
+    if bonus is not None:
+        rows, lifted = rows.join(bonus, ["stream", "at_s"], "left"), F.greatest(F.coalesce("bonus", F.lit(0.0)), F.lit(0.0))
+    rows = rows.withColumns({"_score": F.col("score") + lifted, "_lifted": lifted > 0}).where("_score > 0")
+    best = rows.groupBy("stream").agg(F.min_by("at_s", F.struct(-F.col("_score"), "_lifted", "at_s")).alias("_at"))
+    return usable.join(best, "stream", "left").select("stream", F.coalesce("_at", "usable_s").alias("start_s"))
+
+
+def anchor_chain(talks: DataFrame, gaps: DataFrame, near_s: float = 900.0) -> DataFrame:
+    """(stream, place, talk, at_s, found): each talk (stream, place, talk, duration_s, first_s) starts at the gap nearest
+    to the start before it plus that talk's length, within ``near_s`` (the earlier on ties), else just there.
+
+    A stream's talks and gaps are folded in order as two arrays; streams are folded apart.
+    """
+    g = gaps.groupBy("stream").agg(F.sort_array(F.collect_set(F.col("at_s").cast("double"))).alias("gs"))
+    t = talks.groupBy("stream").agg(F.sort_array(F.collect_list(F.struct("place", "talk", F.col("duration_s").cast("double").alias("d"), F.col("first_s").cast("double").alias("f")))).alias("ts"))
+    kinds = dict(talks.dtypes)
+    empty = F.expr(f"cast(array() as array<struct<place: {kinds['place']}, talk: {kinds['talk']}, at_s: double, found: boolean, d: double>>)")
+
+    def step(out, x):
+        last = F.try_element_at(out, F.lit(-1))
+        expected = F.when(F.size(out) == 0, x["f"]).otherwise(last["at_s"] + last["d"])
+        close = F.filter("gs", lambda a: F.abs(a - expected) <= near_s)
+        best = F.try_element_at(F.array_sort(F.transform(close, lambda a: F.struct(F.abs(a - expected).alias("far"), a.alias("at")))), F.lit(1))["at"]
+        found = (F.size(out) > 0) & best.isNotNull()
+        return F.concat(out, F.array(F.struct(x["place"].alias("place"), x["talk"].alias("talk"), F.when(found, best).otherwise(expected).alias("at_s"), F.coalesce(found, F.lit(False)).alias("found"), x["d"].alias("d"))))
+
+    both = t.join(g, "stream", "left").withColumn("gs", F.coalesce("gs", F.expr("cast(array() as array<double>)")))
+    return both.select("stream", F.explode(F.aggregate("ts", empty, step)).alias("r")).select("stream", "r.place", "r.talk", "r.at_s", "r.found")
+
+
 EDIT_SCHEMA = "stream string, seq long, kind string, talk string, edge string, at_s double, end_s double, text string"
 
 

@@ -21,7 +21,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import alignment, detection, people, timed  # noqa: F401
+    from . import alignment, detection, documents, people, timed  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

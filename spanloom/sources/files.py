@@ -39,3 +39,17 @@ def read_sidecar_map(spark: SparkSession, path: str, field: str, key: str = "key
     """(key, value) of a field of a curated JSON file that holds an object of strings."""
     rows = spark.read.schema(f"{field} map<string, string>").option("multiLine", True).json(path)
     return rows.select(F.explode(field).alias(key, value))
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's path below ``spark.checkpoint.dir``, which all executors share; a temporary one only in local mode."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"

@@ -1,9 +1,10 @@
 """The commit stream: Structured Streaming over the same code as the batch path.
 
-Each micro-batch is reduced to the newest commit of every uri and merged into a
-snapshot. Snapshots are versioned folders with a pointer to the newest, written
-last; a batch that runs again overwrites its own version, so the stream's
-checkpoint and the snapshots agree after a restart.
+Each micro-batch is reduced to the newest commit of every uri and written as one
+Parquet folder of a log; a batch that runs again overwrites its own folder, so the
+stream's checkpoint and the log agree after a restart. The state is the newest
+commit of every uri over the log: a batch costs what it brings, not what is there.
+``CommitLog.compact`` folds old batches into one.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from spanloom.sources.records import newest_commits, parse_commit_events, route_commits, upsert
+from spanloom.sources.records import newest_commits, parse_commit_events, route_commits
 
 STATE = "uri string, did string, collection string, rkey string, time_us long, rev string, record string"
 
@@ -24,52 +25,36 @@ def commit_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataF
     return parse_commit_events(spark.readStream.option("maxFilesPerTrigger", max_files).text(path))
 
 
-class Snapshots:
-    """Versions of one table under a folder; a reader sees the last whole one."""
+class CommitLog:
+    """Newest commits by batch under a folder; tombstones stay as rows with a null record, so that older
+    commits that arrive late stay out."""
 
-    def __init__(self, spark: SparkSession, root: str, schema: str = STATE):
-        self.spark, self.root, self.schema = spark, root, schema
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        spark.createDataFrame([], STATE).write.mode("ignore").parquet(f"{root}/batch=-1")
 
-    def _fs(self):
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
+    def write(self, commits: DataFrame, batch: int) -> None:
+        new = newest_commits(commits.select("uri", "did", "collection", "rkey", "operation", "time_us", "rev", "record"))
+        rows = new.select("uri", "did", "collection", "rkey", "time_us", "rev", F.when(F.col("operation") != "delete", F.col("record")).alias("record"))
+        rows.write.mode("overwrite").parquet(f"{self.root}/batch={batch}")
 
-    def versions(self) -> list[int]:
-        """Whole versions: those whose writer has left its success mark."""
-        fs, path = self._fs()
-        root = path(self.root)
-        if not fs.exists(root):
-            return []
-        found = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(int(n[1:]) for n in found if n[:1] == "v" and n[1:].isdigit() and fs.exists(path(f"{self.root}/{n}/_SUCCESS")))
+    def read(self) -> DataFrame:
+        """The newest row of every uri."""
+        log = self.spark.read.schema(f"{STATE}, batch long").option("basePath", self.root).parquet(self.root)
+        return newest_commits(log.drop("batch"))
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """The newest whole version (under ``before``); an empty table if there is none."""
-        known = [v for v in self.versions() if before is None or v < before]
-        reader = self.spark.read.schema(self.schema)
-        return reader.parquet(f"{self.root}/v{known[-1]}") if known else self.spark.createDataFrame([], self.schema)
+    def compact(self, root: str) -> CommitLog:
+        """A log at ``root`` with all batches so far as one; later batches go on there."""
+        self.read().write.mode("overwrite").parquet(f"{root}/batch=-1")
+        return CommitLog(self.spark, root)
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/v{version}")
 
-
-def index_batch(snapshots: Snapshots, batch: DataFrame, version: int) -> None:
-    """One micro-batch into the next version; running it again gives the same version."""
-    old = snapshots.read(before=version)
-    commits = newest_commits(batch.select("uri", "did", "collection", "rkey", "operation", "time_us", "rev", "record"))
-    # a tombstone is kept as a row with a null record, so that older commits that arrive late stay out
-    new = commits.select("uri", "did", "collection", "rkey", "time_us", "rev", F.when(F.col("operation") != "delete", F.col("record")).alias("record"))
-    merged = upsert(old, new.withColumn("operation", F.lit("update")).select(*old.columns, "operation"))
-    snapshots.write(merged, version)
-
-
-def stream_index(commits: DataFrame, snapshots: Snapshots, checkpoint: str, collections: list[str], guarded: list[str] = (), trusted_did: str | None = None, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Starts the stream into the snapshots; ``after`` gets each routed batch once it is written."""
+def stream_index(commits: DataFrame, log: CommitLog, checkpoint: str, collections: list[str], guarded: list[str] = (), trusted_did: str | None = None, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Starts the stream into the log; ``after`` gets each routed batch once it is written."""
 
     def each(batch: DataFrame, number: int) -> None:
         routed = route_commits(batch, collections, guarded, trusted_did)
-        index_batch(snapshots, routed, number)
+        log.write(routed, number)
         if after:
             after(routed, number)
 
