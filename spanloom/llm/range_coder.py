@@ -1,16 +1,18 @@
 """An adaptive context-mixing range coder for token ids, over many blocks in step.
 
-A block is coded from a fresh model and so stands alone. Three predictors offer
-the next id: order 2 (the id last seen after this pair, by a hashed table),
-order 1 (after this id) and order 0 (counts of the ids' high bytes; the low byte
-is even). Orders 2 and 1 carry a confidence of 0 to 3 hits. How far each order
-is trusted is learned for every pair of confidences: the three weights are
-counts of which order was right there, and they split the coder's range.
+A block is coded from a fresh model and so stands alone. Ids are numbered in the
+order in which a block first shows them, and three predictors offer the next
+number: order 2 (the one last seen after this pair, by a hashed table), order 1
+(after this one) and order 0 (counts of all numbers so far, and of news). Orders 2
+and 1 carry a confidence of 0 to 3 hits. How far each order is trusted is learned
+for every pair of confidences: the three weights are counts of which order was
+right there, and they split the coder's range. An id that order 0 has not in its
+table yet is written out: its high byte by counts, its low byte as it is.
 
 All blocks of a call move one id a step, so numpy's calls are shared by
 thousands of blocks. Encoder and decoder run the same model code.
 
-Block: ``SLB1``, number of ids, crc32 of the ids (little-endian 32-bit), number
+Block: ``SLB2``, number of ids, crc32 of the ids (little-endian 32-bit), number
 of 32-bit digits, digits.
 """
 
@@ -21,9 +23,11 @@ import zlib
 
 import numpy as np
 
-MAGIC, HEADER = b"SLB1", struct.Struct("<4sIII")
+MAGIC, HEADER = b"SLB2", struct.Struct("<4sIII")
 BLOCK = 4096
-SLOT_BITS, MIX_BITS, ZERO_BITS, REFRESH = 12, 16, 14, 64
+SLOT_BITS, MIX_BITS, ZERO_BITS, HIGH_BITS = 12, 16, 18, 14
+#: (below this step, steps between two tables of order 0).
+REFRESH = ((64, 8), (512, 32), (1 << 62, 128))
 U, U32 = np.uint64, np.uint64(32)
 LOW = U(0xFFFFFFFF)
 
@@ -33,33 +37,51 @@ class BadBlock(ValueError):
 
 
 class _Model:
-    def __init__(self, blocks: int, vocabulary: int):
-        kind = "u2" if vocabulary <= 1 << 16 else "u4"
-        slots = 1 << SLOT_BITS
-        self.guess = [np.zeros(blocks * slots, kind) for _ in range(2)]  # orders 2 and 1
+    def __init__(self, blocks: int, vocabulary: int, steps: int):
+        slots, width = 1 << SLOT_BITS, steps + 2
+        self.guess = [np.zeros(blocks * slots, "u2" if width < 1 << 16 else "u4") for _ in range(2)]  # orders 2 and 1; 0 is none
         self.trust = [np.zeros(blocks * slots, "u1") for _ in range(2)]
         self.right = np.ones((blocks * 16, 3), "f4")  # by the two confidences: hits of order 2, 1, 0
         self.right[:, 2] = 2
         self.high = (max(1, vocabulary - 1) >> 8) + 1
-        self.counts = np.ones((blocks, self.high), "f4")
+        self.highs = (1 + np.rint(16 / (1 + np.arange(self.high)))).astype("f4") * np.ones((blocks, 1), "f4")  # low ids are common ones
+        self.names = np.zeros((blocks, width), "u4")  # ids by number, from 1
+        self.size, self.known = np.zeros(blocks, "i8"), np.zeros(blocks, "i8")  # numbers given, and in the table
+        self.counts = np.zeros((blocks, width), "f4")  # place 0 counts what the table hadn't
+        self.counts[:, 0] = 1
         self.base, self.base16 = np.arange(blocks) * slots, np.arange(blocks) * 16
         self.last, self.before = np.zeros(blocks, "i8"), np.zeros(blocks, "i8")
         self.rows = np.arange(blocks)
 
-    def refresh(self, n: int) -> None:
-        """The order-0 ranges from the counts so far."""
-        c = self.counts[:n]
-        share = (1 << ZERO_BITS) - self.high
-        f = 1 + (c * (share / c.sum(axis=1, keepdims=True))).astype("i8")
-        self.sums = np.zeros((n, self.high + 1), "i8")
-        np.cumsum(f, axis=1, out=self.sums[:, 1:])
-        self.sums[:, -1] = 1 << ZERO_BITS
+    @staticmethod
+    def _ranges(c: np.ndarray, bits: int) -> np.ndarray:
+        """Sums of whole shares of 2**bits by counts; each positive count has one at least, the first the rest.
+
+        Counts are multiples of a half, so sums are exact and a block's ranges don't depend on the others.
+        """
+        some = c > 0
+        share = (1 << bits) - some.sum(axis=1, keepdims=True)
+        scale = (share * (1 - 1e-5) / c.sum(axis=1, keepdims=True, dtype="f8")).astype("f4")  # so that rounding up can't pass the share
+        f = (c * scale).astype("i4")
+        f += some
+        f[:, 0] += (1 << bits) - f.sum(axis=1, dtype="i4")
+        sums = np.zeros((len(c), c.shape[1] + 1), "i4")
+        np.cumsum(f, axis=1, out=sums[:, 1:])
+        return sums
+
+    def refresh(self, n: int, step: int) -> None:
+        """The ranges of order 0 and of high bytes from the counts so far."""
+        if step % next(every for below, every in REFRESH if step < below):
+            return
+        self.known[:n] = self.size[:n]
+        self.sums = self._ranges(self.counts[:n, : int(self.size[:n].max()) + 1], ZERO_BITS)
+        self.high_sums = self._ranges(self.highs[:n], HIGH_BITS)
 
     def predict(self, n: int):
         """Slots, guesses and the ranges of orders 2 and 1 (of 2**MIX_BITS) for the first n blocks."""
         mask = (1 << SLOT_BITS) - 1
-        h1 = (self.last[:n] * 40503 >> 4) & mask
-        h2 = ((self.last[:n] * 40503 + self.before[:n] * 30727 >> 3) ^ self.before[:n]) & mask
+        h1 = self.last[:n] & mask
+        h2 = (self.last[:n] * 40503 + self.before[:n] * 30727) >> 3 & mask
         self.slot = (self.base[:n] + h2, self.base[:n] + h1)
         g2, g1 = (self.guess[k][self.slot[k]].astype("i8") for k in (0, 1))
         t2, t1 = (self.trust[k][self.slot[k]].astype("i8") for k in (0, 1))
@@ -68,16 +90,40 @@ class _Model:
         scale = ((1 << MIX_BITS) - 4) / r.sum(axis=1)
         return g2, g1, 1 + (r[:, 0] * scale).astype("i8"), 1 + (r[:, 1] * scale).astype("i8")
 
-    def learn(self, n: int, ids: np.ndarray, way: np.ndarray, g2: np.ndarray, g1: np.ndarray) -> None:
+    def number_of(self, rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Numbers of ids that the table hasn't: given since it was made, or the next one."""
+        out = self.size[rows] + 1
+        wide = int((out - 1 - self.known[rows]).max(initial=0))
+        if wide:
+            places = self.known[rows][:, None] + np.arange(1, wide + 1)
+            hit = (self.names[rows[:, None], np.minimum(places, self.names.shape[1] - 1)] == ids[:, None]) & (places < out[:, None])
+            at = hit.argmax(axis=1)
+            out = np.where(hit[np.arange(len(rows)), at], self.known[rows] + 1 + at, out)
+        return out
+
+    def learn(self, n: int, x: np.ndarray, way: np.ndarray, g2: np.ndarray, g1: np.ndarray, spelt: np.ndarray, ids: np.ndarray) -> None:
         self.right[self.context, way] += 1
         for k, g in ((0, g2), (1, g1)):
-            slot, hit = self.slot[k], g == ids
+            slot, hit = self.slot[k], g == x
             trust = self.trust[k][slot]
             self.trust[k][slot] = np.where(hit, np.minimum(trust + 1, 3), 1)
-            self.guess[k][slot] = ids
-        self.counts[self.rows[:n], ids >> 8] += 1
+            self.guess[k][slot] = x
+        if len(spelt):
+            self.counts[spelt, 0] += 0.5
+            self.highs[spelt, ids >> 8] += 1
+            new = x[spelt] > self.size[spelt]
+            fresh = spelt[new]
+            self.size[fresh] += 1
+            self.names[fresh, self.size[fresh]] = ids[new]
+        self.counts[self.rows[:n], x] += 1
         self.before[:n] = self.last[:n]
-        self.last[:n] = ids
+        self.last[:n] = x
+
+
+def _numbers(ids: np.ndarray) -> np.ndarray:
+    """Ids by the order in which they first come, from 1."""
+    _, first, inverse = np.unique(ids, return_index=True, return_inverse=True)
+    return (np.argsort(np.argsort(first)) + 1)[inverse]
 
 
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
@@ -85,10 +131,11 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     lens = np.array([len(blocks[i]) for i in order], "i8")
     b, steps = len(order), int(lens[0]) if len(lens) else 0
-    ids = np.zeros((steps, b), "i8")
+    ids, numbers = np.zeros((steps, b), "i8"), np.zeros((steps, b), "i8")
     for j, i in enumerate(order):
-        ids[: lens[j], j] = blocks[i]
-    model = _Model(b, vocabulary)
+        if lens[j]:
+            ids[: lens[j], j], numbers[: lens[j], j] = blocks[i], _numbers(blocks[i])
+    model = _Model(b, vocabulary, steps)
     low, wide, at = np.zeros(b, U), np.full(b, ~U(0)), np.zeros(b, "i8")
     digits = np.zeros((b, steps * 2 + 4), U)
 
@@ -111,21 +158,26 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
 
     for t in range(steps):
         n = int(np.searchsorted(-lens, -t, "left"))
-        if t % REFRESH == 0:
-            model.refresh(n)
-        x = ids[t, :n]
+        model.refresh(n, t)
+        x = numbers[t, :n]
         g2, g1, f2, f1 = model.predict(n)
         way = np.where(g2 == x, 0, np.where(g1 == x, 1, 2))
         start = np.where(way == 0, 0, np.where(way == 1, f2, f2 + f1))
         size = np.where(way == 0, f2, np.where(way == 1, f1, (1 << MIX_BITS) - f2 - f1))
         put(model.rows[:n], start, size, MIX_BITS)
         rest = np.flatnonzero(way == 2)
+        spelt = rest
         if len(rest):
-            y = x[rest]
-            first = model.sums[rest, y >> 8]
-            f = model.sums[rest, (y >> 8) + 1] - first
-            put(rest, (first << 8) + (y & 255) * f, f, ZERO_BITS + 8)
-        model.learn(n, x, way, g2, g1)
+            k = np.where(x[rest] <= model.known[rest], x[rest], 0)
+            first = model.sums[rest, k]
+            put(rest, first, model.sums[rest, k + 1] - first, ZERO_BITS)
+            spelt = rest[k == 0]
+        y = ids[t, spelt]
+        if len(spelt):
+            first = model.high_sums[spelt, y >> 8].astype("i8")
+            f = model.high_sums[spelt, (y >> 8) + 1] - first
+            put(spelt, (first << 8) + (y & 255) * f, f, HIGH_BITS + 8)
+        model.learn(n, x, way, g2, g1, spelt, y)
     rows = np.arange(b)
     for _ in range(2):
         digits[rows, at] = low >> U32
@@ -141,6 +193,17 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     return out
 
 
+def _place(sums: np.ndarray, rows: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The last place whose range begins at or before v."""
+    top, lo = sums.shape[1] - 2, np.zeros(len(rows), "i8")
+    step = 1 << max(0, top).bit_length()
+    while step:
+        try_ = np.minimum(lo + step, top)
+        lo = np.where(sums[rows, try_] <= v, try_, lo)
+        step >>= 1
+    return lo
+
+
 def split_blocks(data: bytes) -> list[bytes]:
     """The blocks of a payload of blocks one after another."""
     out, at = [], 0
@@ -166,7 +229,7 @@ def decode_blocks(blocks: list[bytes], vocabulary: int) -> list[np.ndarray]:
         if heads[i][0] != MAGIC or len(blocks[i]) != HEADER.size + 4 * heads[i][3]:
             raise BadBlock("cut block")
         digits[j, : heads[i][3]] = np.frombuffer(blocks[i], "<u4", offset=HEADER.size)
-    model = _Model(b, vocabulary)
+    model = _Model(b, vocabulary, steps)
     code, wide, at = (digits[:, 0] << U32) | digits[:, 1], np.full(b, ~U(0)), np.full(b, 2, "i8")
     ids, width = np.zeros((steps, b), "i8"), digits.shape[1] - 1
 
@@ -183,8 +246,7 @@ def decode_blocks(blocks: list[bytes], vocabulary: int) -> list[np.ndarray]:
 
     for t in range(steps):
         n = int(np.searchsorted(-lens, -t, "left"))
-        if t % REFRESH == 0:
-            model.refresh(n)
+        model.refresh(n, t)
         g2, g1, f2, f1 = model.predict(n)
         r = wide[:n] >> U(MIX_BITS)
         v = np.minimum(code[:n] // r, U((1 << MIX_BITS) - 1)).astype("i8")
@@ -194,22 +256,28 @@ def decode_blocks(blocks: list[bytes], vocabulary: int) -> list[np.ndarray]:
         take(model.rows[:n], start, size, r, code[:n])
         x = np.where(way == 0, g2, g1)
         rest = np.flatnonzero(way == 2)
+        spelt, y = rest, np.zeros(0, "i8")
         if len(rest):
-            r = wide[rest] >> U(ZERO_BITS + 8)
-            have = code[rest]
-            v = np.minimum(have // r, U((1 << (ZERO_BITS + 8)) - 1)).astype("i8")
-            slot, lo, step = v >> 8, np.zeros(len(rest), "i8"), 1 << (model.high - 1).bit_length()
-            while step:  # the last high byte whose range begins at or before the slot
-                try_ = np.minimum(lo + step, model.high - 1)
-                lo = np.where(model.sums[rest, try_] <= slot, try_, lo)
-                step >>= 1
-            first = model.sums[rest, lo]
-            f = model.sums[rest, lo + 1] - first
+            r, have = wide[rest] >> U(ZERO_BITS), code[rest]
+            k = _place(model.sums, rest, np.minimum(have // r, U((1 << ZERO_BITS) - 1)).astype("i8"))
+            first = model.sums[rest, k]
+            take(rest, first, model.sums[rest, k + 1] - first, r, have)
+            x[rest] = k
+            spelt = rest[k == 0]
+        if len(spelt):
+            r, have = wide[spelt] >> U(HIGH_BITS + 8), code[spelt]
+            v = np.minimum(have // r, U((1 << (HIGH_BITS + 8)) - 1)).astype("i8")
+            high = _place(model.high_sums, spelt, v >> 8)
+            first = model.high_sums[spelt, high].astype("i8")
+            f = model.high_sums[spelt, high + 1] - first
             low = np.minimum((v - (first << 8)) // f, 255)
-            take(rest, (first << 8) + low * f, f, r, have)
-            x[rest] = (lo << 8) | low
-        ids[t, :n] = x
-        model.learn(n, x, way, g2, g1)
+            take(spelt, (first << 8) + low * f, f, r, have)
+            y = (high << 8) | low
+            x[spelt] = model.number_of(spelt, y)
+        # a damaged block may name numbers that were never given
+        x = np.minimum(x, model.names.shape[1] - 1)
+        model.learn(n, x, way, g2, g1, spelt, y)
+        ids[t, :n] = model.names[model.rows[:n], x]
     out: list[np.ndarray] = [np.zeros(0, "<u4")] * b
     for j, i in enumerate(order):
         got = ids[: lens[j], j].astype("<u4")
