@@ -76,6 +76,8 @@ class _Model:
         self.known[:n] = self.size[:n]
         self.sums = self._ranges(self.counts[:n, : int(self.size[:n].max()) + 1], ZERO_BITS)
         self.high_sums = self._ranges(self.highs[:n], HIGH_BITS)
+        above = self.rows[:n, None] << 32
+        self.flat, self.high_flat = (self.sums + above).ravel(), (self.high_sums + above).ravel()
 
     def predict(self, n: int):
         """Slots, guesses and the ranges of orders 2 and 1 (of 2**MIX_BITS) for the first n blocks."""
@@ -102,7 +104,7 @@ class _Model:
         return out
 
     def learn(self, n: int, x: np.ndarray, way: np.ndarray, g2: np.ndarray, g1: np.ndarray, spelt: np.ndarray, ids: np.ndarray) -> None:
-        self.right[self.context, way] += 1
+        self.right.ravel()[self.context * 3 + way] += 1
         for k, g in ((0, g2), (1, g1)):
             slot, hit = self.slot[k], g == x
             trust = self.trust[k][slot]
@@ -115,7 +117,7 @@ class _Model:
             fresh = spelt[new]
             self.size[fresh] += 1
             self.names[fresh, self.size[fresh]] = ids[new]
-        self.counts[self.rows[:n], x] += 1
+        self.counts.ravel()[self.rows[:n] * self.counts.shape[1] + x] += 1
         self.before[:n] = self.last[:n]
         self.last[:n] = x
 
@@ -193,15 +195,9 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     return out
 
 
-def _place(sums: np.ndarray, rows: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The last place whose range begins at or before v."""
-    top, lo = sums.shape[1] - 2, np.zeros(len(rows), "i8")
-    step = 1 << max(0, top).bit_length()
-    while step:
-        try_ = np.minimum(lo + step, top)
-        lo = np.where(sums[rows, try_] <= v, try_, lo)
-        step >>= 1
-    return lo
+def _place(flat: np.ndarray, width: int, rows: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The last place whose range begins at or before v, by one search in the sums of all rows, which lie one above another."""
+    return np.searchsorted(flat, v + (rows << 32), "right") - 1 - rows * width
 
 
 def split_blocks(data: bytes) -> list[bytes]:
@@ -259,7 +255,7 @@ def decode_blocks(blocks: list[bytes], vocabulary: int) -> list[np.ndarray]:
         spelt, y = rest, np.zeros(0, "i8")
         if len(rest):
             r, have = wide[rest] >> U(ZERO_BITS), code[rest]
-            k = _place(model.sums, rest, np.minimum(have // r, U((1 << ZERO_BITS) - 1)).astype("i8"))
+            k = _place(model.flat, model.sums.shape[1], rest, np.minimum(have // r, U((1 << ZERO_BITS) - 1)).astype("i8"))
             first = model.sums[rest, k]
             take(rest, first, model.sums[rest, k + 1] - first, r, have)
             x[rest] = k
@@ -267,7 +263,7 @@ def decode_blocks(blocks: list[bytes], vocabulary: int) -> list[np.ndarray]:
         if len(spelt):
             r, have = wide[spelt] >> U(HIGH_BITS + 8), code[spelt]
             v = np.minimum(have // r, U((1 << (HIGH_BITS + 8)) - 1)).astype("i8")
-            high = _place(model.high_sums, spelt, v >> 8)
+            high = _place(model.high_flat, model.high_sums.shape[1], spelt, v >> 8)
             first = model.high_sums[spelt, high].astype("i8")
             f = model.high_sums[spelt, high + 1] - first
             low = np.minimum((v - (first << 8)) // f, 255)
