@@ -152,14 +152,15 @@ def phrase_loop_zones(words: DataFrame, phrases: list[tuple[str, str, int]] = LO
     Hits that overlap one another within a phrase's length count once: a hit is
     counted if the count of hits in the words before it, taken greedily, allows.
     """
-    ordered = W.partitionBy(key).orderBy("pos")
-    found = None
+    longest = max(n for _, _, n in phrases)
+    ahead = F.collect_list(F.struct("word", "end_ms")).over(W.partitionBy(key).orderBy("pos").rowsBetween(0, longest - 1))
+    rows = words.select(key, "pos", "start_ms", ahead.alias("ahead"))
+    heard = []
     for pattern, name, n in phrases:
-        text = F.array_join(F.collect_list("word").over(ordered.rowsBetween(0, n - 1)), " ")
-        end = F.last("end_ms").over(ordered.rowsBetween(0, n - 1))
-        hits = words.select(key, "pos", "start_ms", end.alias("end_ms"), text.alias("text")).where(F.col("text").rlike(f"(?i){pattern}"))
-        one = hits.select(key, "pos", "start_ms", "end_ms", F.lit(name).alias("pattern"), F.lit(n).alias("n"))
-        found = one if found is None else found.union(one)
+        part = F.slice("ahead", 1, n)
+        hit = F.array_join(F.transform(part, lambda x: x["word"]), " ").rlike(f"(?i){pattern}")
+        heard.append(F.when(hit, F.struct(F.element_at(part, -1)["end_ms"].alias("end_ms"), F.lit(name).alias("pattern"), F.lit(n).alias("n"))))
+    found = rows.select(key, "pos", "start_ms", F.explode(F.array_compact(F.array(*heard))).alias("h")).select(key, "pos", "start_ms", "h.*")
     hits = found.groupBy(key, "pattern", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "start_ms", "end_ms"))).alias("hits"))
     empty = F.filter("hits", lambda h: F.lit(False))
     kept = F.aggregate("hits", empty, lambda a, h: F.when((F.size(a) > 0) & (h["pos"] < F.element_at(a, -1)["pos"] + F.col("n")), a).otherwise(F.concat(a, F.array(h))))

@@ -10,7 +10,7 @@ from spanloom.operators import entities as E
 from spanloom.operators import sequence as S
 from spanloom.operators import spans as P
 from spanloom.sources import records as C
-from spanloom.sources.files import scratch_dir
+from spanloom.sources.files import read_sidecar_list, scratch_dir
 from spanloom.sources.lens import resolve_lens as lens_between
 from spanloom.streaming import commits as stream
 
@@ -270,6 +270,13 @@ def zone_speech_chunks(spark, d):
     return S.zone_speech_chunks(zones, di)
 
 
+@query(V(", h AS (SELECT a.doc_id, a.pos, a.start_ms, b.end_ms FROM words a JOIN words b ON b.doc_id = a.doc_id AND b.pos = a.pos + 3 WHERE a.pos % 50 = 0) SELECT doc_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, 'Thank you for watching' AS pattern FROM h GROUP BY 1 HAVING count(*) >= 3", "words"))
+def phrase_loop_zones(spark, d):
+    """Each fiftieth word begins a phrase of thanks."""
+    said = F.element_at(F.array(*map(F.lit, ("thank", "you", "for", "watching"))), F.least(F.col("pos") % 50 + 1, F.lit(4)))
+    return S.phrase_loop_zones(A.words(spark, d).withColumn("word", F.when(F.col("pos") % 50 < 4, said).otherwise(F.col("word"))))
+
+
 # --- files and streams ----------------------------------------------------------
 
 
@@ -282,6 +289,15 @@ def read_records(spark, d):
     return C.read_records(spark, path, "c.page").select("did", "collection", "rkey", F.get_json_object("record", "$.url").alias("url"))
 
 
+@query("SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation")
+def read_sidecars(spark, d):
+    """The nations as one curated JSON list."""
+    path = scratch_dir(spark, "sidecar")
+    one = F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    table(spark, d, "nation").agg(F.to_json(F.collect_list(one))).write.text(path)
+    return read_sidecar_list(spark, path, "id long, name string, region long")
+
+
 @query("SELECT 'at://did:p' || page_id || '/c.page/' || page_id AS uri, 'create' AS operation, 0::BIGINT AS time_us, url FROM pages")
 def as_commit_events(spark, d):
     uri = F.concat(F.lit("at://did:p"), "page_id", F.lit("/c.page/"), "page_id")
