@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import phonetic_code
+from spanloom.sources.files import written
 
 from .intervals import as_of, containment_join
 from .sequence import first_rows
@@ -137,7 +138,7 @@ def match_segments(signals: DataFrame, segments: DataFrame, talks: DataFrame, co
     panels keep all such talks, and those near in time with one word."""
     rows = _judged(_evidence(signals, talks, code), segments, talks)
     fits = F.col("source").isNotNull() | (F.col("topics") >= 2) | (F.col("panel") & F.col("near") & (F.col("topics") >= 1))
-    place = F.row_number().over(W.partitionBy("stream", "segment", "panel").orderBy(F.desc("score"), "starts_s", "talk"))
+    place = F.row_number().over(W.partitionBy("stream", "segment", "panel").orderBy(F.desc("score"), F.asc_nulls_last("starts_s"), "talk"))
     return rows.where(fits).withColumn("_place", place).where("panel or _place = 1").select(*OUT)
 
 
@@ -146,7 +147,7 @@ def match_leftovers(signals: DataFrame, segments: DataFrame, talks: DataFrame, m
 
     In order of time, a segment takes the best talk left whose speaker is named,
     of whose title one word was said, or that is near in time; not if several are
-    near in time only. Then the n-th segment left meets the n-th talk left, if
+    near in time only. Then the n-th segment left meets the n-th talk left (talks without a time last), if
     they are at most 20 minutes apart (confidence low, score 0).
     """
     taken = matches.select("stream", F.col("start_s").alias("_m")).distinct()
@@ -177,9 +178,9 @@ def match_leftovers(signals: DataFrame, segments: DataFrame, talks: DataFrame, m
         return pdf.loc[kept, OUT]
 
     kinds = dict(rows.dtypes)
-    loose = rows.groupBy("stream").applyInPandas(choose, ", ".join(f"{c} {kinds[c]}" for c in OUT))
+    loose = written(rows.groupBy("stream").applyInPandas(choose, ", ".join(f"{c} {kinds[c]}" for c in OUT)), "loose")
     left = free.join(loose.select("stream", "segment"), ["stream", "segment"], "left_anti").withColumn("_n", F.row_number().over(W.partitionBy("stream").orderBy("start_s", "segment")))
-    rest = open_talks.join(loose.select("stream", "talk"), ["stream", "talk"], "left_anti").select("stream", "talk", F.row_number().over(W.partitionBy("stream").orderBy("starts_s", "talk")).alias("_n"))
+    rest = open_talks.join(loose.select("stream", "talk"), ["stream", "talk"], "left_anti").select("stream", "talk", F.row_number().over(W.partitionBy("stream").orderBy(F.asc_nulls_last("starts_s"), "talk")).alias("_n"))
     paired = left.join(rest, ["stream", "_n"]).join(due.select("stream", "talk", "due_s"), ["stream", "talk"]).where(F.abs(F.col("start_s") - F.col("due_s")) <= 2 * NEAR_S)
     paired = paired.select("stream", "segment", "talk", "start_s", "end_s", F.lit("low").alias("confidence"), F.lit(0.0).alias("score"), (F.col("kind") == "panel").alias("panel"))
     return loose.unionByName(paired)
@@ -217,14 +218,15 @@ def reconcile(matches: DataFrame, segments: DataFrame, talks: DataFrame, zones:
 
 
 def detect_boundaries(words: DataFrame, diarization: DataFrame, talks: DataFrame, lengths: DataFrame, code: Coder = sounds) -> DataFrame:
-    """The whole chain: garbage zones, segments of speech, matches in two passes, reconciled with the schedule."""
+    """The whole chain: garbage zones, segments of speech, matches in two passes, reconciled with the schedule. Each
+    stage is written to the shared folder, as the next ones read it several times."""
     from .sequence import speech_blocks
     from .sequence import talk_segments as cut
     from .spans import zones_of
 
     zones = zones_of(words, diarization)
-    segments = cut(speech_blocks(diarization))
-    signals = segment_signals(words, segments, talks, code)
-    first = match_segments(signals, segments, talks, code)
+    segments = written(cut(speech_blocks(diarization)), "segments")
+    signals = written(segment_signals(words, segments, talks, code), "signals")
+    first = written(match_segments(signals, segments, talks, code), "matches")
     second = match_leftovers(signals, segments, talks, first, code)
     return reconcile(first.unionByName(second), segments, talks, zones, lengths)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import matching as M
 from spanloom.operators import sequence as S
+from spanloom.sources.files import written
 
 from . import adapters as A
 from .adapters import table
@@ -40,7 +41,7 @@ def talks(spark, d):
 
 
 def segments(spark, d):
-    return S.talk_segments(S.speech_blocks(A.diarization(spark, d)))
+    return written(S.talk_segments(S.speech_blocks(A.diarization(spark, d))), "segments")
 
 
 _NAMES = "[" + ", ".join(f"'{n}'" for n in NAMES) + "]"
@@ -93,15 +94,15 @@ m AS (SELECT * FROM sc QUALIFY panel OR row_number() OVER (PARTITION BY stream,
 @query(chain(MATCHES + " SELECT stream, segment, talk, start_s, end_s, confidence, round(score, 6) AS score, panel FROM m"))
 def match_segments(spark, d):
     g, t = segments(spark, d), talks(spark, d)
-    rows = M.match_segments(M.segment_signals(words(spark, d), g, t, F.upper), g, t, F.upper)
+    rows = M.match_segments(written(M.segment_signals(words(spark, d), g, t, F.upper), "signals"), g, t, F.upper)
     return rows.withColumn("score", F.round("score", 6))
 
 
 @query()
 def match_leftovers(spark, d):
     g, t = segments(spark, d), talks(spark, d)
-    signals = M.segment_signals(words(spark, d), g, t, F.upper)
-    rows = M.match_leftovers(signals, g, t, M.match_segments(signals, g, t, F.upper), F.upper)
+    signals = written(M.segment_signals(words(spark, d), g, t, F.upper), "signals")
+    rows = M.match_leftovers(signals, g, t, written(M.match_segments(signals, g, t, F.upper), "matches"), F.upper)
     return rows.withColumn("score", F.round("score", 6))
 
 
