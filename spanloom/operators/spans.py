@@ -119,3 +119,18 @@ def speaker_runs(words: DataFrame, key: str = "doc_id") -> DataFrame:
     fresh = F.when(F.lag("speaker").over(ordered).eqNullSafe(F.col("speaker")) & (F.col("pos") > 0), 0).otherwise(1)
     rows = words.withColumn("_f", fresh).withColumn("run", F.sum("_f").over(ordered.rowsBetween(W.unboundedPreceding, 0)))
     return rows.groupBy(key, "run").agg(F.first("speaker").alias("speaker"), F.min("byte_start").alias("byte_start"), F.max("byte_end").alias("byte_end"))
+
+
+def nlp_to_layers(sentences: DataFrame, paragraphs: DataFrame, entities: DataFrame, topics: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, subkind, byte_start, byte_end, label, features): annotations as the rows of four layers.
+
+    Entities (key, byte_start, byte_end, label, ...) keep all further columns that are set as features, a map of text;
+    topics (key, byte_start) have no width. A long table; layers nest at the sink.
+    """
+    none = F.lit(None).cast("map<string,string>")
+    row = lambda rows, subkind, end, label, features: rows.select(key, F.lit(subkind).alias("subkind"), "byte_start", F.col(end).alias("byte_end"), label.alias("label"), features.alias("features"))
+    extra = [c for c in entities.columns if c not in (key, "byte_start", "byte_end", "label")]
+    pairs = [F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in extra]
+    features = F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull())) if extra else none
+    out = row(sentences, "sentence-boundary", "byte_end", F.lit("sentence"), none).union(row(paragraphs, "paragraph-boundary", "byte_end", F.lit("paragraph"), none))
+    return out.union(row(entities, "ner", "byte_end", F.col("label"), features)).union(row(topics, "topic-segment", "byte_start", F.lit("topic-break"), none))

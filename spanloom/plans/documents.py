@@ -366,3 +366,18 @@ def stream_max_age(spark, d):
     rows = C.parse_commit_events(commit_lines(spark, d))
     now = rows.agg(F.max("time_us")).first()[0]
     return C.stream_max_age(rows, now).select("uri", "time_us")
+
+
+@query(V("""SELECT doc_id, 'sentence-boundary' AS subkind, byte_start, byte_end, 'sentence' AS label, '' AS features FROM words WHERE pos % 9 = 0
+UNION ALL SELECT doc_id, 'paragraph-boundary', byte_start, byte_end, 'paragraph', '' FROM words WHERE pos % 40 = 0
+UNION ALL SELECT doc_id, 'topic-segment', byte_start, byte_start, 'topic-break', '' FROM words WHERE pos % 100 = 50
+UNION ALL SELECT subject_uri, 'ner', byte_start, byte_end, text, concat_ws(',', 'nerType=' || (author % 4), CASE WHEN author % 5 = 0 THEN 'speakerDid=did:' || author END, CASE WHEN author % 3 = 0 THEN 'conceptUri=c:' || author END) FROM comments WHERE byte_start IS NOT NULL""", "words", "comments"))
+def nlp_to_layers(spark, d):
+    """Words at fixed places as sentences, paragraphs and topics; anchored comments as entities."""
+    w, a = A.words(spark, d), F.col("author")
+    found = A.comments(spark, d).where("byte_start is not null").select(
+        F.col("subject_uri").alias("doc_id"), "byte_start", "byte_end", F.col("text").alias("label"), (a % 4).alias("nerType"), F.when(a % 5 == 0, F.concat(F.lit("did:"), a)).alias("speakerDid"), F.when(a % 3 == 0, F.concat(F.lit("c:"), a)).alias("conceptUri")
+    )
+    rows = P.nlp_to_layers(w.where("pos % 9 = 0"), w.where("pos % 40 = 0"), found, w.where("pos % 100 = 50"))
+    listed = F.array_join(F.transform(F.map_entries("features"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return rows.withColumn("features", F.coalesce(listed, F.lit("")))
