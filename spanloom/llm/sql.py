@@ -56,5 +56,62 @@ FROM fails f JOIN rates r ON f.host IS NOT DISTINCT FROM r.host
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""
+WITH items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+wins AS (
+  SELECT DISTINCT item, w FROM (
+    SELECT item, unnest([ws[i:i + 9] FOR i IN range(1, len(ws) - 8)]) AS w FROM items WHERE len(ws) >= 10
+    UNION ALL SELECT item, ws FROM items WHERE len(ws) BETWEEN 1 AND 9)),
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+sizes AS (
+  SELECT DISTINCT len(w) AS n FROM wins),
+places AS (
+  SELECT r, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM docs JOIN sizes ON len(ws) >= n),
+hits AS (
+  SELECT r, i, n, item FROM (SELECT r, i, n, ws[i:i + n - 1] AS w FROM places) p JOIN wins USING (w)),
+marks AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) m GROUP BY r),
+found AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hits) d GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN marks USING (r) LEFT JOIN found USING (r)
+"""
+
+OP12 = rf"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+places AS (
+  SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM pieces),
+grams AS (
+  SELECT lang, ws[i:i + k - 1] AS g, k FROM places, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(ws)),
+f AS (
+  SELECT lang, g, k, count(*) AS f FROM grams GROUP BY ALL),
+n AS (
+  SELECT lang, sum(len(ws))::BIGINT AS n FROM pieces GROUP BY lang),
+cand AS (
+  SELECT lang, g, k, f AS a FROM f WHERE k >= 2 AND f >= 100),
+cuts AS (
+  SELECT lang, g, k, a, unnest(range(1, k)) AS c FROM cand),
+scores AS (
+  SELECT cuts.lang, cuts.g, a, c, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.g = cuts.g[1:c] JOIN f y ON y.lang = cuts.lang AND y.g = cuts.g[c + 1:cuts.k] JOIN n ON n.lang = cuts.lang),
+best AS (
+  SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
+covered AS (
+  SELECT DISTINCT s.lang, s.g FROM (SELECT lang, a, k, g, unnest(range(1, k)) AS m FROM cand) x, (SELECT unnest(range(1, 5)) AS i) o, cand s
+  WHERE m >= 2 AND i + m - 1 <= x.k AND s.lang = x.lang AND s.g = x.g[i:i + m - 1] AND 100 * x.a >= 100 * s.a),
+said AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM best WHERE NOT EXISTS (SELECT 1 FROM covered WHERE covered.lang = best.lang AND covered.g = best.g))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a, l, r, n, score
+FROM said QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4, "op8_quality_rules": OP8}
+    return {"op4_chat_formatting": OP4, "op8_quality_rules": OP8, "op11_decontamination": OP11, "op12_collocations": OP12}
