@@ -36,7 +36,7 @@ from .common import stored
 from .shingles import mix
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-VOCABULARY, BITMAP, FILL, SHARD_WORDS = 300_000, 1 << 27, 1_500_000, 500_000
+VOCABULARY, BITMAP, FILL, SHARD_WORDS, PART = 300_000, 1 << 27, 1_500_000, 500_000, 50_000
 U = np.uint64
 #: 0: part of a word; 1: between words; 2: between pieces.
 _KIND = np.zeros(256, "u1")
@@ -328,11 +328,15 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
                 break
             bitmaps.append(bitmap)
     rows = stored(scored(grams, vocabulary), "collocation-scores")
-    # the best by score and count with all ties, first in parts of a language; then phrases settle the ties
+    # the best by score and count with all ties, in ever fewer parts of a language; then phrases settle the ties
     order = (F.desc("score"), F.desc("a"))
-    part = F.pmod(F.xxhash64("ids"), F.lit(max(1, math.ceil(rows.count() / 50_000))))
-    rows = rows.withColumn("_p", F.rank().over(W.partitionBy("lang", part).orderBy(*order))).where(F.col("_p") <= top)
-    rows = rows.withColumn("_p", F.rank().over(W.partitionBy("lang").orderBy(*order))).where(F.col("_p") <= top).drop("_p")
+    parts = max(1, math.ceil(rows.count() / PART))
+    while True:
+        part = F.pmod(F.xxhash64("ids"), F.lit(parts)).alias("_part")
+        rows = rows.withColumn("_p", F.rank().over(W.partitionBy("lang", part).orderBy(*order))).where(F.col("_p") <= top).drop("_p")
+        if parts == 1:
+            break
+        parts = math.ceil(parts * top / PART)
     said = rows.select("ids", F.posexplode("ids").alias("k", "id")).join(vocabulary.select("id", "word"), "id")
     said = said.groupBy("ids").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "word"))), lambda w: w["word"]), " ").alias("phrase"))
     ranked = rows.join(said, "ids").withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order, "phrase"))).where(F.col("rank") <= top)
