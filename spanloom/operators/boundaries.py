@@ -260,39 +260,3 @@ def paragraph_breaks(words: DataFrame, sentences: DataFrame, pause_ms: int = 200
     rows = sentences.join(chosen.withColumn("_b", F.lit(1)), [key, "ordinal"], "left")
     number = F.sum(F.coalesce("_b", F.lit(0))).over(W.partitionBy(key).orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0))
     return rows.withColumn("paragraph", number).groupBy(key, "paragraph").agg(F.min("byte_start").alias("byte_start"), F.max("byte_end").alias("byte_end"))
-
-
-def concept_scan(documents: DataFrame, terms: DataFrame, blocked: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
-    """(key, byte_start, byte_end, label, uri): names (term, uri) of three characters or more in texts, whatever the case,
-    not inside a longer word, longer names first, then the smaller uri, then place; no overlaps.
-
-    Texts are cut into tokens once; names join on their first token (an
-    equi-join), the rest is compared in place. Overlaps are settled by an ordered
-    fold per document. ``blocked``: (key, byte_start, byte_end) stay free.
-    """
-    known = terms.where(F.length("term") >= 3).select(F.lower("term").alias("term"), "uri").groupBy("term").agg(F.min("uri").alias("uri"))
-    known = known.withColumn("_first", F.regexp_extract("term", r"^([\p{L}\p{N}]+|[^\p{L}\p{N}])", 1))
-    cut = F.regexp_extract_all(F.col("text"), F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}])"), 1)
-    tokens = documents.select(key, F.posexplode(cut).alias("_k", "_t"))
-    upto = W.partitionBy(key).orderBy("_k").rowsBetween(W.unboundedPreceding, 0)
-    tokens = tokens.select(key, F.lower("_t").alias("_first"), (F.sum(F.length("_t")).over(upto) - F.length("_t")).alias("_at"), (F.sum(F.octet_length("_t")).over(upto) - F.octet_length("_t")).alias("byte_start"))
-    hits = tokens.join(known, "_first").join(documents.select(key, "text"), key)
-    label = F.substr("text", F.col("_at") + 1, F.length("term"))
-    after = F.substr("text", F.col("_at") + F.length("term") + 1, F.lit(1))
-    hits = hits.withColumn("label", label).where((F.lower("label") == F.col("term")) & ~after.rlike(r"^[\p{L}\p{N}]"))
-    hits = hits.select(key, "byte_start", (F.col("byte_start") + F.octet_length("label")).alias("byte_end"), "label", "uri", F.length("term").alias("n"))
-    if blocked is not None:
-        hits = _free_of(hits, blocked, key)
-    one = F.struct((-F.col("n")).alias("n"), "uri", "byte_start", "byte_end", "label")
-    each = hits.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("h"))
-    free = lambda a, x: ~F.exists(a, lambda y: (y["byte_start"] < x["byte_end"]) & (y["byte_end"] > x["byte_start"]))
-    kept = F.aggregate("h", F.filter("h", lambda x: F.lit(False)), lambda a, x: F.when(free(a, x), F.concat(a, F.array(x))).otherwise(a))
-    return each.select(key, F.explode(kept).alias("k")).select(key, "k.byte_start", "k.byte_end", "k.label", "k.uri")
-
-
-def _free_of(hits: DataFrame, blocked: DataFrame, key: str) -> DataFrame:
-    from .intervals import overlap_join
-
-    spans = blocked.select(key, F.col("byte_start").alias("_bs"), F.col("byte_end").alias("_be"))
-    taken = overlap_join(hits, spans, [key], "byte_start", "byte_end", "_bs", "_be", 256).select(key, "byte_start", "byte_end").distinct()
-    return hits.join(taken, [key, "byte_start", "byte_end"], "left_anti")

@@ -73,13 +73,6 @@ def phonetic_name_join(spark, d):
     return B.phonetic_name_join(names, A.words(spark, d))
 
 
-@query()
-def concept_scan(spark, d):
-    terms = A.concepts(spark, d).select(F.lower("name").alias("term"), "uri")
-    extra = spark.createDataFrame([("thing", 100_001), ("the and", 100_002), ("and", 100_003), ("it is", 100_004)], "term string, uri long")
-    return B.concept_scan(table(spark, d, "documents"), terms.union(extra))
-
-
 @query("SELECT p_partkey AS uri, trim(regexp_replace(string_split(trim(regexp_replace(lower(p_name || ' (x) / ' || p_type), '\\([^)]*\\)', '', 'g')), '/')[1], '\\s+', ' ', 'g')) AS name FROM part")
 def normalize_concepts(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("uri"), T.normalize_concept(F.concat("p_name", F.lit(" (x) / "), "p_type")).alias("name"))

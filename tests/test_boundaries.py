@@ -75,16 +75,6 @@ def test_replay(spark):
     assert B.speaker_names(edits).first()["name"] == "Bea"
 
 
-def test_concept_scan(spark):
-    docs = spark.createDataFrame([(1, "Déjà: At Library and the PDS, PDServer; at libraries. pds")], "doc_id int, text string")
-    terms = spark.createDataFrame([("At Library", 1), ("library", 2), ("PDS", 3), ("at", 4)], "term string, uri long")
-    got = sorted((r["byte_start"], r["label"], r["uri"]) for r in B.concept_scan(docs, terms).collect())
-    data = docs.first()["text"].encode()
-    assert got == [(data.index(b"At L"), "At Library", 1), (data.index(b"PDS,"), "PDS", 3), (data.rindex(b"pds"), "pds", 3)]
-    blocked = spark.createDataFrame([(1, data.index(b"PDS,"), data.index(b"PDS,") + 3)], "doc_id int, byte_start long, byte_end long")
-    assert len(B.concept_scan(docs, terms, blocked).collect()) == 2
-
-
 def test_garbled(spark):
     words = [(1, i, "uh" if i % 2 else "oh", 7000 * i, 7000 * i + 500) for i in range(12)] + [(1, 12 + i, f"w{i}", 84000 + i, 84000 + i) for i in range(12)]
     r = B.garbled_until(spark.createDataFrame(words, "doc_id int, pos int, word string, start_ms long, end_ms long")).collect()
