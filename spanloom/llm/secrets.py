@@ -11,14 +11,19 @@ of the original text that they were decoded from.
 
 A base64 run is decoded from each of its first four characters, since letters
 before it shift it; a short last line after long ones is tried as part of a
-wrapped run and as a word of its own. Runs of fewer than 16 characters can't hold
-a secret. Compressed data (gzip, zlib, bzip2, xz) is looked for at every place of
-the decoded bytes, read member by member as far as it goes, cut or damaged data
-up to the damage, and its output is scanned in windows of ``WINDOW`` bytes that
-overlap by ``OVERLAP``, so data that unpacks to any size takes bounded memory.
-Layers that aren't clean UTF-8 or UTF-16 are scanned, but only unwrapped further
-for compressed data. More than ``DEPTH`` compressed layers in one another, each
-new, are taken for a bomb and not unwrapped further.
+wrapped run and as a word of its own. Lines of one length are tried as one run
+whatever that length, with what stands before them at a line's end and with the
+shorter line after them. Runs of fewer than 16 characters can't hold a secret.
+Compressed data (gzip, zlib, bzip2, xz) is looked for at every place of decoded
+and unpacked bytes and read member by member as far as it goes, cut or damaged
+data up to the damage. Within one run each unpacked content is opened once,
+however many ways lead to it, as all of them map to the same span. Layers that
+aren't clean UTF-8 or UTF-16 are unwrapped like others.
+
+Bounds are never silent: where a text's compressed data unpacks to more than
+``BUDGET`` bytes in all, or one stream to more than ``WHOLE``, the run has a span
+of the kind ``unread`` as well, so redaction removes it whole. Streams beyond
+``WHOLE`` are scanned in windows that overlap.
 
 Defined results: null text counts as empty (no spans); texts of any length are
 scanned whole; repeated rows are scanned one by one; an empty table gives no
@@ -39,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KINDS = ("assign", "access", "hex")
+KINDS = ("assign", "access", "hex", "unread")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
@@ -51,7 +56,11 @@ ONE_UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-
 BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]{40,}\r?\n)*(?:[A-Za-z0-9+/_-]{16,}={0,2}|(?<=\n)(?:[A-Za-z0-9+/_-]{1,15}={0,2}|={1,2}))")
 SHORT_LAST = re.compile(r"\r?\n[A-Za-z0-9+/_-]{0,15}={0,2}\Z")
 MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
-WINDOW, OVERLAP, DEPTH = 16_000_000, 1_000_000, 32
+#: Lines that may be part of base64 wrapped at fewer than 40 columns, the end of a line before them and the start of one after.
+SHORT_LINE = re.compile(r"^([A-Za-z0-9+/_-]{1,39})(={0,2})\r?$", re.MULTILINE)
+LINE_END = re.compile(r"[A-Za-z0-9+/_-]{1,512}\r?\n\Z")
+LINE_START = re.compile(r"([A-Za-z0-9+/_-]{1,39})={0,2}(?![A-Za-z0-9+/_=-])")
+WINDOW, OVERLAP, WHOLE, BUDGET = 16_000_000, 1_000_000, 64_000_000, 1 << 30
 URL_SAFE = str.maketrans("-_", "+/", "\r\n")
 
 
@@ -143,107 +152,137 @@ def _unpacker(head: bytes):
     return bz2.BZ2Decompressor() if head[:3] == b"BZh" else lzma.LZMADecompressor()
 
 
-def _stream(data: bytes):
-    """What compressed data unpacks to, in pieces of bounded size: all members, each as far as it can be read."""
-    while MAGIC.match(data):
-        tool, at = _unpacker(data), 0
-        try:
-            while at < len(data) and not tool.eof:
-                more, at = data[at : at + 65_536], at + 65_536
-                while more or not getattr(tool, "needs_input", True):
-                    if (out := tool.decompress(more, 1 << 20)):
-                        yield out
-                    more = getattr(tool, "unconsumed_tail", b"")
-                    if tool.eof:
-                        break
-        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-            return
-        data = tool.unused_data + data[at:] if tool.eof else b""
-
-
-def _windows(data: bytes):
-    """The output of ``_stream`` in overlapping windows."""
-    held = bytearray()
-    for piece in _stream(data):
-        held += piece
-        if len(held) >= WINDOW:
+class Unpacking:
+    """What may still be unpacked for a text, and whether the run at hand was cut short."""
+
+    def __init__(self):
+        self.left, self.cut = BUDGET, False
+
+    def stream(self, data: memoryview):
+        """What compressed data unpacks to, in pieces of bounded size: all members, each as far as it can be read."""
+        while MAGIC.match(data):
+            tool, at = _unpacker(bytes(data[:3])), 0
+            try:
+                while at < len(data) and not tool.eof:
+                    more, at = data[at : at + 65_536], at + 65_536
+                    while more or not getattr(tool, "needs_input", True):
+                        if (out := tool.decompress(more, 1 << 20)):
+                            self.left -= len(out)
+                            if self.left < 0:
+                                self.cut = True
+                                return
+                            yield out
+                        more = getattr(tool, "unconsumed_tail", b"")
+                        if tool.eof:
+                            break
+            except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+                return
+            if not tool.eof:
+                return
+            data = data[min(at, len(data)) - len(tool.unused_data) :]
+
+    def contents(self, data: memoryview):
+        """The output of a stream: whole up to WHOLE bytes, in overlapping windows beyond."""
+        held, limit = bytearray(), WHOLE
+        for piece in self.stream(data):
+            held += piece
+            if len(held) >= limit:
+                limit, self.cut = WINDOW, True
+                yield bytes(held)
+                del held[:-OVERLAP]
+        if held:
             yield bytes(held)
-            del held[:-OVERLAP]
-    if held:
-        yield bytes(held)
-
-
-def _unpacked(data: bytes, chain: frozenset[bytes] = frozenset()):
-    """Windows of all that is compressed at any place of ``data``, and in those in turn; not what its own chain held."""
-    done = 0
-    for m in MAGIC.finditer(data):
-        if m.start() < done:
-            continue
-        for window in _windows(data[m.start() :]):
-            done = m.start() + 1
-            digest = hashlib.sha256(window).digest()
-            if digest not in chain and len(chain) < DEPTH:
-                yield window
-                yield from _unpacked(window, chain | {digest})
-
-
-def _texts(data: bytes) -> list[tuple[str, bool]]:
-    """(text, whether it is clean) of decoded bytes: UTF-8, UTF-16 where every other byte is NUL or a mark begins it, else what is readable."""
+
+    def opened(self, data: bytes):
+        """All that is compressed at any place of ``data``, and in that in turn, each content once."""
+        work, seen = [data], set()
+        while work:
+            now = memoryview(work.pop())
+            for m in MAGIC.finditer(now):
+                for content in self.contents(now[m.start() :]):
+                    digest = hashlib.sha256(content).digest()
+                    if digest not in seen:
+                        seen.add(digest)
+                        yield content
+                        if MAGIC.search(content):
+                            work.append(content)
+
+
+def _texts(data: bytes) -> list[str]:
+    """Decoded bytes as text: UTF-16 where every other byte is NUL or a mark begins it, else UTF-8 as far as it is; NULs in and out."""
     half = len(data) // 2
     for code, mark, zeros in (("utf-16-le", b"\xff\xfe", data[1::2]), ("utf-16-be", b"\xfe\xff", data[::2])):
         if half and (data[:2] == mark or 2 * zeros.count(0) > half):
             try:
-                return [(data.decode(code), True)]
+                return [data.decode(code)]
             except UnicodeDecodeError:
                 break
-    try:
-        text, clean = data.decode(), True
-    except UnicodeDecodeError:
-        text, clean = data.decode(errors="replace"), False
-    if "\0" in text:
-        return [(text, False), (text.replace("\0", ""), False)]
-    return [(text, clean)]
+    text = data.decode(errors="replace")
+    return [text, text.replace("\0", "")] if "\0" in text else [text]
+
+
+def _wrapped(text: str):
+    """(start, end) of runs of lines of one length below 40 columns, with and without the line's end before them and the next line's start."""
+    lines = [(m.start(), m.end(2), m.end() + 1, len(m.group(1)), bool(m.group(2))) for m in SHORT_LINE.finditer(text)] if "\n" in text else []
+    k = 0
+    while k < len(lines):
+        begin, _, _, width, _ = lines[k]
+        while k + 1 < len(lines) and lines[k + 1][0] == lines[k][2] and lines[k + 1][3] == width and not lines[k][4]:
+            k += 1
+        _, end, following, _, padded = lines[k]
+        starts, ends = {begin}, {end}
+        if not padded and (after := LINE_START.match(text, following)) and len(after.group(1)) <= width:
+            ends.add(after.end())
+        if before := LINE_END.search(text, max(0, begin - 600), begin):
+            starts.add(before.start())
+        if width >= 4:
+            yield from ((a, b) for a in starts for b in ends if "\n" in text[a:b])
+        k += 1
 
 
-def _from_base64(layer: Layer):
-    """(layer, whether it is clean) of base64 runs and of what is compressed in them."""
+def _from_base64(layer: Layer, unpacking: Unpacking):
+    """(layers of base64 runs and of what is compressed in them, runs that weren't read to the end)."""
+    runs = []
     for m in BASE64.finditer(layer.text):
-        stops = {m.end()}
+        runs.append((m.start(), m.end()))
         if short := SHORT_LAST.search(m.group()):
-            stops.add(m.start() + short.start())
-        for stop in sorted(stops):
-            body = layer.text[m.start() : stop].translate(URL_SAFE).rstrip("=")
-            for skip in {0, 1, 2, 3, body.rfind("/") + 1}:
-                part = body[skip:]
-                if len(part) < 16:
-                    continue
-                part = part[: len(part) - (len(part) % 4 == 1)]
-                data = base64.b64decode(part + "=" * (-len(part) % 4))
-                for plain in (data, *_unpacked(data)) if MAGIC.search(data) else (data,):
-                    for text, clean in _texts(plain):
-                        if text:
-                            yield Layer(text, layer, [0], [m.start()], [stop]), clean
+            runs.append((m.start(), m.start() + short.start()))
+    runs += _wrapped(layer.text)
+    out, cut = [], []
+    for start, stop in sorted(set(runs)):
+        body = layer.text[start:stop].translate(URL_SAFE).rstrip("=")
+        unpacking.cut = False
+        for skip in {0, 1, 2, 3, body.rfind("/") + 1}:
+            part = body[skip:]
+            if len(part) < 16:
+                continue
+            part = part[: len(part) - (len(part) % 4 == 1)]
+            data = base64.b64decode(part + "=" * (-len(part) % 4))
+            for plain in (data, *unpacking.opened(data)) if MAGIC.search(data) else (data,):
+                out += [Layer(text, layer, [0], [start], [stop]) for text in _texts(plain) if text]
+        if unpacking.cut:
+            cut.append((start, stop))
+    return out, cut
 
 
 def all_matches(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base matches, all matches mapped to the text), each sorted (start, kind index, end)."""
     base = base_matches(text)
-    found = set(base)
+    found, unpacking = set(base), Unpacking()
     work, seen, scanned = [Layer(text, None, [], [], [])], {(text, 0, len(text))}, {text: base}
     while work:
         layer = work.pop()
-        opened = []
+        opened, cut = _from_base64(layer, unpacking)
+        found |= {(a, 3, b) for a, b in (layer.origin(*span) for span in cut)}
         if "%" in layer.text and (x := _in_place(layer, PERCENT, _percent)):
-            opened.append((x, True))
+            opened.append(x)
         if "\\" in layer.text and (x := _in_place(layer, UNICODE, _unicode)):
-            opened.append((x, True))
-        opened += _from_base64(layer)
-        for new, clean in opened:
+            opened.append(x)
+        for new in opened:
             place = new.text, *new.origin(0, len(new.text))
             if place not in seen:
                 seen.add(place)
-                if clean:
-                    work.append(new)
+                work.append(new)
                 if new.text not in scanned:
                     scanned[new.text] = base_matches(new.text)
                 for start, kind, stop in scanned[new.text]:
