@@ -11,9 +11,13 @@ are more lists, at most ``TRIALS`` queries are compared with the whole index, an
 the lists probed are as many as held ``RECALL`` of their true neighbours, all if
 need be. Vectors lie in blocks of columns, and distances grow block by block;
 after each a candidate whose partial distance, scaled to all columns, exceeds the
-k-th distance found so far in its slot by more than a chance deviation of a
-random rotation allows (1 + EPSILON / sqrt(columns seen)) is abandoned. Scores
-of those left are computed in double precision on the original vectors.
+query's bound by more than a chance deviation of a random rotation allows
+(1 + EPSILON / sqrt(columns seen)) is abandoned. A query's first bound comes from
+the first rows of its ``FIRST`` nearest lists; the k-th distance found in these
+goes with the query to the other lists, and everywhere each step of rows tightens
+it for the next. All queries of a list are scanned together, at most ``ASKING`` of
+them in a task. Scores of those left are computed in double precision on the
+original vectors.
 
 Defined results: vectors that are null, zero or hold null or non-finite
 components take no part, nor do those of another length than the most common
@@ -35,7 +39,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SAMPLE, LIST_ROWS, MOST_LISTS, SLOT = 20_000, 128, 4096, 4096
-PROBES, BLOCK, EPSILON = 24, 16, 2.1
+PROBES, BLOCK, EPSILON = 24, 8, 1.3
+FIRST, ASKING, PAIRS = 4, 1024, 400_000
 #: Queries that recall is measured on, and the share of their neighbours that probed lists must hold; abandoning takes up to 0.03.
 TRIALS, RECALL = 256, 0.98
 
@@ -98,30 +103,43 @@ def column_blocks(x: np.ndarray, block: int = BLOCK) -> list[np.ndarray]:
     return [np.ascontiguousarray(x[:, lo : lo + block]) for lo in range(0, x.shape[1], block)]
 
 
-def adaptive_scan(query: np.ndarray, blocks: list[np.ndarray], k: int, epsilon: float = EPSILON, step: int = 256) -> np.ndarray:
-    """Rows of ``blocks`` that may be among the k nearest to ``query`` (both rotated), nearest first.
+def adaptive_scan(queries: np.ndarray, blocks: list[np.ndarray], k: int, bounds: np.ndarray | None = None, epsilon: float = EPSILON, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query, row, squared distance) of rows of ``blocks`` that may be among the k nearest to each of ``queries`` (all
+    rotated), nearest first, and how many numbers of the rows were read.
 
-    Rows come ``step`` at a time; each step is held against the k-th distance of all before it.
+    Rows come ``step`` at a time (32 first, where a query has no bound yet) and are held against each query's bound: the
+    squared distance given in ``bounds``, or the k-th of the steps before if that is less.
     """
-    n, dims = len(blocks[0]), len(query)
-    parts = np.split(query, np.cumsum([b.shape[1] for b in blocks])[:-1])
-    best, near = np.zeros(0, "i8"), np.zeros(0)
-    for first in range(0, n, step):
-        rows = np.arange(first, min(first + step, n))
-        bound = near[-1] if len(near) == k else np.inf
-        partial, seen = np.zeros(len(rows)), 0
-        for b, q in zip(blocks, parts, strict=True):
-            partial += ((b[rows] - q) ** 2).sum(axis=1)
-            seen += len(q)
-            if seen < dims and bound < np.inf:
-                keep = partial * (dims / seen) <= bound * (1 + epsilon / math.sqrt(seen)) ** 2
-                rows, partial = rows[keep], partial[keep]
-                if not len(rows):
-                    break
-        best, near = np.concatenate([best, rows]), np.concatenate([near, partial])
-        order = np.argsort(near, kind="stable")[:k]
-        best, near = best[order], near[order]
-    return best
+    n, dims = len(blocks[0]), queries.shape[1]
+    parts = np.split(queries, np.cumsum([b.shape[1] for b in blocks])[:-1], axis=1)
+    bound = np.full(len(queries), np.inf) if bounds is None else np.array(bounds, "f8")
+    which, rows_, near = np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0)
+    read, first = 0, 0
+    while first < n:
+        rows = np.arange(first, min(first + (step if first or np.isfinite(bound).all() else 32), n))
+        found = [(which, rows_, near)]
+        for lo in range(0, len(queries), max(1, PAIRS // len(rows))):
+            some = np.arange(lo, min(lo + max(1, PAIRS // len(rows)), len(queries)))
+            qi, ri = np.repeat(some, len(rows)), np.tile(rows, len(some))
+            partial, seen, limit = np.zeros(len(qi)), 0, bound[qi] * (1 + 1e-9)
+            for b, q in zip(blocks, parts, strict=True):
+                away = b[ri] - q[qi]
+                partial += np.einsum("ij,ij->i", away, away)
+                seen += b.shape[1]
+                read += away.size
+                keep = partial <= limit * ((1 + epsilon / math.sqrt(seen)) ** 2 * seen / dims if seen < dims else 1)
+                qi, ri, partial, limit = qi[keep], ri[keep], partial[keep], limit[keep]
+            found.append((qi, ri, partial))
+        which, rows_, near = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((rows_, near, which))
+        which, rows_, near = which[order], rows_[order], near[order]
+        place = np.arange(len(which)) - np.searchsorted(which, which)
+        last = place == k - 1
+        bound[which[last]] = np.minimum(bound[which[last]], near[last])
+        keep = place < k
+        which, rows_, near = which[keep], rows_[keep], near[keep]
+        first = int(rows[-1]) + 1
+    return which, rows_, near, read
 
 
 def needed_probes(index: DataFrame, searched: DataFrame, k: int, model) -> int:
@@ -158,10 +176,11 @@ def needed_probes(index: DataFrame, searched: DataFrame, k: int, model) -> int:
 
 
 def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", probes: int = PROBES) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found for each row that ``is_query`` (of vec_id) holds for."""
+    """(query_id, rank, vec_id, score, probes, columns_read): the k nearest found for each row that ``is_query`` (of vec_id)
+    holds for; the lists probed by each query and the share of the probed vectors' columns that was read stand in every row."""
     valid = stored(valid_vectors(df, key, vector), "ann-vectors")
     spark = df.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, probes int, columns_read double")
     classes = stored(vector_classes(valid, k), "ann-classes")
     n = classes.count()
     if not n:
@@ -183,6 +202,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", ve
                     continue
                 near = -(_unit(_matrix(part.column(1))) @ turned_ @ c.T)
                 lists = np.argpartition(near, probes_ - 1, axis=1)[:, :probes_] if probes_ < n_lists else np.tile(np.arange(n_lists), (part.num_rows, 1))
+                lists = np.take_along_axis(lists, np.argsort(np.take_along_axis(near, lists, 1), axis=1, kind="stable"), 1)
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(list(lists.astype("i4")), pa.list_(pa.int32()))], names=["class_id", "v", "lists"])
 
     def dealt(rows: DataFrame, p: int) -> DataFrame:
@@ -199,36 +219,49 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", ve
     searched = classes.join(asked.select("class_id").distinct(), "class_id", "left_semi")
     if probes < n_lists:
         probes = max(probes, needed_probes(index, searched, k, model))
-    probe = dealt(searched, probes).select("class_id", "v", F.explode("lists").alias("list")).join(F.broadcast(slots), "list")
-    probe = probe.select("list", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(True).alias("asks"), "class_id", "v")
-    placed = index.join(F.broadcast(slots), "list").select("list", F.pmod(F.xxhash64("class_id"), F.col("slots")).cast("int").alias("slot"), F.lit(False).alias("asks"), "class_id", "v")
+    probe = dealt(searched, probes).select("class_id", "v", F.posexplode("lists").alias("nth", "list"))
 
     def scan(left, right):
         import pandas as pd
 
-        out: dict[str, list] = {"query": [], "class_id": [], "score": []}
-        if len(left) and len(right):
-            turned_, _ = model.value
-            q, x = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-            order = np.argsort(right["class_id"].to_numpy(), kind="stable")
-            x, names = x[order], right["class_id"].to_numpy()[order]
-            blocks = column_blocks(_unit(x) @ turned_)
-            near_q = _unit(q) @ turned_
-            x, q = _scaled(x), _scaled(q)
-            norm_x = np.sqrt((x * x).sum(axis=1))
-            for i, name in enumerate(left["class_id"].to_numpy()):
-                found = adaptive_scan(near_q[i], blocks, min(k + 1, len(x)))
-                scores = (x[found] * q[i]).sum(axis=1) / (norm_x[found] * np.sqrt((q[i] * q[i]).sum()))
-                out["query"] += [name] * len(found)
-                out["class_id"] += names[found].tolist()
-                out["score"] += scores.tolist()
-        return pd.DataFrame(out)
-
-    hits = probe.groupBy("list", "slot").cogroup(placed.groupBy("list", "slot")).applyInPandas(scan, f"query {id_type}, class_id {id_type}, score double")
-    best = hits.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "class_id"))).where(F.col("place") <= k + 1)
+        if not (len(left) and len(right)):
+            return pd.DataFrame({"query": [], "class_id": [], "score": [], "away": [], "read": [], "held": []})
+        turned_, _ = model.value
+        q, x = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
+        order = np.argsort(right["class_id"].to_numpy(), kind="stable")
+        x, names = x[order], right["class_id"].to_numpy()[order]
+        qi, ri, away, read = adaptive_scan(_unit(q) @ turned_, column_blocks(_unit(x) @ turned_), min(k + 1, len(x)), left["bound"].to_numpy())
+        x, q = _scaled(x), _scaled(q)
+        score = (x[ri] * q[qi]).sum(axis=1) / (np.sqrt((x * x).sum(axis=1))[ri] * np.sqrt((q * q).sum(axis=1))[qi])
+        none = [None]  # a row of its own for what was read
+        return pd.DataFrame({"query": [*left["class_id"].to_numpy()[qi], *none], "class_id": [*names[ri], *none], "score": [*score, *none], "away": [*away, *none], "read": [0] * len(ri) + [read], "held": [0] * len(ri) + [len(x) * q.size]})
+
+    def scanned(asking: DataFrame) -> DataFrame:
+        """Hits of queries (class_id, v, list, bound); lists are dealt to slots on both sides."""
+        asking = stored(asking, "ann-asking")
+        parts = asking.groupBy("list").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("parts"))
+        deals = slots.join(parts, "list")  # a row a list
+        left = asking.join(F.broadcast(deals), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.pmod(F.xxhash64("class_id", "list"), F.col("parts")).cast("int").alias("part"), "class_id", "v", "bound")
+        right = index.join(F.broadcast(deals), "list").select("list", F.pmod(F.xxhash64("class_id"), F.col("slots")).cast("int").alias("slot"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "class_id", "v")
+        key = ("list", "slot", "part")
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(scan, f"query {id_type}, class_id {id_type}, score double, away double, read long, held long")
+
+    def top_hits(hits: DataFrame) -> DataFrame:
+        ranked = hits.where("score is not null").withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "class_id")))
+        return ranked.where(F.col("place") <= k + 1)
+
+    nearest_lists = F.col("nth") < FIRST
+    hits = stored(scanned(probe.where(nearest_lists).select("class_id", "v", "list", F.lit(float("inf")).alias("bound"))), "ann-hits")
+    if probes > FIRST:
+        full = top_hits(hits).groupBy("query").agg(F.max("away").alias("bound"), F.count("*").alias("n")).where(F.col("n") == k + 1)
+        rest = probe.where(~nearest_lists).join(full.select(F.col("query").alias("class_id"), "bound"), "class_id", "left")
+        hits = hits.union(stored(scanned(rest.select("class_id", "v", "list", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))), "ann-hits"))
+    used = hits.where("score is null").agg(F.sum("read"), F.sum("held")).first()
+    share = (used[0] or 0) / used[1] if used[1] else 0.0
+    best = top_hits(hits)
     best = stored(best.join(classes.select("class_id", "ids"), "class_id").select("query", "score", "ids"), "ann-best")
     listed = best.groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("found"))
     listed = listed.select(F.col("query").alias("class_id"), F.flatten(F.transform("found", lambda f: F.transform(f["ids"], lambda i: F.struct((-f["score"]).alias("minus"), i.alias("vec_id"))))).alias("found"))
     rows = asked.join(listed, "class_id")
     top = F.slice(F.sort_array(F.filter("found", lambda f: f["vec_id"] != F.col("vec_id"))), 1, k)
-    return rows.select(F.col("vec_id").alias("query_id"), F.posexplode(top).alias("rank", "f")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), (-F.col("f.minus")).alias("score"))
+    return rows.select(F.col("vec_id").alias("query_id"), F.posexplode(top).alias("rank", "f")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), (-F.col("f.minus")).alias("score"), F.lit(probes).alias("probes"), F.lit(share).alias("columns_read"))

@@ -65,11 +65,26 @@ def test_huge_and_tiny_components(spark):
 def test_scan_keeps_the_nearest():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((3000, 64)) @ nn.rotation(64)
-    kept = 0
+    kept = numbers = 0
     for _ in range(40):
         q = rng.standard_normal(64)
-        kept += len(set(nn.adaptive_scan(q, nn.column_blocks(x), 6).tolist()) & set(np.argsort(((x - q) ** 2).sum(axis=1))[:6].tolist()))
+        which, rows, away, read = nn.adaptive_scan(q[None], nn.column_blocks(x), 6)
+        assert not which.any() and (np.diff(away) >= 0).all() and np.allclose(away, ((x[rows] - q) ** 2).sum(axis=1))
+        kept += len(set(rows.tolist()) & set(np.argsort(((x - q) ** 2).sum(axis=1))[:6].tolist()))
+        numbers += read
     assert kept >= 0.97 * 240
+    assert numbers < 0.9 * 40 * x.size  # many are abandoned early, even among directions that all look alike
+
+
+def test_scan_of_several_queries_equals_one_by_one():
+    rng = np.random.default_rng(9)
+    x, q = rng.standard_normal((700, 20)), rng.standard_normal((5, 20))
+    for bounds in (None, np.array([np.inf, 1e-9, 12.0, 50.0, np.inf])):
+        which, rows, away, _ = nn.adaptive_scan(q, nn.column_blocks(x), 4, bounds, epsilon=100.0)
+        for i in range(5):
+            d = ((x - q[i]) ** 2).sum(axis=1)
+            want = [r for r in np.argsort(d)[:4] if bounds is None or d[r] <= bounds[i] * (1 + 1e-9)]
+            assert rows[which == i].tolist() == want and np.allclose(away[which == i], d[want])
 
 
 def test_recall_with_many_lists(spark, tmp_path):
@@ -77,7 +92,11 @@ def test_recall_with_many_lists(spark, tmp_path):
     n = 50_000
     x = rng.standard_normal((n, 64)) + rng.standard_normal((10, 64))[rng.integers(0, 10, n)] * 0.5
     pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float64()))}), tmp_path / "x.parquet")
-    got = found(nn.nearest(spark.read.parquet(str(tmp_path / "x.parquet")), F.col("vec_id") % 500 == 0))
+    near = nn.nearest(spark.read.parquet(str(tmp_path / "x.parquet")), F.col("vec_id") % 500 == 0)
+    got, probed = found(near), near.select("probes", "columns_read").distinct().collect()
+    assert len(probed) == 1 and nn.PROBES <= probed[0]["probes"] <= 391
+    print(probed)
+    assert probed[0]["columns_read"] < 0.5  # more than half of the columns of probed vectors are never read
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = unit[::500] @ unit.T
     near[np.arange(len(near)), np.arange(0, n, 500)] = -1
