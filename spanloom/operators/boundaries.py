@@ -6,6 +6,8 @@ choice in them depends on the one before; their inputs are scored in Spark.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,53 +69,6 @@ def score_gaps(words: DataFrame, asr: DataFrame, least_s: float = 3.0) -> DataFr
     return scored.join(confidence_penalty(rows, asr), ["stream", "at_s"], "left").select("stream", "at_s", "gap_s", (F.col("score") + F.coalesce("penalty", F.lit(0))).alias("score"), "before", "after")
 
 
-def assign_transitions(talks: DataFrame, gaps: DataFrame, bonus: DataFrame | None = None) -> DataFrame:
-    """(stream, talk, at_s, score): for each talk in order the best gap around its expected start.
-
-    ``talks``: (stream, place, talk, duration_s, first_s). A talk is expected
-    after the one before plus its length and 3 minutes (1 after talks of 10
-    minutes or less), moved by the drift so far; the window is 0.6 of that
-    length, 10 minutes at least; nearness adds up to 5, and ``bonus`` (stream,
-    talk, at_s, bonus) its own part. Half of each surprise becomes drift.
-    Without a gap the expected time stands, at score 0.
-    """
-    kinds = dict(talks.dtypes)
-    marks = gaps.select("stream", F.lit(None).cast(kinds["talk"]).alias("talk"), "at_s", F.col("score").cast("double").alias("score"))
-    if bonus is not None:
-        marks = marks.unionByName(bonus.select("stream", "talk", "at_s", F.col("bonus").cast("double").alias("score")))
-
-    def chain(left, right):
-        import pandas as pd
-
-        order = left.sort_values(["place", "talk"]).to_dict("records")
-        general = right["talk"].isna()
-        plain = right[general].sort_values("at_s")
-        times, scores = plain["at_s"].to_numpy(), plain["score"].to_numpy()
-        extra = {t: p.groupby("at_s")["score"].sum() for t, p in right[~general].groupby("talk")}
-        out, drift, plan = [], 0.0, 0.0
-        for before, talk in zip([None, *order[:-1]], order, strict=True):
-            if before is None:
-                plan = talk["first_s"]
-                out.append((talk["stream"], talk["talk"], plan, 0.0))
-                continue
-            plan += before["duration_s"] + (60 if before["duration_s"] <= 600 else 180)
-            expected, reach = plan + drift, max(0.6 * before["duration_s"], 600)
-            value = scores + 5 * (1 - abs(times - expected) / reach)
-            if talk["talk"] in extra:
-                value = value + extra[talk["talk"]].reindex(times, fill_value=0.0).to_numpy()
-            value = value.copy()
-            value[abs(times - expected) > reach] = -1
-            k = int(value.argmax()) if len(value) else -1
-            if k < 0 or value[k] <= -1:
-                out.append((talk["stream"], talk["talk"], expected, 0.0))
-                continue
-            drift += 0.5 * (float(times[k]) - out[-1][2] - before["duration_s"] - 180)
-            out.append((talk["stream"], talk["talk"], float(times[k]), float(value[k])))
-        return pd.DataFrame(out, columns=["stream", "talk", "at_s", "score"])
-
-    return talks.groupBy("stream").cogroup(marks.groupBy("stream")).applyInPandas(chain, f"stream {kinds['stream']}, talk {kinds['talk']}, at_s double, score double")
-
-
 def first_talk_start(gaps: DataFrame, usable: DataFrame, bonus: DataFrame | None = None, within_s: float = 2700.0) -> DataFrame:
     """(stream, start_s): the best gap (stream, at_s, score) within ``within_s`` after the usable start (stream,
     usable_s), where ``bonus`` (stream, at_s, bonus) lifts a score; a plain score wins a tie with a lifted one, then the
@@ -200,16 +155,17 @@ def speaker_names(edits: DataFrame) -> DataFrame:
     return named.groupBy("stream", F.col("talk").alias("speaker")).agg(F.max_by("text", "seq").alias("name"))
 
 
-def phonetic_name_join(names: DataFrame, words: DataFrame) -> DataFrame:
+def phonetic_name_join(names: DataFrame, words: DataFrame, code: Callable[[Column], Column] | None = None) -> DataFrame:
     """(name_id, word): words that sound like a part of a name. Codes are made for distinct tokens of three letters or
-    more; three equi-joins: equal codes; equal first three characters; equal after different leading vowels."""
+    more; three equi-joins: equal codes; equal first three characters; equal after different leading vowels. ``code``
+    makes a code of a token, the phonetic one by default."""
 
     @F.pandas_udf("string")
     def coded(column):
         return phonetic_code(column)
 
     def table(rows: DataFrame, token: str, prefix: str) -> DataFrame:
-        one = rows.select(token).distinct().where(F.length(token) >= 3).withColumn(f"{prefix}", coded(F.col(token)))
+        one = rows.select(token).distinct().where(F.length(token) >= 3).withColumn(prefix, (code or coded)(F.col(token)))
         return one.where(F.length(prefix) > 0)
 
     parts = names.select("name_id", F.explode(F.split(F.lower("name"), r"\s+")).alias("part"))

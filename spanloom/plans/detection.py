@@ -78,20 +78,6 @@ def normalize_concepts(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("uri"), T.normalize_concept(F.concat("p_name", F.lit(" (x) / "), "p_type")).alias("name"))
 
 
-@query()
-def assign_transitions(spark, d):
-    """Talks of 30 minutes on each day's stream; gaps between its speech blocks, scored by length."""
-    blocks = S.speech_blocks(A.diarization(spark, d))
-    from pyspark.sql import Window as W
-
-    o = W.partitionBy("stream").orderBy("block")
-    gaps = blocks.select("stream", F.col("start_s").alias("at_s"), (F.col("start_s") - F.lag("end_s").over(o)).alias("gap_s")).where("gap_s >= 3")
-    gaps = gaps.withColumn("score", B.transition_score(F.col("gap_s"), F.lit(""), F.lit("")))
-    talks = blocks.select("stream").distinct().select("stream", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("place"))
-    talks = talks.select("stream", "place", F.concat("stream", F.lit("/"), "place").alias("talk"), F.lit(1800.0).alias("duration_s"), F.lit(300.0).alias("first_s"))
-    return B.assign_transitions(talks, gaps)
-
-
 @query()
 def replay_corrections(spark, d):
     """All events as edits of their day's segments."""

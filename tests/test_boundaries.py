@@ -51,15 +51,6 @@ def test_score_gaps(spark):
     assert len(r) == 1 and (r[0]["at_s"], r[0]["gap_s"], r[0]["score"]) == (13.0, 10.0, 5 + 3 + 4 + 15 - 5)
 
 
-def test_assign_transitions(spark):
-    talks = spark.createDataFrame([("s", k, f"t{k}", 1200.0, 100.0) for k in range(4)], "stream string, place int, talk string, duration_s double, first_s double")
-    gaps = spark.createDataFrame([("s", 1500.0, 20.0), ("s", 1400.0, 3.0), ("s", 2900.0, 10.0)], "stream string, at_s double, score double")
-    got = B.assign_transitions(talks, gaps).collect()
-    assert [(r["talk"], r["at_s"]) for r in got] == [("t0", 100.0), ("t1", 1500.0), ("t2", 2900.0), ("t3", 100 + 3 * 1380 + 0.5 * 20 + 0.5 * 20)]
-    bonus = spark.createDataFrame([("s", "t1", 1400.0, 30.0)], "stream string, talk string, at_s double, bonus double")
-    assert [r["at_s"] for r in B.assign_transitions(talks, gaps, bonus).collect()][1] == 1400.0
-
-
 def test_replay(spark):
     talks = spark.createDataFrame([("s", "a", "A", 0.0, 100.0, "high"), ("s", "b", "B", 100.0, 200.0, "low")], "stream string, talk string, title string, start_s double, end_s double, confidence string")
     log = [
