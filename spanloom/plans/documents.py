@@ -10,9 +10,10 @@ from spanloom.operators import entities as E
 from spanloom.operators import sequence as S
 from spanloom.operators import spans as P
 from spanloom.sources import records as C
-from spanloom.sources.files import read_sidecar_list, scratch_dir
+from spanloom.sources.files import read_sidecar_list, scratch_dir, written
 from spanloom.sources.lens import resolve_lens as lens_between
 from spanloom.streaming import commits as stream
+from spanloom.streaming import rebuild
 
 from . import adapters as A
 from .adapters import table
@@ -381,3 +382,32 @@ def nlp_to_layers(spark, d):
     rows = P.nlp_to_layers(w.where("pos % 9 = 0"), w.where("pos % 40 = 0"), found, w.where("pos % 100 = 50"))
     listed = F.array_join(F.transform(F.map_entries("features"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     return rows.withColumn("features", F.coalesce(listed, F.lit("")))
+
+
+def record_commits(spark, d):
+    """Commits of every document's expression, its segmentations of 500 words and, where it has comments, a layer of entities."""
+    e = lambda c: F.concat(F.lit("e"), c)
+    texts = table(spark, d, "documents").where("text is not null").select(e("doc_id").alias("uri"), F.lit("x.expression").alias("collection"), F.to_json(F.struct("text")).alias("record"))
+    layers = P.token_layers(A.words(spark, d), 500)
+    lists = lambda c, *names: F.transform(c, lambda t: F.array(*[t[n].cast("long") for n in names]))
+    parts = F.struct(e("doc_id").alias("expression"), lists("tokens", "pos", "byte_start", "byte_end").alias("tokens"), lists("times", "pos", "start_ms", "end_ms").alias("times"))
+    segments = layers.select(F.concat(e("doc_id"), F.lit("/s"), "chunk").alias("uri"), F.lit("x.segmentation").alias("collection"), F.to_json(parts).alias("record"))
+    notes = F.struct("kind", F.col("byte_start").cast("long").alias("byteStart"), F.col("byte_end").cast("long").alias("byteEnd"), "value")
+    found = entities(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(notes)).alias("annotations"))
+    layer = found.select(F.concat(e("doc_id"), F.lit("/ner")).alias("uri"), F.lit("x.annotationLayer").alias("collection"), F.to_json(F.struct(e("doc_id").alias("expression"), "annotations")).alias("record"))
+    rows = texts.union(segments).union(layer)
+    return rows.select("uri", "collection", F.lit("create").alias("operation"), F.lit(1).cast("long").alias("time_us"), F.lit("r").alias("rev"), "record")
+
+
+@query(V(f"{FACETS}, r AS (SELECT doc_id FROM s GROUP BY doc_id HAVING count(*) FILTER (kind = 'timestamp') > 0 AND count(*) FILTER (kind <> 'timestamp') > 0) SELECT doc_id, count(*)::BIGINT AS n_facets, md5(string_agg(concat_ws(' ', s.byte_start, s.byte_end, s.kind, s.value), ',' ORDER BY s.byte_start, s.byte_end, s.kind, s.value)) AS facets_md5 FROM s SEMI JOIN r USING (doc_id) GROUP BY doc_id", "words", "comments"))
+def stream_rebuild_documents(spark, d):
+    """The commits in no order, in two runs of the stream over one checkpoint."""
+    source, out = scratch_dir(spark, "records"), scratch_dir(spark, "rebuilt")
+    rows = written(record_commits(spark, d), "commits")
+    for k in range(2):
+        rows.where(F.pmod(F.xxhash64("uri"), F.lit(2)) == k).write.mode("append").parquet(source)
+        stream = rebuild.rebuild_stream(spark.readStream.schema(rows.schema).parquet(source))
+        stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    docs = rebuild.newest_documents(spark.read.parquet(f"{out}/rows"))
+    listed = F.array_join(F.transform("facets", lambda f: F.concat_ws(" ", f["byte_start"].cast("string"), f["byte_end"].cast("string"), f["kind"], f["value"])), ",")
+    return docs.select(F.substring("expression", 2, 20).cast("long").alias("doc_id"), F.size("facets").cast("long").alias("n_facets"), F.md5(listed).alias("facets_md5"))
