@@ -1,7 +1,7 @@
-"""Talk boundaries on long streams: gap scores, chains of transitions, edits replayed.
+"""Talk boundaries on long streams: gap scores, chains of starts, names by sound.
 
-Scores are columns and joins. Three steps are grouped maps by stream, since each
-choice in them depends on the one before; their inputs are scored in Spark.
+Scores are columns and joins. Gaps are chosen for talks in ``transitions``, edits
+are replayed in ``edits``, names in texts are found in ``phrases``.
 """
 
 from __future__ import annotations
@@ -105,56 +105,6 @@ def anchor_chain(talks: DataFrame, gaps: DataFrame, near_s: float = 900.0) -> Da
     return both.select("stream", F.explode(F.aggregate("ts", empty, step)).alias("r")).select("stream", "r.place", "r.talk", "r.at_s", "r.found")
 
 
-EDIT_SCHEMA = "stream string, seq long, kind string, talk string, edge string, at_s double, end_s double, text string"
-
-
-def replay_corrections(talks: DataFrame, edits: DataFrame, cursor: int | None = None) -> DataFrame:
-    """(stream, place, talk, title, start_s, end_s, confidence, verified) after the edits up to ``cursor`` (a count).
-
-    ``edits`` as EDIT_SCHEMA: move (edge, at_s), split (at_s, text = new key),
-    add (text = title, at_s, end_s), remove, title (text), verify, unverify.
-    Edits of a stream apply in the order of seq.
-    """
-
-    def replay(base, log):
-        import pandas as pd
-
-        rows = [dict(r, verified=False) for r in base.sort_values(["start_s", "talk"]).to_dict("records")]
-        for e in log.sort_values("seq").head(len(log) if cursor is None else cursor).to_dict("records"):
-            own = [r for r in rows if r["talk"] == e["talk"]]
-            match e["kind"]:
-                case "move":
-                    for r in own:
-                        r["start_s" if e["edge"] == "start" else "end_s"] = e["at_s"]
-                case "split" if own:
-                    k = rows.index(own[0])
-                    rows.insert(k + 1, dict(own[0], talk=e["text"], title="Untitled", start_s=e["at_s"], verified=False))
-                    rows[k] = dict(own[0], end_s=e["at_s"])
-                case "add":
-                    new = {"stream": e["stream"], "talk": e["talk"], "title": e["text"], "start_s": e["at_s"], "end_s": e["end_s"], "confidence": "manual", "verified": False}
-                    rows = sorted([*rows, new], key=lambda r: r["start_s"])
-                case "remove":
-                    rows = [r for r in rows if r["talk"] != e["talk"]]
-                case "title":
-                    for r in own:
-                        r["title"] = e["text"]
-                case "verify" | "unverify":
-                    for r in own:
-                        r["verified"] = e["kind"] == "verify"
-        out = pd.DataFrame(rows, columns=["stream", "talk", "title", "start_s", "end_s", "confidence", "verified"])
-        out.insert(1, "place", range(1, len(out) + 1))
-        return out
-
-    schema = "stream string, place int, talk string, title string, start_s double, end_s double, confidence string, verified boolean"
-    return talks.groupBy("stream").cogroup(edits.groupBy("stream")).applyInPandas(replay, schema)
-
-
-def speaker_names(edits: DataFrame) -> DataFrame:
-    """(stream, speaker, name): the last name given to each speaker."""
-    named = edits.where("kind = 'name'")
-    return named.groupBy("stream", F.col("talk").alias("speaker")).agg(F.max_by("text", "seq").alias("name"))
-
-
 def phonetic_name_join(names: DataFrame, words: DataFrame, code: Callable[[Column], Column] | None = None) -> DataFrame:
     """(name_id, word): words that sound like a part of a name. Codes are made for distinct tokens of three letters or
     more; three equi-joins: equal codes; equal first three characters; equal after different leading vowels. ``code``

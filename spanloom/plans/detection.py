@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators import boundaries as B
+from spanloom.operators import edits as D
 from spanloom.operators import sequence as S
 
 from . import adapters as A
 from .adapters import table
 from .adapters import with_views as V
 from .registry import query
+from .timed import SEGMENTS, blocks_sql
 
 
 def _phrases(column: str, phrases) -> str:
@@ -78,12 +80,43 @@ def normalize_concepts(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("uri"), T.normalize_concept(F.concat("p_name", F.lit(" (x) / "), "p_type")).alias("name"))
 
 
-@query()
+def _talk(**new: str) -> str:
+    """A talk as a struct in SQL: x with some fields anew."""
+    names = ("start_s", "talk", "title", "end_s", "confidence", "verified")
+    return "{" + ", ".join(f"'{n}': {new.get(n, 'x.' + n)}" for n in names) + "}"
+
+
+_SAME = "list_transform(ts, lambda x: CASE WHEN x.talk = o.talk THEN {} ELSE x END)"
+REPLAY = f"""
+, ed AS (SELECT stream, event_id AS seq, CASE WHEN event_id % 48 = 3 THEN 'remove' ELSE (['move', 'verify', 'title', 'unverify', 'split', 'add'])[event_id % 6 + 1] END AS kind,
+  CASE WHEN event_id % 6 = 5 THEN 'a' || event_id WHEN event_id % 7 = 0 THEN 'n' || (event_id - event_id % 6 - 2) WHEN event_id % 7 = 1 THEN 'a' || (event_id - event_id % 6 - 1) ELSE 't' || (event_id % 25) END AS talk,
+  CASE WHEN event_id % 2 = 0 THEN 'start' ELSE 'end' END AS edge, start_s + (event_id + 1) / 1e7::DOUBLE AS at_s, end_s, 'n' || event_id AS text FROM diarization),
+o AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY seq) AS k FROM ed),
+base AS (SELECT stream, start_s, 't' || segment AS talk, 'Talk ' || segment AS title, end_s, 'high' AS confidence, false AS verified FROM ends),
+f AS (
+  SELECT stream, 0::BIGINT AS k, list({_talk()} ORDER BY x.start_s, x.talk) AS ts FROM base x GROUP BY stream
+  UNION ALL SELECT f.stream, o.k, CASE
+    WHEN o.kind = 'move' AND o.edge = 'start' THEN {_SAME.format(_talk(start_s='o.at_s'))}
+    WHEN o.kind = 'move' THEN {_SAME.format(_talk(end_s='o.at_s'))}
+    WHEN o.kind = 'title' THEN {_SAME.format(_talk(title='o.text'))}
+    WHEN o.kind IN ('verify', 'unverify') THEN {_SAME.format(_talk(verified="(o.kind = 'verify')"))}
+    WHEN o.kind = 'remove' THEN list_filter(ts, lambda x: x.talk <> o.talk)
+    WHEN o.kind = 'split' THEN flatten(list_transform(ts, lambda x: CASE WHEN x.talk = o.talk THEN [{_talk(end_s='o.at_s')}, {_talk(start_s='o.at_s', talk='o.text', title="'Untitled'", verified='false')}] ELSE [x] END))
+    ELSE list_transform(list_sort(list_transform(list_append(ts, {{'start_s': o.at_s, 'talk': o.talk, 'title': o.text, 'end_s': o.end_s, 'confidence': 'manual', 'verified': false}}), lambda x, i: {{'a': x.start_s, 'i': i, 'x': x}})), lambda y: y.x) END
+  FROM f JOIN o ON o.stream = f.stream AND o.k = f.k + 1),
+last AS (SELECT stream, ts FROM f QUALIFY row_number() OVER (PARTITION BY stream ORDER BY k DESC) = 1),
+each AS (SELECT stream, unnest(range(1, len(ts) + 1))::INTEGER AS place, unnest(ts) AS x FROM last)
+SELECT stream, place, x.talk, x.title, x.start_s, x.end_s, x.confidence, x.verified FROM each"""
+
+
+@query(V(blocks_sql("diarization", 5.0) + SEGMENTS + REPLAY, "diarization").replace("WITH", "WITH RECURSIVE", 1))
 def replay_corrections(spark, d):
-    """All events as edits of their day's segments."""
+    """All events as edits of their day's segments, each at a time of its own."""
     segments = S.talk_segments(S.speech_blocks(A.diarization(spark, d)))
     talks = segments.select("stream", F.concat(F.lit("t"), "segment").alias("talk"), F.concat(F.lit("Talk "), "segment").alias("title"), "start_s", "end_s", F.lit("high").alias("confidence"))
-    kinds = F.array(*[F.lit(k) for k in ("move", "verify", "title", "remove", "split", "add")])
+    kinds = F.array(*[F.lit(k) for k in ("move", "verify", "title", "unverify", "split", "add")])
     i = F.col("event_id")
-    edits = A.diarization(spark, d).select("stream", i.alias("seq"), F.element_at(kinds, (i % 6 + 1).cast("int")).alias("kind"), F.concat(F.lit("t"), i % 25).alias("talk"), F.when(i % 2 == 0, "start").otherwise("end").alias("edge"), F.col("start_s").alias("at_s"), "end_s", F.concat(F.lit("n"), i).alias("text"))
-    return B.replay_corrections(talks, edits)
+    talk = F.when(i % 6 == 5, F.concat(F.lit("a"), i)).when(i % 7 == 0, F.concat(F.lit("n"), i - i % 6 - 2)).when(i % 7 == 1, F.concat(F.lit("a"), i - i % 6 - 1)).otherwise(F.concat(F.lit("t"), i % 25))
+    kind = F.when(i % 48 == 3, "remove").otherwise(F.element_at(kinds, (i % 6 + 1).cast("int")))
+    edits = A.diarization(spark, d).select("stream", i.alias("seq"), kind.alias("kind"), talk.alias("talk"), F.when(i % 2 == 0, "start").otherwise("end").alias("edge"), (F.col("start_s") + (i + 1) / 1e7).alias("at_s"), "end_s", F.concat(F.lit("n"), i).alias("text"))
+    return D.replay_corrections(talks, edits)

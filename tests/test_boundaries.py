@@ -51,21 +51,6 @@ def test_score_gaps(spark):
     assert len(r) == 1 and (r[0]["at_s"], r[0]["gap_s"], r[0]["score"]) == (13.0, 10.0, 5 + 3 + 4 + 15 - 5)
 
 
-def test_replay(spark):
-    talks = spark.createDataFrame([("s", "a", "A", 0.0, 100.0, "high"), ("s", "b", "B", 100.0, 200.0, "low")], "stream string, talk string, title string, start_s double, end_s double, confidence string")
-    log = [
-        ("s", 1, "move", "a", "end", 90.0, None, None), ("s", 2, "split", "b", None, 150.0, None, "c"), ("s", 3, "add", "d", None, 95.0, 99.0, "New"),
-        ("s", 4, "verify", "a", None, None, None, None), ("s", 5, "title", "c", None, None, None, "C"), ("s", 6, "remove", "b", None, None, None, None),
-        ("s", 7, "unverify", "a", None, None, None, None), ("s", 8, "name", "SPEAKER_1", None, None, None, "Ann"), ("s", 9, "name", "SPEAKER_1", None, None, None, "Bea"),
-    ]
-    edits = spark.createDataFrame(log, B.EDIT_SCHEMA)
-    got = [tuple(r)[2:] for r in B.replay_corrections(talks, edits).orderBy("place").collect()]
-    assert got == [("a", "A", 0.0, 90.0, "high", False), ("d", "New", 95.0, 99.0, "manual", False), ("c", "C", 150.0, 200.0, "low", False)]
-    part = [tuple(r)[2:4] for r in B.replay_corrections(talks, edits, 2).orderBy("place").collect()]
-    assert part == [("a", "A"), ("b", "B"), ("c", "Untitled")]
-    assert B.speaker_names(edits).first()["name"] == "Bea"
-
-
 def test_garbled(spark):
     words = [(1, i, "uh" if i % 2 else "oh", 7000 * i, 7000 * i + 500) for i in range(12)] + [(1, 12 + i, f"w{i}", 84000 + i, 84000 + i) for i in range(12)]
     r = B.garbled_until(spark.createDataFrame(words, "doc_id int, pos int, word string, start_ms long, end_ms long")).collect()
