@@ -48,6 +48,12 @@ def decode_pairs(df: DataFrame, key: str = "doc_id", timings: str = "timings") -
     return timed.select(key, F.floor(F.col("_k") / 2).cast("int").alias("pos"), (F.col("end_ms") - F.col("_v")).alias("start_ms"), "end_ms")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt to all cores where they come in fewer partitions (a scan of few row groups); untouched otherwise."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _words(texts):
     """(row, place, word, first byte, last byte) of the words of an Arrow string array, row by row."""
     import numpy as np
@@ -84,10 +90,11 @@ def text_words(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return df.select(key, F.col(text).cast("string")).mapInArrow(cut, f"{key} {kind}, pos int, word string, byte_start long, byte_end long")
 
 
-def words_table(transcripts: DataFrame, key: str = "doc_id") -> DataFrame:
+def words_table(transcripts: DataFrame, key: str = "doc_id", following: bool = False) -> DataFrame:
     """Words with times and bytes of transcripts (text, start_ms, timings, encoding 'signed' or 'pairs').
 
-    Words beyond the timings have null times. Both lists lie in one row, so nothing is shuffled.
+    Words beyond the timings have null times. Both lists lie in one row, so nothing is shuffled. With ``following``
+    each word has the next one of its text as ``next_word``.
     """
 
     def cut(batches):
@@ -118,11 +125,15 @@ def words_table(transcripts: DataFrame, key: str = "doc_id") -> DataFrame:
                 known = np.zeros(len(row), bool)
                 start_ms, end_ms = np.zeros(len(row), "i8"), np.zeros(len(row), "i8")
                 known[target], end_ms[target], start_ms[target] = True, end[use], end[use] - v[use]
-                yield pa.record_batch(
-                    [part.column(0).take(pa.array(row)), pa.array(place, pa.int32()), word.cast(pa.string()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(start_ms, mask=~known), pa.array(end_ms, mask=~known)],
-                    names=[key, "pos", "word", "byte_start", "byte_end", "start_ms", "end_ms"],
-                )
+                columns = [part.column(0).take(pa.array(row)), pa.array(place, pa.int32()), word.cast(pa.string()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(start_ms, mask=~known), pa.array(end_ms, mask=~known)]
+                if following:
+                    n = len(row)
+                    ends = np.append(row[1:] != row[:-1], True) if n else np.zeros(0, bool)
+                    columns.append(columns[2].take(pa.array(np.minimum(np.arange(n) + 1, max(n - 1, 0)), mask=ends)))
+                yield pa.record_batch(columns, names=names)
 
     kind = transcripts.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, pos int, word string, byte_start long, byte_end long, start_ms long, end_ms long" + (", next_word string" if following else "")
+    names = [key, "pos", "word", "byte_start", "byte_end", "start_ms", "end_ms", *["next_word"] * following]
     rows = transcripts.select(key, F.col("text").cast("string"), F.col("start_ms").cast("long"), F.col("timings").cast("array<long>"), "encoding")
-    return rows.mapInArrow(cut, f"{key} {kind}, pos int, word string, byte_start long, byte_end long, start_ms long, end_ms long")
+    return rows.mapInArrow(cut, schema)

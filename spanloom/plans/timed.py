@@ -39,7 +39,7 @@ ADJACENT = ", adj AS (SELECT doc_id, pos, start_ms, regexp_replace(regexp_replac
 
 @query(V(f"{STREAM}{PAIRS}{ADJACENT} SELECT a || ' ' || b AS term, count(DISTINCT doc_id)::BIGINT AS n_docs, count(*)::BIGINT AS total, min(start_ms) AS first_ms FROM adj2 WHERE a <> '' AND b <> '' AND a || ' ' || b IN (SELECT term FROM scored WHERE pmi >= 3 AND n_docs >= 2) GROUP BY 1", "words"))
 def bigram_entries(spark, d):
-    return index.bigram_entries(A.words(spark, d), index.bigram_pmi(A.transcripts(spark, d)))
+    return index.bigram_entries(A.words(spark, d, following=True), index.bigram_pmi(A.transcripts(spark, d)))
 
 
 @query(V(f", c AS (SELECT doc_id, start_ms, {CLEAN} AS a FROM words) SELECT doc_id, start_ms FROM c WHERE a = 'thing'", "words"))
