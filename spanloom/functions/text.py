@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -94,6 +95,30 @@ def slugify(text: Column, most: int = 512) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, most)
 
 
+@cache
+def decomposed_letters() -> tuple[str, str]:
+    """(letters, ASCII letters): all characters whose canonical decomposition is an ASCII letter or digit with combining
+    marks of U+0300 to U+036F, and what is left of them without the marks; made from the Unicode tables of the runtime."""
+    import sys
+    import unicodedata
+
+    pairs = []
+    for code in range(0x80, sys.maxunicode + 1):
+        whole = unicodedata.normalize("NFD", chr(code))
+        bare = "".join(c for c in whole if not "\u0300" <= c <= "\u036f")
+        if whole != chr(code) and len(bare) == 1 and bare.isascii():
+            pairs.append((chr(code), bare))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def slug_to_rkey(text: Column, most: int = 512) -> Column:
+    """Record keys: decomposed, marks dropped, lower case, other characters as single hyphens, one hyphen less at
+    either end, then cut at ``most``. Letters that decompose to none of a-z become hyphens like all others."""
+    letters, bare = decomposed_letters()
+    plain = F.lower(F.translate(F.regexp_replace(text, "[\u0300-\u036f]", ""), letters, bare))
+    return F.substring(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9-]", "-"), "-+", "-"), "^-|-$", ""), 1, most)
+
+
 #: Words too common in titles to tell talks apart.
 TITLE_STOPWORDS = ("with", "from", "that", "this", "your", "what", "when", "where", "have", "will", "about", "into", "over", "talk")
 
