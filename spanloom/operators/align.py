@@ -183,41 +183,3 @@ def set_change(before: Column, after: Column) -> Column:
     """2: no common speaker; 1: fewer than half of the smaller set in common; else 0. An empty side is no change."""
     common, least = F.size(F.array_intersect(before, after)), F.least(F.size(before), F.size(after))
     return F.when(least == 0, 0).when(common == 0, 2).when(common * 2 < least, 1).otherwise(0)
-
-
-def title_match(schedule: DataFrame, vods: DataFrame, least: float = 0.5, low: float = 0.3, high: float = 2.5) -> DataFrame:
-    """(uri, vod_uri, score): equal titles 1, one within the other 0.9, else the share of common words; duration ratio
-    low..high, score ``least`` or more. Each recording is used once, schedule order first, the first recording on ties.
-
-    Candidates share a word (an equi-join on words). The greedy choice runs per
-    connected group of candidates, so groups, not the whole, meet in a task.
-    """
-    from spanloom.functions.text import normalize_title
-
-    from .entities import merge_components
-
-    a = schedule.withColumn("ta", normalize_title(F.col("title"))).where("ta <> ''").select("uri", "place", "ta", F.col("duration_s").alias("da"), F.array_distinct(F.split("ta", " ")).alias("wa"))
-    b = vods.withColumn("tb", normalize_title(F.col("title"))).where("tb <> ''").select("vod_uri", F.col("place").alias("vod_place"), "tb", F.col("duration_s").alias("db"), F.array_distinct(F.split("tb", " ")).alias("wb"))
-    pairs = a.select("uri", F.explode("wa").alias("w")).join(b.select("vod_uri", F.explode("wb").alias("w")), "w").select("uri", "vod_uri").distinct()
-    rows = pairs.join(a, "uri").join(b, "vod_uri")
-    inside = F.contains("ta", F.col("tb")) | F.contains("tb", F.col("ta"))
-    score = F.when(F.col("ta") == F.col("tb"), 1.0).when(inside, 0.9).otherwise(token_set_similarity(F.col("wa"), F.col("wb")))
-    rows = rows.withColumn("score", score).where((F.col("score") >= least) & (F.col("db") / F.col("da")).between(low, high))
-    rows = rows.select("uri", "place", "vod_uri", "vod_place", "score")
-    nodes = rows.select(F.concat(F.lit("s"), F.col("uri").cast("string")).alias("a"), F.concat(F.lit("v"), F.col("vod_uri").cast("string")).alias("b"))
-    groups = merge_components(nodes).select(F.col("node").alias("_n"), "root")
-    grouped = rows.join(groups, F.concat(F.lit("s"), F.col("uri").cast("string")) == F.col("_n")).drop("_n")
-
-    def choose(pdf):
-        used, out = set(), []
-        for uri, part in pdf.sort_values(["place", "uri"]).groupby("uri", sort=False):
-            free = part[~part["vod_uri"].isin(used)].sort_values(["score", "vod_place"], ascending=[False, True], kind="stable")
-            if len(free):
-                out.append((uri, free.iloc[0]["vod_uri"], free.iloc[0]["score"]))
-                used.add(free.iloc[0]["vod_uri"])
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=["uri", "vod_uri", "score"])
-
-    kinds = dict(rows.dtypes)
-    return grouped.groupBy("root").applyInPandas(choose, f"uri {kinds['uri']}, vod_uri {kinds['vod_uri']}, score double")

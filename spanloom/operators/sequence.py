@@ -319,6 +319,17 @@ def sentence_rows(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.where("text <> ''")
 
 
+def replace_in_zones(words: DataFrame, zones: DataFrame, new: DataFrame, key: str = "doc_id", start: str = "start_ms", end: str = "end_ms", size: float = 60_000) -> DataFrame:
+    """(key, pos, word, start, end): words that overlap a zone (key, start, end) give way to the ``new`` words (key, word,
+    start, end), and all are numbered again in the order of their starts; on ties old words come first, in their order."""
+    spans = zones.select(key, F.col(start).alias("_zs"), F.col(end).alias("_ze"))
+    hit = overlap_join(words.select(key, "pos", start, end), spans, [key], start, end, "_zs", "_ze", size).select(key, "pos").distinct()
+    kept = words.join(hit, [key, "pos"], "left_anti").select(key, F.lit(0).alias("_new"), F.col("pos").cast("long").alias("_pos"), "word", start, end)
+    both = kept.unionByName(new.select(key, F.lit(1).alias("_new"), F.lit(0).cast("long").alias("_pos"), "word", start, end))
+    place = F.row_number().over(W.partitionBy(key).orderBy(start, "_new", "_pos", end, "word")) - 1
+    return both.select(key, place.cast("int").alias("pos"), "word", start, end)
+
+
 def zone_speech_chunks(zones: DataFrame, diarization: DataFrame, gap_s: float = 5.0, most_s: float = 1200.0, size: float = 300.0) -> DataFrame:
     """(stream, zone, chunk, start_s, end_s): speech inside a zone (stream, zone, zone_start, zone_end), clamped to it,
     joined at gaps under ``gap_s`` and packed in order into spans of at most ``most_s``; a longer block stays whole."""

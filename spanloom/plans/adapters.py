@@ -17,14 +17,20 @@ def transcripts(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text", F.col("source").alias("room"), (1000 * (F.col("doc_id") % 7)).alias("start_ms"))
 
 
-def words(spark, d, following: bool = False) -> DataFrame:
-    """Words with made-up times: 80 ms and 20 for each character, and now and then a pause of 2.5 s before."""
-    rows = spread(transcripts(spark, d))
+def _gap(pos):
+    return F.when((pos > 0) & ((pos * 7 + F.col("doc_id")) % 41 == 0), 2500).otherwise(0).cast("long")
+
+
+def timed_transcripts(spark, d) -> DataFrame:
+    """Transcripts with made-up times: 80 ms and 20 for each character, and now and then a pause of 2.5 s before."""
     dur = lambda w: (80 + 20 * F.length(w)).cast("long")
-    gap = lambda pos: F.when((pos > 0) & ((pos * 7 + F.col("doc_id")) % 41 == 0), 2500).otherwise(0).cast("long")
-    pairs = F.transform(tokenize_ws(F.col("text")), lambda w, i: F.array(F.when(i == 0, F.col("start_ms")).otherwise(gap(i)).cast("long"), dur(w)))
-    timed = words_table(rows.select("doc_id", "text", "start_ms", F.flatten(pairs).alias("timings"), F.lit("pairs").alias("encoding")), following=following)
-    return timed.withColumns({"dur_ms": F.col("end_ms") - F.col("start_ms"), "gap_ms": gap(F.col("pos"))})
+    pairs = F.transform(tokenize_ws(F.col("text")), lambda w, i: F.array(F.when(i == 0, F.col("start_ms")).otherwise(_gap(i)).cast("long"), dur(w)))
+    return spread(transcripts(spark, d)).select("doc_id", "text", "start_ms", F.flatten(pairs).alias("timings"), F.lit("pairs").alias("encoding"))
+
+
+def words(spark, d, following: bool = False) -> DataFrame:
+    timed = words_table(timed_transcripts(spark, d), following=following)
+    return timed.withColumns({"dur_ms": F.col("end_ms") - F.col("start_ms"), "gap_ms": _gap(F.col("pos"))})
 
 
 def diarization(spark, d) -> DataFrame:

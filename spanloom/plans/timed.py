@@ -295,13 +295,15 @@ def first_mention_time(spark, d):
     return intervals.overlap_join(A.words(spark, d), spans, ["doc_id"], "byte_start", "byte_end", "cs", "ce", 256).groupBy("doc_id", "kind").agg(F.min("start_ms").alias("first_ms"))
 
 
-@query(V(", z AS (SELECT w.doc_id, w.pos FROM words w WHERE NOT EXISTS (SELECT 1 FROM comments c WHERE c.subject_uri = w.doc_id AND w.byte_start < c.byte_end AND w.byte_end > c.byte_start)) SELECT * FROM z", "words", "comments"))
+@query(V(""", z AS (SELECT doc_id, 1000 * (doc_id % 7) + 2000 AS zs, 1000 * (doc_id % 7) + 6000 AS ze FROM documents UNION ALL SELECT doc_id, 20000, 21500 FROM documents WHERE doc_id % 2 = 0),
+n AS (SELECT doc_id, 1 AS fresh, 0 AS k, unnest(['said', 'anew']) AS word, zs + unnest([100, 600]) AS start_ms, zs + unnest([500, 900]) AS end_ms FROM z),
+b AS (SELECT doc_id, 0 AS fresh, pos AS k, word, start_ms, end_ms FROM words w WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.doc_id = w.doc_id AND w.start_ms < ze AND w.end_ms > zs) UNION ALL SELECT * FROM n)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start_ms, fresh, k, end_ms, word) - 1)::INTEGER AS pos, word, start_ms::BIGINT AS start_ms, end_ms::BIGINT AS end_ms FROM b""", "words"))
 def replace_in_zones(spark, d):
-    """Words that no zone touches; replacements would be added by unionByName."""
-    return overlap_free(A.words(spark, d).select("doc_id", "pos", "byte_start", "byte_end"), A.comments(spark, d).where("byte_start is not null"))
-
-
-def overlap_free(words, zones):
-    spans = zones.select(F.col("subject_uri").alias("doc_id"), F.col("byte_start").alias("cs"), F.col("byte_end").alias("ce"))
-    hit = intervals.overlap_join(words, spans, ["doc_id"], "byte_start", "byte_end", "cs", "ce", 256).select("doc_id", "pos").distinct()
-    return words.join(hit, ["doc_id", "pos"], "left_anti").select("doc_id", "pos")
+    """Two zones at fixed times; two words are put in each."""
+    docs = table(spark, d, "documents").select("doc_id")
+    zone = lambda rows, at, to: rows.select("doc_id", at.cast("long").alias("start_ms"), to.cast("long").alias("end_ms"))
+    first = 1000 * (F.col("doc_id") % 7)
+    zones = zone(docs, first + 2000, first + 6000).union(zone(docs.where("doc_id % 2 = 0"), F.lit(20_000), F.lit(21_500)))
+    said = F.explode(F.array(*[F.struct(F.lit(w).alias("word"), (F.col("start_ms") + a).alias("start_ms"), (F.col("start_ms") + b).alias("end_ms")) for w, a, b in (("said", 100, 500), ("anew", 600, 900))]))
+    return S.replace_in_zones(A.words(spark, d), zones, zones.select("doc_id", said.alias("w")).select("doc_id", "w.*"))

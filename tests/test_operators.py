@@ -128,7 +128,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 #: Ordered greedy choices and sound codes, which SQL doesn't express; tested on rows in test_boundaries.py.
-WITHOUT_SQL = {"phonetic_name_join", "match_leftovers", "detect_boundaries"}
+WITHOUT_SQL = {"annotate_documents", "phonetic_name_join", "match_leftovers", "detect_boundaries"}
 
 
 def test_registered_queries_have_sql():

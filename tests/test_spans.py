@@ -69,10 +69,3 @@ def test_posts(spark):
     kind = T.classify_post(F.col("text"), F.col("links"), ["tube.example"])
     got = [tuple(r) for r in df.select("i", kind.alias("k"), "links").select("i", "k", T.primary_url(F.col("k"), F.col("links"), ["tube.example"], "home.example")).orderBy("i").collect()]
     assert got == [(1, "blog", "https://my.blog/x"), (2, "video", "https://v.tube.example/1"), (3, "video", "https://v.tube.example/2"), (4, "post", None), (5, "blog", "https://z.y/q")]
-
-
-def test_title_match(spark):
-    s = spark.createDataFrame([("s1", 1, "Open Protocols!", 1800.0), ("s2", 2, "open protocols today", 1800.0), ("s3", 3, "Gardens", 600.0), ("s4", 4, "", 600.0)], "uri string, place int, title string, duration_s double")
-    v = spark.createDataFrame([("v1", 1, "open protocols", 1700.0), ("v2", 2, "Open protocols, today and later", 1900.0), ("v3", 3, "Gardens", 9000.0)], "vod_uri string, place int, title string, duration_s double")
-    got = {(r["uri"], r["vod_uri"], r["score"]) for r in align.title_match(s, v).collect()}
-    assert got == {("s1", "v1", 1.0), ("s2", "v2", 0.9)}
