@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -51,6 +52,21 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def released(f):
+    """``f`` over Arrow batches; at its end the worker gives memory that it no longer uses back to the system.
+
+    Workers stay for the next stages and share an executor's memory with the JVM.
+    """
+
+    def run(batches):
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
 # --- tokenizing -----------------------------------------------------------------
 
 #: Python workers live on between tasks; so do their tokenizers and word caches.

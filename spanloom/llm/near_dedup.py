@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import released, stored, text_or_empty
 from .shingles import U, chunks, mix, shingles
 
 TABLE_BITS, PART_BITS = 20, 12
@@ -84,7 +84,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     schema = "part int, counts binary"
     texts = docs.select(text_or_empty().alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts.mapInArrow(count, schema).repartition(parts, "part").mapInArrow(add, schema).collect()
+    rows = texts.mapInArrow(released(count), schema).repartition(parts, "part").mapInArrow(released(add), schema).collect()
     found = {r["part"]: np.frombuffer(bytes(r["counts"]), "<i8") for r in rows}
     if not found:
         return np.zeros(1 << TABLE_BITS, "i8"), 0
@@ -154,7 +154,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 bands = pa.ListArray.from_arrays(offsets, pa.array(keys, pa.int64()))
                 yield pa.record_batch([batch.column(0).slice(lo, len(part)), batch.column(1).slice(lo, len(part)), bands], names=["doc_id", "node", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), _node().alias("node"), text_or_empty().alias("text")).mapInArrow(sign, "doc_id long, node binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), _node().alias("node"), text_or_empty().alias("text")).mapInArrow(released(sign), "doc_id long, node binary, bands array<long>")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -189,7 +189,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: f
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(ok, pa.bool_())], names=["leader", "node", "ok"])
 
     left, right = texts.select(F.col("node").alias("leader"), F.col("text").alias("a")), texts.select("node", F.col("text").alias("b"))
-    return pairs.join(left, "leader").join(right, "node").select("leader", "node", "a", "b").mapInArrow(verify, "leader binary, node binary, ok boolean")
+    return pairs.join(left, "leader").join(right, "node").select("leader", "node", "a", "b").mapInArrow(released(verify), "leader binary, node binary, ok boolean")
 
 
 def _maybe_broadcast(df: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def _sketches(texts: DataFrame, idf: np.ndarray) -> DataFrame:
                 cells = np.minimum(np.ceil(sums / scale[:, None]), 255).astype("u1")
                 yield pa.record_batch([batch.column(0).slice(lo, n), pa.array(sums.sum(axis=1)), pa.array(scale), pa.array([c.tobytes() for c in cells], pa.binary())], names=["node", "total", "scale", "cells"])
 
-    return texts.select("node", "text").mapInArrow(sketch, "node binary, total double, scale double, cells binary")
+    return texts.select("node", "text").mapInArrow(released(sketch), "node binary, total double, scale double, cells binary")
 
 
 def _bounded(block, similarity: float):

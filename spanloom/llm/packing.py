@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UnitEncoder, stored, tokenizer_path
+from .common import UnitEncoder, released, stored, tokenizer_path
 
 FAN_IN = 8
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -70,7 +70,7 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokeniz
                 names.append("ids")
             yield pa.record_batch(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, BINNED + (", ids array<int>" if with_ids else ""))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(cut), BINNED + (", ids array<int>" if with_ids else ""))
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +120,7 @@ def _round(rows: DataFrame, parts: int, number: int, capacity: int, slack: int,
         t = t.set_column(5, "bin", pa.array(base + new)).set_column(6, "offset", pa.array(t.column("offset").to_numpy() + offset[inverse])).set_column(7, "fill", pa.array(total[new]))
         yield from t.append_column("done", pa.array(done)).to_batches()
 
-    return rows.repartition(parts, "bin").mapInArrow(pack, BINNED + ", done boolean")
+    return rows.repartition(parts, "bin").mapInArrow(released(pack), BINNED + ", done boolean")
 
 
 def packed(pieces: DataFrame, capacity: int = 1024, slack: int = 2, per_task: int = 100_000) -> DataFrame:

@@ -44,6 +44,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import released
+
 KINDS = ("assign", "access", "hex", "unread")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -310,7 +312,7 @@ def secret_report(docs: DataFrame) -> DataFrame:
             digests = [hashlib.sha256(_written(base).encode()).hexdigest() for base, _ in rows]
             yield pa.record_batch([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.array([_written(s) for _, s in rows], pa.string())], names=REPORT.replace(",", "").split()[::2])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, REPORT)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(scan), REPORT)
 
 
 def redact(text: str, mark: str = "[secret]") -> str:
