@@ -51,3 +51,20 @@ def test_names_are_heard_by_sound(spark):
     words = spark.createDataFrame([("d", i, w, 700.0 + i, 700.5 + i) for i, w in enumerate("so greyce here and my name is Alun".split())], "stream string, pos long, word string, start_s double, end_s double")
     got = {(r["segment"], r["source"], r["name"]) for r in M.segment_signals(words, segments, talks).where(F.col("source") != "topic").collect()}
     assert {(2, "self-intro", "Alun"), (2, "name-scan", "Alan"), (2, "name-scan", "Grace")} <= got
+
+
+def test_whole_chain(spark):
+    """Known answers from words, speakers and a schedule to one row a talk; names are heard by the phonetic code."""
+    said = [(100, "good day my name is Ada and quiet rivers are"), (700, "thanks my name is Greyce and so"), (1300, "now paper lanterns by night"), (5000, "nobody speaks here")]
+    words = [("d", 1000 * k + i, w, at + 1.0 + i, at + 1.5 + i) for k, (at, text) in enumerate(said) for i, w in enumerate(text.split())]
+    turns = [("d", 1, 100.0, 640.0, "A"), ("d", 2, 700.0, 1240.0, "B"), ("d", 3, 1300.0, 1900.0, "C"), ("d", 4, 8000.0, 8100.0, "A")]
+    talks = [("d", 1, "Quiet rivers flow", ["Ada Li"], 0.0), ("d", 2, "Stone bridges", ["Grace Oh"], 600.0), ("d", 3, "Paper lanterns", ["Alan Wu"], 1200.0), ("d", 4, "Later things", ["Tony Xu"], 5002.0), ("d", 5, "Last of all", ["Ida Xu"], 20_000.0)]
+    args = (
+        spark.createDataFrame(words, "stream string, pos long, word string, start_s double, end_s double"), spark.createDataFrame(turns, "stream string, event_id long, start_s double, end_s double, speaker string"),
+        spark.createDataFrame(talks, TALKS), spark.createDataFrame([("d", 9000.0)], "stream string, duration_s double"),
+    )
+    got = sorted((r["status"], r["talk"] or 0, r["segment"] or 0, r["start_s"], r["end_s"], r["confidence"]) for r in M.detect_boundaries(*args).collect())
+    assert got == [
+        ("matched", 1, 0, 100.0, 640.0, "high"), ("matched", 2, 0, 700.0, 1240.0, "medium"), ("matched", 3, 0, 1300.0, 1900.0, "medium"),
+        ("open segment", 0, 4, 8000.0, 8100.0, None), ("open talk", 5, 0, None, None, None), ("unverifiable", 4, 0, 0.0, None, "unverifiable"),
+    ]
