@@ -67,12 +67,19 @@ def posts_in_talk_window(posts: DataFrame, talks: DataFrame, before_min: int = 5
 
 
 def nearest_talk_for_post(posts: DataFrame, talks: DataFrame, before_min: int = 5, after_min: int = 30, bucket_s: int = 3600) -> DataFrame:
-    """(post, talk): of talks whose extended window holds the post, the one starting nearest; the smaller talk on ties."""
-    t = talks.withColumns({"_a": F.unix_timestamp("starts_at") - 60 * before_min, "_b": F.unix_timestamp("ends_at") + 60 * after_min, "_s": F.unix_timestamp("starts_at")})
+    """(post, talk): of talks whose extended window holds the post, the one starting nearest; the smaller talk on ties.
+
+    Talks of one time count once (the smallest), posts of one second are settled once, so a bucket holds at most its
+    seconds times its windows, however many talks and posts meet in it.
+    """
+    t = talks.groupBy("starts_at", "ends_at").agg(F.min("talk").alias("talk"))
+    t = t.withColumns({"_a": F.unix_timestamp("starts_at") - 60 * before_min, "_b": F.unix_timestamp("ends_at") + 60 * after_min, "_s": F.unix_timestamp("starts_at")})
     t = t.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_a") / bucket_s), F.floor(F.col("_b") / bucket_s))))
-    p = posts.withColumn("_at", F.unix_timestamp("created_at")).withColumn("_bucket", F.floor(F.col("_at") / bucket_s))
-    hits = p.join(t.select("talk", "_a", "_b", "_s", "_bucket"), "_bucket").where("_at between _a and _b")
-    return hits.groupBy("post").agg(F.min_by("talk", F.struct(F.abs(F.col("_at") - F.col("_s")), "talk")).alias("talk"))
+    p = posts.select("post", F.unix_timestamp("created_at").alias("_at"))
+    seconds = p.where("_at is not null").select("_at").distinct().withColumn("_bucket", F.floor(F.col("_at") / bucket_s))
+    hits = seconds.join(t.select("talk", "_a", "_b", "_s", "_bucket"), "_bucket").where("_at between _a and _b")
+    nearest = hits.groupBy("_at").agg(F.min(F.struct(F.abs(F.col("_at") - F.col("_s")).alias("far"), "talk")).alias("_t"))
+    return p.join(nearest, "_at").groupBy("post").agg(F.min("_t")["talk"].alias("talk"))
 
 
 def post_offsets(posts: DataFrame, words: DataFrame) -> DataFrame:

@@ -86,22 +86,26 @@ def anchor_chain(talks: DataFrame, gaps: DataFrame, near_s: float = 900.0) -> Da
     """(stream, place, talk, at_s, found): each talk (stream, place, talk, duration_s, first_s) starts at the gap nearest
     to the start before it plus that talk's length, within ``near_s`` (the earlier on ties), else just there.
 
-    A stream's talks and gaps are folded in order as two arrays; streams are folded apart.
+    A stream's talks are folded in order; its gaps lie in buckets of ``near_s``, of which a talk looks at three.
     """
-    g = gaps.groupBy("stream").agg(F.sort_array(F.collect_set(F.col("at_s").cast("double"))).alias("gs"))
+    bucket = lambda at: F.floor(at / near_s)
+    g = gaps.where("at_s is not null").select("stream", F.col("at_s").cast("double").alias("at_s")).groupBy("stream", bucket(F.col("at_s")).alias("b")).agg(F.collect_set("at_s").alias("near"))
+    g = g.groupBy("stream").agg(F.map_from_entries(F.collect_list(F.struct("b", "near"))).alias("gs"))
     t = talks.groupBy("stream").agg(F.sort_array(F.collect_list(F.struct("place", "talk", F.col("duration_s").cast("double").alias("d"), F.col("first_s").cast("double").alias("f")))).alias("ts"))
     kinds = dict(talks.dtypes)
+    none = F.expr("cast(array() as array<double>)")
     empty = F.expr(f"cast(array() as array<struct<place: {kinds['place']}, talk: {kinds['talk']}, at_s: double, found: boolean, d: double>>)")
 
     def step(out, x):
         last = F.try_element_at(out, F.lit(-1))
         expected = F.when(F.size(out) == 0, x["f"]).otherwise(last["at_s"] + last["d"])
-        close = F.filter("gs", lambda a: F.abs(a - expected) <= near_s)
+        three = F.concat(*[F.coalesce(F.try_element_at("gs", bucket(expected) + k), none) for k in (-1, 0, 1)])
+        close = F.filter(three, lambda a: F.abs(a - expected) <= near_s)
         best = F.try_element_at(F.array_sort(F.transform(close, lambda a: F.struct(F.abs(a - expected).alias("far"), a.alias("at")))), F.lit(1))["at"]
         found = (F.size(out) > 0) & best.isNotNull()
         return F.concat(out, F.array(F.struct(x["place"].alias("place"), x["talk"].alias("talk"), F.when(found, best).otherwise(expected).alias("at_s"), F.coalesce(found, F.lit(False)).alias("found"), x["d"].alias("d"))))
 
-    both = t.join(g, "stream", "left").withColumn("gs", F.coalesce("gs", F.expr("cast(array() as array<double>)")))
+    both = t.join(g, "stream", "left")
     return both.select("stream", F.explode(F.aggregate("ts", empty, step)).alias("r")).select("stream", "r.place", "r.talk", "r.at_s", "r.found")
 
 

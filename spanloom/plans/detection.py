@@ -69,12 +69,6 @@ def garbled_until(spark, d):
     return B.garbled_until(A.words(spark, d), least_s=2.0)
 
 
-@query()
-def phonetic_name_join(spark, d):
-    names = A.concepts(spark, d).select(F.col("uri").alias("name_id"), "name")
-    return B.phonetic_name_join(names, A.words(spark, d))
-
-
 @query("SELECT p_partkey AS uri, trim(regexp_replace(string_split(trim(regexp_replace(lower(p_name || ' (x) / ' || p_type), '\\([^)]*\\)', '', 'g')), '/')[1], '\\s+', ' ', 'g')) AS name FROM part")
 def normalize_concepts(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("uri"), T.normalize_concept(F.concat("p_name", F.lit(" (x) / "), "p_type")).alias("name"))

@@ -21,7 +21,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import alignment, catalog, detection, documents, matching, people, phrases, stems, timed, titles, transitions  # noqa: F401
+    from . import alignment, catalog, detection, documents, matching, people, phrases, signals, stems, timed, titles, transitions  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

@@ -55,3 +55,35 @@ def test_garbled(spark):
     words = [(1, i, "uh" if i % 2 else "oh", 7000 * i, 7000 * i + 500) for i in range(12)] + [(1, 12 + i, f"w{i}", 84000 + i, 84000 + i) for i in range(12)]
     r = B.garbled_until(spark.createDataFrame(words, "doc_id int, pos int, word string, start_ms long, end_ms long")).collect()
     assert len(r) == 1 and r[0]["start_ms"] == 0
+
+
+def test_sound_codes_in_sql():
+    """The oracle's codes on words that meet every rule, and on random ones."""
+    import random
+
+    import duckdb
+
+    from spanloom.plans.signals import codes_sql
+
+    dice = random.Random(5)
+    words = sorted({"".join(dice.choice("abcdghiknpstwxyz'") for _ in range(dice.randint(0, 9))) for _ in range(20_000)} | {"Knight", "Wright", "Whale", "lamb", "lambs", "dodge", "dogma", "nation", "rough", "Ghost", "back", "échec"})
+    con = duckdb.connect()
+    rows = pd.DataFrame({"word": words})  # noqa: F841
+    got = dict(con.execute(f"WITH src AS (SELECT word FROM rows){codes_sql('src', 'word', 'codes')} SELECT token, code FROM codes").fetchall())
+    assert got == dict(zip(words, phonetic_code(pd.Series(words)).tolist(), strict=True))
+
+
+def test_anchor_chain(spark):
+    """Nearest gap within reach, ties to the earlier, bounds of the buckets, streams without gaps."""
+    talks = spark.createDataFrame([("s", i, f"t{i}", d, 0.0) for i, d in enumerate([900.0, 1000.0, 500.0, 100.0])] + [("u", 0, "x", 10.0, 5.0), ("u", 1, "y", 10.0, 5.0)], "stream string, place int, talk string, duration_s double, first_s double")
+    gaps = spark.createDataFrame([("s", x) for x in (0.0, 800.0, 1000.0, 2700.0, 9000.0)] + [("v", 1.0)], "stream string, at_s double")
+    got = {(r["stream"], r["place"]): (r["at_s"], r["found"]) for r in B.anchor_chain(talks, gaps).collect()}
+    assert got == {("s", 0): (0.0, False), ("s", 1): (800.0, True), ("s", 2): (1000.0, True), ("s", 3): (1000.0, True), ("u", 0): (5.0, False), ("u", 1): (15.0, False)}
+
+
+def test_nearest_talk(spark):
+    from spanloom.operators.align import nearest_talk_for_post
+
+    talks = spark.createDataFrame([(2, "10:00", "10:30"), (1, "10:00", "10:30"), (3, "10:20", "10:25"), (4, "12:00", "12:30"), (5, None, None)], "talk int, a string, b string").selectExpr("talk", "timestamp('2024-01-01 ' || a) starts_at", "timestamp('2024-01-01 ' || b) ends_at")
+    posts = spark.createDataFrame([(1, "10:05"), (2, "10:10"), (3, "10:57"), (4, "11:30"), (5, "11:56"), (6, None), (7, "10:59")], "post int, t string").selectExpr("post", "timestamp('2024-01-01 ' || t) created_at")
+    assert {r["post"]: r["talk"] for r in nearest_talk_for_post(posts, talks).collect()} == {1: 1, 2: 1, 3: 1, 5: 4, 7: 1}

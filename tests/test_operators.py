@@ -127,8 +127,8 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(repr(tuple(norm(r[c]) for c in names)) for r in df.collect()) == want
 
 
-#: Ordered greedy choices and sound codes, which SQL doesn't express; tested on rows in test_boundaries.py.
-WITHOUT_SQL = {"annotate_documents", "phonetic_name_join", "match_leftovers", "detect_boundaries"}
+#: Ordered greedy choices, which SQL doesn't express; tested on rows in test_matching.py and test_annotate.py.
+WITHOUT_SQL = {"annotate_documents", "match_leftovers", "detect_boundaries"}
 
 
 def test_registered_queries_have_sql():
