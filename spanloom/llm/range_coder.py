@@ -1,18 +1,19 @@
 """An adaptive context-mixing range coder for token ids, over many blocks in step.
 
 A block is coded from a fresh model and so stands alone. Ids are numbered in the
-order in which a block first shows them, and three predictors offer the next
-number: order 2 (the one last seen after this pair, by a hashed table), order 1
-(after this one) and order 0 (counts of all numbers so far, and of news). Orders 2
-and 1 carry a confidence of 0 to 3 hits. How far each order is trusted is learned
-for every pair of confidences: the three weights are counts of which order was
-right there, and they split the coder's range. An id that order 0 has not in its
-table yet is written out: its high byte by counts, its low byte as it is.
+order in which a block first shows them, and three predictors share out the
+probability of the next number: order 2 (all on the one last seen after this pair,
+by a hashed table), order 1 (after this one) and order 0 (by counts of all numbers
+so far, and of news). A number's probability is the sum over the orders of weight
+times share, and it is coded as one interval of that sum. Orders 2 and 1 carry a
+confidence of 0 to 3 hits; for every pair of confidences the weights are the sums of
+what each order gave to the numbers that came. A number that no order names is
+coded as news, and its id written out: its high byte by counts, its low byte as it is.
 
 All blocks of a call move one id a step, so numpy's calls are shared by
 thousands of blocks. Encoder and decoder run the same model code.
 
-Block: ``SLB2``, number of ids, crc32 of the ids (little-endian 32-bit), number
+Block: ``SLB3``, number of ids, crc32 of the ids (little-endian 32-bit), number
 of 32-bit digits, digits.
 """
 
@@ -23,9 +24,10 @@ import zlib
 
 import numpy as np
 
-MAGIC, HEADER = b"SLB2", struct.Struct("<4sIII")
+MAGIC, HEADER = b"SLB3", struct.Struct("<4sIII")
 BLOCK = 4096
-SLOT_BITS, MIX_BITS, ZERO_BITS, HIGH_BITS = 12, 16, 18, 14
+SLOT_BITS, MIX_BITS, ZERO_BITS, HIGH_BITS = 12, 12, 18, 14
+BITS = MIX_BITS + ZERO_BITS  # of a mixed probability; below 32, as the coder's range is above 2**32
 #: (below this step, steps between two tables of order 0).
 REFRESH = ((64, 8), (512, 32), (1 << 62, 128))
 U, U32 = np.uint64, np.uint64(32)
@@ -41,7 +43,7 @@ class _Model:
         slots, width = 1 << SLOT_BITS, steps + 2
         self.guess = [np.zeros(blocks * slots, "u2" if width < 1 << 16 else "u4") for _ in range(2)]  # orders 2 and 1; 0 is none
         self.trust = [np.zeros(blocks * slots, "u1") for _ in range(2)]
-        self.right = np.ones((blocks * 16, 3), "f4")  # by the two confidences: hits of order 2, 1, 0
+        self.right = np.ones((blocks * 16, 3), "f4")  # by the two confidences: what orders 2, 1 and 0 gave
         self.right[:, 2] = 2
         self.high = (max(1, vocabulary - 1) >> 8) + 1
         self.highs = (1 + np.rint(16 / (1 + np.arange(self.high)))).astype("f4") * np.ones((blocks, 1), "f4")  # low ids are common ones
@@ -75,12 +77,13 @@ class _Model:
             return
         self.known[:n] = self.size[:n]
         self.sums = self._ranges(self.counts[:n, : int(self.size[:n].max()) + 1], ZERO_BITS)
+        self.zero, self.zero_base = self.sums.ravel(), self.rows[:n] * self.sums.shape[1]
         self.high_sums = self._ranges(self.highs[:n], HIGH_BITS)
         above = self.rows[:n, None] << 32
         self.flat, self.high_flat = (self.sums + above).ravel(), (self.high_sums + above).ravel()
 
     def predict(self, n: int):
-        """Slots, guesses and the ranges of orders 2 and 1 (of 2**MIX_BITS) for the first n blocks."""
+        """Guesses and weights of orders 2 and 1 (of 2**MIX_BITS) for the first n blocks."""
         mask = (1 << SLOT_BITS) - 1
         h1 = self.last[:n] & mask
         h2 = (self.last[:n] * 40503 + self.before[:n] * 30727) >> 3 & mask
@@ -88,10 +91,36 @@ class _Model:
         g2, g1 = (self.guess[k][self.slot[k]].astype("i8") for k in (0, 1))
         t2, t1 = (self.trust[k][self.slot[k]].astype("i8") for k in (0, 1))
         self.context = self.base16[:n] + t2 * 4 + t1
-        r = self.right[self.context]
+        r = self.weights = self.right.take(self.context, axis=0)
         scale = ((1 << MIX_BITS) - 4) / r.sum(axis=1)
         return g2, g1, 1 + (r[:, 0] * scale).astype("i8"), 1 + (r[:, 1] * scale).astype("i8")
 
+    def below(self, k: np.ndarray) -> np.ndarray:
+        """The shares of order 0 below each block's number."""
+        return self.zero.take(self.zero_base[: len(k)] + np.minimum(k, self.sums.shape[1] - 1))
+
+    def mixed(self, k: np.ndarray, g2: np.ndarray, g1: np.ndarray, f2: np.ndarray, f1: np.ndarray):
+        """Begin of each number's interval of 2**BITS, and what orders 2, 1 and 0 give to it."""
+        f0 = (1 << MIX_BITS) - f2 - f1
+        first, after = self.below(k), self.below(k + 1)
+        begin = f0 * first + ((f2 * (g2 < k) + f1 * (g1 < k)) << ZERO_BITS)
+        given = (f2 * (g2 == k) << ZERO_BITS, f1 * (g1 == k) << ZERO_BITS, f0 * (after - first))
+        return begin, given
+
+    def find(self, v: np.ndarray, g2: np.ndarray, g1: np.ndarray, f2: np.ndarray, f1: np.ndarray) -> np.ndarray:
+        """The number in whose interval each v of 2**BITS lies: one of the two guesses, else one of order 0, whose place
+        v has once the guesses below it are taken off."""
+        f0, off = (1 << MIX_BITS) - f2 - f1, np.zeros(len(v), "i8")
+        k = np.full(len(v), -1, "i8")
+        swap, same = g1 < g2, g1 == g2
+        for g, f in ((np.minimum(g1, g2), np.where(swap, f1, f2) + np.where(same, f1, 0)), (np.maximum(g1, g2), np.where(same, 0, np.where(swap, f2, f1)))):
+            begin, end = f0 * self.below(g) + off, f0 * self.below(g + 1) + off + (f << ZERO_BITS)
+            k = np.where((k < 0) & (v >= begin) & (v < end), g, k)
+            off += np.where(v >= end, f << ZERO_BITS, 0)
+        rest = np.flatnonzero(k < 0)
+        k[rest] = _place(self.flat, self.sums.shape[1], rest, (v[rest] - off[rest]) // f0[rest])
+        return k
+
     def number_of(self, rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Numbers of ids that the table hasn't: given since it was made, or the next one."""
         out = self.size[rows] + 1
@@ -103,8 +132,11 @@ class _Model:
             out = np.where(hit[np.arange(len(rows)), at], self.known[rows] + 1 + at, out)
         return out
 
-    def learn(self, n: int, x: np.ndarray, way: np.ndarray, g2: np.ndarray, g1: np.ndarray, spelt: np.ndarray, ids: np.ndarray) -> None:
-        self.right.ravel()[self.context * 3 + way] += 1
+    def learn(self, n: int, x: np.ndarray, given: tuple, g2: np.ndarray, g1: np.ndarray, spelt: np.ndarray, ids: np.ndarray) -> None:
+        share = 1 / (given[0] + given[1] + given[2])
+        for k, g in enumerate(given):
+            self.weights[:, k] += g * share
+        self.right[self.context] = self.weights
         for k, g in ((0, g2), (1, g1)):
             slot, hit = self.slot[k], g == x
             trust = self.trust[k][slot]
@@ -163,23 +195,16 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
         model.refresh(n, t)
         x = numbers[t, :n]
         g2, g1, f2, f1 = model.predict(n)
-        way = np.where(g2 == x, 0, np.where(g1 == x, 1, 2))
-        start = np.where(way == 0, 0, np.where(way == 1, f2, f2 + f1))
-        size = np.where(way == 0, f2, np.where(way == 1, f1, (1 << MIX_BITS) - f2 - f1))
-        put(model.rows[:n], start, size, MIX_BITS)
-        rest = np.flatnonzero(way == 2)
-        spelt = rest
-        if len(rest):
-            k = np.where(x[rest] <= model.known[rest], x[rest], 0)
-            first = model.sums[rest, k]
-            put(rest, first, model.sums[rest, k + 1] - first, ZERO_BITS)
-            spelt = rest[k == 0]
+        k = np.where((x <= model.known[:n]) | (x == g2) | (x == g1), x, 0)
+        begin, given = model.mixed(k, g2, g1, f2, f1)
+        put(model.rows[:n], begin, given[0] + given[1] + given[2], BITS)
+        spelt = np.flatnonzero(k == 0)
         y = ids[t, spelt]
         if len(spelt):
             first = model.high_sums[spelt, y >> 8].astype("i8")
             f = model.high_sums[spelt, (y >> 8) + 1] - first
             put(spelt, (first << 8) + (y & 255) * f, f, HIGH_BITS + 8)
-        model.learn(n, x, way, g2, g1, spelt, y)
+        model.learn(n, x, given, g2, g1, spelt, y)
     rows = np.arange(b)
     for _ in range(2):
         digits[rows, at] = low >> U32
@@ -244,22 +269,11 @@ def decode_blocks(blocks: list[bytes], vocabulary: int) -> list[np.ndarray]:
         n = int(np.searchsorted(-lens, -t, "left"))
         model.refresh(n, t)
         g2, g1, f2, f1 = model.predict(n)
-        r = wide[:n] >> U(MIX_BITS)
-        v = np.minimum(code[:n] // r, U((1 << MIX_BITS) - 1)).astype("i8")
-        way = (v >= f2).astype("i8") + (v >= f2 + f1)
-        start = np.where(way == 0, 0, np.where(way == 1, f2, f2 + f1))
-        size = np.where(way == 0, f2, np.where(way == 1, f1, (1 << MIX_BITS) - f2 - f1))
-        take(model.rows[:n], start, size, r, code[:n])
-        x = np.where(way == 0, g2, g1)
-        rest = np.flatnonzero(way == 2)
-        spelt, y = rest, np.zeros(0, "i8")
-        if len(rest):
-            r, have = wide[rest] >> U(ZERO_BITS), code[rest]
-            k = _place(model.flat, model.sums.shape[1], rest, np.minimum(have // r, U((1 << ZERO_BITS) - 1)).astype("i8"))
-            first = model.sums[rest, k]
-            take(rest, first, model.sums[rest, k + 1] - first, r, have)
-            x[rest] = k
-            spelt = rest[k == 0]
+        r = wide[:n] >> U(BITS)
+        x = model.find(np.minimum(code[:n] // r, U((1 << BITS) - 1)).astype("i8"), g2, g1, f2, f1)
+        begin, given = model.mixed(x, g2, g1, f2, f1)
+        take(model.rows[:n], begin, given[0] + given[1] + given[2], r, code[:n])
+        spelt, y = np.flatnonzero(x == 0), np.zeros(0, "i8")
         if len(spelt):
             r, have = wide[spelt] >> U(HIGH_BITS + 8), code[spelt]
             v = np.minimum(have // r, U((1 << (HIGH_BITS + 8)) - 1)).astype("i8")
@@ -272,7 +286,7 @@ def decode_blocks(blocks: list[bytes], vocabulary: int) -> list[np.ndarray]:
             x[spelt] = model.number_of(spelt, y)
         # a damaged block may name numbers that were never given
         x = np.minimum(x, model.names.shape[1] - 1)
-        model.learn(n, x, way, g2, g1, spelt, y)
+        model.learn(n, x, given, g2, g1, spelt, y)
         ids[t, :n] = model.names[model.rows[:n], x]
     out: list[np.ndarray] = [np.zeros(0, "<u4")] * b
     for j, i in enumerate(order):
