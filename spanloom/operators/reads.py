@@ -155,16 +155,21 @@ def time_window_match(talks: DataFrame, vods: DataFrame, bucket_s: int = 3600) -
     that covers most is primary. Talks without one have confidence 0.
 
     A recording is dealt to the hours it runs in, a talk to its starting hour, so
-    the join is on (room, hour) and no room meets all its recordings.
+    the join is on (room, hour) and no room meets all its recordings. Talks of one
+    room and time are settled once, and of recordings of one room and time the
+    largest counts, so an hour holds at most its distinct times.
     """
-    v = vods.select("vod_uri", "room", (F.col("created_at") - F.make_dt_interval(secs=F.col("duration_s"))).alias("v_start"), F.col("created_at").alias("v_end"))
+    v = vods.groupBy("room", "created_at", "duration_s").agg(F.max("vod_uri").alias("vod_uri"))
+    v = v.select("vod_uri", "room", (F.col("created_at") - F.make_dt_interval(secs=F.col("duration_s"))).alias("v_start"), F.col("created_at").alias("v_end"))
     hour = F.sequence(F.floor(F.unix_timestamp("v_start") / bucket_s), F.floor(F.unix_timestamp("v_end") / bucket_s))
     v = v.withColumn("_hour", F.explode(hour))
-    starts = talks.withColumn("_hour", F.floor(F.unix_timestamp("starts_at") / bucket_s))
-    hits = starts.join(v, ["room", "_hour"]).where((F.col("v_start") <= F.col("starts_at")) & (F.col("starts_at") < F.col("v_end")))
+    times = talks.select("room", "starts_at", "ends_at").distinct().withColumn("_hour", F.floor(F.unix_timestamp("starts_at") / bucket_s))
+    hits = times.join(v, ["room", "_hour"]).where((F.col("v_start") <= F.col("starts_at")) & (F.col("starts_at") < F.col("v_end")))
     offset = F.unix_timestamp("starts_at") - F.unix_timestamp("v_start")
     covered = F.unix_timestamp(F.least("v_end", "ends_at")) - F.unix_timestamp("starts_at")
-    best = hits.withColumns({"offset_s": offset, "covered_s": covered}).groupBy("uri").agg(F.max_by(F.struct("vod_uri", "offset_s", "covered_s"), F.struct("covered_s", "vod_uri", "offset_s")).alias("b"))
+    found = hits.withColumns({"offset_s": offset, "covered_s": covered}).groupBy("room", "starts_at", F.col("ends_at").alias("_e")).agg(F.max(F.struct("covered_s", "vod_uri", "offset_s")).alias("b"))
+    named = talks.join(found, ["room", "starts_at"]).where(F.col("ends_at").eqNullSafe(F.col("_e")))
+    best = named.groupBy("uri").agg(F.max("b").alias("b"))
     return talks.select("uri").join(best, "uri", "left").select("uri", "b.vod_uri", "b.offset_s", "b.covered_s", F.when(F.col("b").isNull(), 0.0).otherwise(0.7).alias("confidence"))
 
 
