@@ -146,18 +146,31 @@ def assign_talk_sources(talks: DataFrame, found: DataFrame) -> DataFrame:
 
 def realign_vod(talks: DataFrame, vods: DataFrame, allowed: DataFrame, low: float = 0.5, high: float = 2.0, bucket_s: int = 3600) -> DataFrame:
     """(talk, vod_uri): talks with a duration ratio outside low..high get the longest recording covering their start in
-    an allowed room (talk_room, room), else in any room."""
-    odd = talks.where(~F.col("ratio").between(low, high)).withColumn("_hour", F.floor(F.unix_timestamp("starts_at") / bucket_s))
-    start = F.col("created_at") - F.make_dt_interval(secs=F.col("duration_s"))
-    v = vods.select("vod_uri", F.col("room").alias("v_room"), start.alias("v_start"), F.col("created_at").alias("v_end"), "duration_s")
-    v = v.withColumn("_hour", F.explode(F.sequence(F.floor(F.unix_timestamp("v_start") / bucket_s), F.floor(F.unix_timestamp("v_end") / bucket_s))))
+    an allowed room (talk_room, room), else in any room.
+
+    Talks of one room and start are settled once, of recordings of one room, end and length the largest counts, so an
+    hour holds at most its distinct times, however many talks and recordings there are.
+    """
+    odd = talks.where(~F.col("ratio").between(low, high))
+    points = odd.select("room", "starts_at").distinct().withColumn("_hour", F.floor(F.unix_timestamp("starts_at") / bucket_s))
+
+    def hours(v: DataFrame) -> DataFrame:
+        v = v.withColumns({"v_start": F.col("v_end") - F.make_dt_interval(secs=F.col("duration_s"))})
+        return v.withColumn("_hour", F.explode(F.sequence(F.floor(F.unix_timestamp("v_start") / bucket_s), F.floor(F.unix_timestamp("v_end") / bucket_s))))
+
+    v = vods.groupBy(F.col("room").alias("v_room"), F.col("created_at").alias("v_end"), "duration_s").agg(F.max("vod_uri").alias("vod_uri"))
     covers = "v_start <= starts_at and starts_at < v_end"
-    longest = F.max_by("vod_uri", F.struct("duration_s", "vod_uri")).alias("vod_uri")
+    longest = F.max(F.struct("duration_s", "vod_uri")).alias("_v")
     rooms = allowed.select(F.col("talk_room").alias("room"), F.col("room").alias("v_room")).distinct()
-    first = odd.join(rooms, "room").join(v, ["v_room", "_hour"]).where(covers).groupBy("talk").agg(longest)
-    # only talks without a recording in an allowed room meet those of all rooms
-    rest = odd.join(first, "talk", "left_anti").join(v, "_hour").where(covers).groupBy("talk").agg(longest)
-    return odd.select("talk").join(first.union(rest), "talk", "left")
+    first = points.join(rooms, "room").join(hours(v), ["v_room", "_hour"]).where(covers).groupBy("room", "starts_at").agg(longest)
+    # recordings of all rooms are met by times, not by talks
+    any_room = hours(v.groupBy("v_end", "duration_s").agg(F.max("vod_uri").alias("vod_uri")))
+    rest = points.select("starts_at", "_hour").distinct().join(any_room, "_hour").where(covers).groupBy("starts_at").agg(longest)
+    own = F.struct(F.lit(1).alias("own"), "_v.duration_s", "_v.vod_uri")
+    got = odd.select("talk", "room", "starts_at").join(first.select("room", "starts_at", own.alias("_a")), ["room", "starts_at"], "left")
+    got = got.join(rest.select("starts_at", own.withField("own", F.lit(0)).alias("_b")), "starts_at", "left")
+    best = got.groupBy("talk").agg(F.max(F.coalesce("_a", "_b")).alias("_v"))
+    return odd.select("talk").join(best, "talk", "left").select("talk", F.col("_v.vod_uri").alias("vod_uri"))
 
 
 def reconcile_end_times(matches: DataFrame, segments: DataFrame, near_s: float = 60.0) -> DataFrame:

@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from spanloom.operators import align as L
 from spanloom.operators import reads as R
 
 N = 40_000
@@ -22,3 +23,12 @@ def test_time_window_match_of_a_crowd(spark):
     t = time.time()
     got = R.time_window_match(talks.withColumnRenamed("id", "uri"), vods).groupBy("vod_uri", "offset_s", "covered_s").count().collect()
     assert [tuple(r) for r in got] == [("v39999", 300, 600, N)] and time.time() - t < 60
+
+
+def test_realign_vod_of_a_crowd(spark):
+    talks, vods = crowd(spark)
+    odd = talks.select(F.col("id").alias("talk"), F.when(F.col("id") % 2 == 0, 1).otherwise(2).alias("room"), "starts_at", F.lit(3.0).alias("ratio"))
+    allowed = spark.createDataFrame([(1, 1), (2, 7)], "talk_room int, room int")
+    t = time.time()
+    got = L.realign_vod(odd, vods, allowed).groupBy("vod_uri").count().collect()
+    assert [tuple(r) for r in got] == [("v39998", N)] and time.time() - t < 60
