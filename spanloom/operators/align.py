@@ -92,18 +92,23 @@ def post_offsets(posts: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def assign_speakers(words: DataFrame, diarization: DataFrame, size: float = 60.0) -> DataFrame:
-    """(stream, pos, speaker): the segment holding the word's middle (the earliest), else the one with the nearest edge."""
+    """(stream, pos, speaker): the segment holding the word's middle (the earliest), else the one with the nearest edge.
+
+    The earliest segment that ends at or after a time has a larger end than all before it, so of the segments in order
+    only those that raise the largest end are looked up, as of the time. Words of one middle are settled once.
+    """
     mid = words.select("stream", "pos", ((F.col("start_s") + F.col("end_s")) / 2).alias("mid"))
     seg = diarization.select("stream", "event_id", "start_s", "end_s", "speaker")
-    inside = mid.withColumn("_bucket", F.floor(F.col("mid") / size)).join(with_buckets(seg, "start_s", "end_s", size), ["stream", "_bucket"])
-    inside = inside.where("mid >= start_s and mid <= end_s").groupBy("stream", "pos").agg(F.min_by("speaker", F.struct("start_s", "event_id")).alias("inside"))
-    left = mid.join(inside, ["stream", "pos"], "left")
-    rest = left.where("inside is null").drop("inside")
-    ended = as_of(rest, seg.select("stream", F.col("end_s").alias("_e"), F.col("speaker").alias("_es")), ["stream"], "mid", "_e")
-    both = as_of(ended, seg.select("stream", F.col("start_s").alias("_s"), F.col("speaker").alias("_ss")), ["stream"], "mid", "_s", forward=True)
+    points = mid.select("stream", "mid").distinct()
+    far = F.max("end_s").over(W.partitionBy("stream").orderBy("start_s", "event_id").rowsBetween(W.unboundedPreceding, -1))
+    rising = seg.withColumn("_far", far).where("end_s is not null and (_far is null or end_s > _far)")
+    held = as_of(points, rising.select("stream", F.col("end_s").alias("_he"), F.col("start_s").alias("_hs"), F.col("speaker").alias("_in")), ["stream"], "mid", "_he", forward=True)
+    held = held.select("stream", "mid", F.when(F.col("_hs") <= F.col("mid"), F.col("_in")).alias("inside"))
+    ended = as_of(held, seg.select("stream", F.col("end_s").alias("_e"), F.col("speaker").alias("_es")).distinct(), ["stream"], "mid", "_e")
+    both = as_of(ended, seg.select("stream", F.col("start_s").alias("_s"), F.col("speaker").alias("_ss")).distinct(), ["stream"], "mid", "_s", forward=True)
     nearer = F.col("_e").isNotNull() & (F.col("_s").isNull() | (F.col("mid") - F.col("_e") <= F.col("_s") - F.col("mid")))
-    outside = both.select("stream", "pos", F.when(nearer, F.col("_es")).otherwise(F.col("_ss")).alias("speaker"))
-    return left.where("inside is not null").select("stream", "pos", F.col("inside").alias("speaker")).union(outside)
+    found = both.select(F.col("stream").alias("_k"), F.col("mid").alias("_at"), F.coalesce("inside", F.when(nearer, F.col("_es")).otherwise(F.col("_ss"))).alias("speaker"))
+    return mid.join(found, F.col("stream").eqNullSafe(F.col("_k")) & F.col("mid").eqNullSafe(F.col("_at")), "left").select("stream", "pos", "speaker")
 
 
 def match_post_to_talk(posts: DataFrame, speakers: DataFrame) -> DataFrame:

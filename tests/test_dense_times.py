@@ -1,5 +1,6 @@
 """Talks, recordings and words that crowd at the same times: known answers and a plain search."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -32,3 +33,23 @@ def test_realign_vod_of_a_crowd(spark):
     t = time.time()
     got = L.realign_vod(odd, vods, allowed).groupBy("vod_uri").count().collect()
     assert [tuple(r) for r in got] == [("v39998", N)] and time.time() - t < 60
+
+
+def test_assign_speakers_as_a_plain_search_does(spark):
+    rng = random.Random(3)
+    seg = [(f"s{i % 2}", i, a := rng.randrange(60) / 2, a + rng.randrange(-2, 16) / 2, f"p{i}") for i in range(30)]
+    words = [(f"s{i % 3}", i, a := rng.randrange(-10, 100) / 2, a + 0.5) for i in range(120)]
+    got = {(r["stream"], r["pos"]): r["speaker"] for r in L.assign_speakers(spark.createDataFrame(words, "stream string, pos int, start_s double, end_s double"), spark.createDataFrame(seg, "stream string, event_id int, start_s double, end_s double, speaker string")).collect()}
+    assert len(got) == len(words)
+    for stream, pos, a, b in words:
+        mid, own = (a + b) / 2, [s for s in seg if s[0] == stream]
+        inside = min(((s[2], s[1], s[4]) for s in own if s[2] <= mid <= s[3]), default=None)
+        e, s = max((x[3] for x in own if x[3] <= mid), default=None), min((x[2] for x in own if x[2] >= mid), default=None)
+        left = e is not None and (s is None or mid - e <= s - mid)
+        fine = {inside[2]} if inside else {x[4] for x in own if (x[3] == e if left else x[2] == s)} or {None}
+        assert got[stream, pos] in fine
+    # a crowd: every word in every segment
+    t = time.time()
+    many = spark.range(N).select(F.lit("s").alias("stream"), F.col("id").alias("pos"), F.lit(5.0).alias("start_s"), F.lit(6.0).alias("end_s"))
+    over = spark.range(N).select(F.lit("s").alias("stream"), F.col("id").alias("event_id"), F.lit(1.0).alias("start_s"), F.lit(9.0).alias("end_s"), F.concat(F.lit("p"), "id").alias("speaker"))
+    assert [tuple(r) for r in L.assign_speakers(many, over).groupBy("speaker").count().collect()] == [("p0", N)] and time.time() - t < 60
