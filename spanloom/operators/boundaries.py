@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import phonetic_code
+from spanloom.sources.files import written
 
 # fixed values: phrases that end or open a talk, with their weights
 PHRASES_BEFORE = [(r"thank\s*you", 3), (r"round\s*of\s*applause", 4), (r"that'?s\s*(my|our)\s*time", 4), (r"any\s*questions", 2)]
@@ -112,7 +113,10 @@ def anchor_chain(talks: DataFrame, gaps: DataFrame, near_s: float = 900.0) -> Da
 def phonetic_name_join(names: DataFrame, words: DataFrame, code: Callable[[Column], Column] | None = None) -> DataFrame:
     """(name_id, word): words that sound like a part of a name. Codes are made for distinct tokens of three letters or
     more; three equi-joins: equal codes; equal first three characters; equal after different leading vowels. ``code``
-    makes a code of a token, the phonetic one by default."""
+    makes a code of a token, the phonetic one by default.
+
+    Names of the same parts are settled once; only the last join, which needs no ``distinct``, has a row for each
+    name_id and word, as the result has."""
 
     @F.pandas_udf("string")
     def coded(column):
@@ -122,15 +126,20 @@ def phonetic_name_join(names: DataFrame, words: DataFrame, code: Callable[[Colum
         one = rows.select(token).distinct().where(F.length(token) >= 3).withColumn(prefix, (code or coded)(F.col(token)))
         return one.where(F.length(prefix) > 0)
 
-    parts = names.select("name_id", F.explode(F.split(F.lower("name"), r"\s+")).alias("part"))
-    said = words.select(F.regexp_replace(F.lower("word"), "[^a-z'-]", "").alias("word")).distinct()
-    a, b = table(parts, "part", "ca").where("length(ca) >= 2"), table(said, "word", "cb")
+    split = F.split(F.lower("name"), r"\s+")
+    named = names.where("name is not null").groupBy("name_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(split)))).alias("_parts"))
+    groups = named.select("_parts").distinct()
+    parts = groups.select("_parts", F.explode("_parts").alias("part"))
+    said = words.select("word").distinct().select(F.regexp_replace(F.lower("word"), "[^a-z'-]", "").alias("word")).distinct()
+    # three joins read both, so words are read, cleaned and coded once
+    a, b = table(parts, "part", "ca").where("length(ca) >= 2"), written(table(said, "word", "cb"), "coded")
     vowel = "[AEIOU]"
     same = a.join(b, F.col("ca") == F.col("cb"))
     start = a.where("length(ca) >= 3").join(b.where("length(cb) >= 3"), F.substring("ca", 1, 3) == F.substring("cb", 1, 3))
     tail = a.where(F.col("ca").rlike(f"^{vowel}")).join(b.where(F.col("cb").rlike(f"^{vowel}") & (F.length("cb") >= 2)), F.expr("substring(ca, 2) = substring(cb, 2)"))
     pairs = same.union(start).union(tail).select("part", "word").distinct()
-    return parts.join(pairs, "part").select("name_id", "word").distinct()
+    heard = parts.join(pairs, "part").select("_parts", "word").distinct()
+    return named.join(heard, "_parts").select("name_id", "word")
 
 
 def nearest_snap(targets: DataFrame, asked: DataFrame, radius_s: float = 3.0) -> DataFrame:

@@ -141,4 +141,4 @@ SELECT DISTINCT name_id, word FROM parts JOIN pairs USING (part)"""
 
 @query(V(NAMES_HEARD, "concepts", "word_rows"))
 def phonetic_name_join(spark, d):
-    return B.phonetic_name_join(A.concepts(spark, d).select(F.col("uri").alias("name_id"), "name"), A.words(spark, d))
+    return B.phonetic_name_join(A.concepts(spark, d).select(F.col("uri").alias("name_id"), "name"), A.heard_words(spark, d))
