@@ -332,15 +332,17 @@ def replace_in_zones(words: DataFrame, zones: DataFrame, new: DataFrame, key: st
 
 def zone_speech_chunks(zones: DataFrame, diarization: DataFrame, gap_s: float = 5.0, most_s: float = 1200.0, size: float = 300.0) -> DataFrame:
     """(stream, zone, chunk, start_s, end_s): speech inside a zone (stream, zone, zone_start, zone_end), clamped to it,
-    joined at gaps under ``gap_s`` and packed in order into spans of at most ``most_s``; a longer block stays whole."""
-    inside = overlap_join(diarization.select("stream", *SPEECH, "end_s"), zones, ["stream"], "start_s", "end_s", "zone_start", "zone_end", size)
-    clamped = inside.select("stream", "zone", "event_id", F.greatest("start_s", "zone_start").alias("start_s"), F.least("end_s", "zone_end").alias("end_s"), F.col("start_s").alias("_order"))
-    ordered = W.partitionBy("stream", "zone").orderBy("_order", "event_id")
+    joined at gaps under ``gap_s`` and packed in order into spans of at most ``most_s``; a longer block stays whole.
+    Zones of one start and end meet the segments once."""
+    key = ["stream", "zone_start", "zone_end"]
+    inside = overlap_join(diarization.select("stream", *SPEECH, "end_s"), zones.select(*key).distinct(), ["stream"], "start_s", "end_s", "zone_start", "zone_end", size)
+    clamped = inside.select(*key, "event_id", F.greatest("start_s", "zone_start").alias("start_s"), F.least("end_s", "zone_end").alias("end_s"), F.col("start_s").alias("_order"))
+    ordered = W.partitionBy(*key).orderBy("_order", "event_id")
     fresh = F.when(F.col("start_s") - F.lag("end_s").over(ordered) < gap_s, 0).otherwise(1)
     rows = clamped.withColumn("_f", fresh).withColumn("block", F.sum("_f").over(ordered.rowsBetween(*BEFORE)))
     place = F.struct("_order", "event_id")
-    blocks = rows.groupBy("stream", "zone", "block").agg(F.min_by("start_s", place).alias("s"), F.max_by("end_s", place).alias("e"))
-    listed = blocks.groupBy("stream", "zone").agg(F.sort_array(F.collect_list(F.struct("block", "s", "e"))).alias("bs"))
+    blocks = rows.groupBy(*key, "block").agg(F.min_by("start_s", place).alias("s"), F.max_by("end_s", place).alias("e"))
+    listed = blocks.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("block", "s", "e"))).alias("bs"))
     empty = F.expr("cast(array() as array<struct<start_s: double, end_s: double>>)")
 
     def pack(out, b):
@@ -350,4 +352,5 @@ def zone_speech_chunks(zones: DataFrame, diarization: DataFrame, gap_s: float =
         fits = (F.size(out) > 0) & (b["e"] - top["start_s"] <= most_s)
         return F.when(fits, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), longer)).otherwise(F.concat(out, one))
 
-    return listed.select("stream", "zone", F.posexplode(F.aggregate("bs", empty, pack)).alias("chunk", "c")).select("stream", "zone", "chunk", "c.start_s", "c.end_s")
+    chunks = listed.select(*key, F.aggregate("bs", empty, pack).alias("cs"))
+    return zones.select("zone", *key).distinct().join(chunks, key).select("stream", "zone", F.posexplode("cs").alias("chunk", "c")).select("stream", "zone", "chunk", "c.start_s", "c.end_s")

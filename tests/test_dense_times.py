@@ -53,3 +53,13 @@ def test_assign_speakers_as_a_plain_search_does(spark):
     many = spark.range(N).select(F.lit("s").alias("stream"), F.col("id").alias("pos"), F.lit(5.0).alias("start_s"), F.lit(6.0).alias("end_s"))
     over = spark.range(N).select(F.lit("s").alias("stream"), F.col("id").alias("event_id"), F.lit(1.0).alias("start_s"), F.lit(9.0).alias("end_s"), F.concat(F.lit("p"), "id").alias("speaker"))
     assert [tuple(r) for r in L.assign_speakers(many, over).groupBy("speaker").count().collect()] == [("p0", N)] and time.time() - t < 60
+
+
+def test_zones_of_one_time_meet_segments_once(spark):
+    from spanloom.operators import sequence as S
+
+    t = time.time()
+    zones = spark.range(N).select(F.lit("s").alias("stream"), F.col("id").alias("zone"), F.lit(10.0).alias("zone_start"), F.lit(110.0).alias("zone_end"))
+    segments = spark.range(N).select(F.lit("s").alias("stream"), F.col("id").alias("event_id"), (F.col("id") % 2 * 50 + 5.0).alias("start_s"), (F.col("id") % 2 * 50 + 15.0).alias("end_s"))
+    got = S.zone_speech_chunks(zones, segments).groupBy("chunk", "start_s", "end_s").count().collect()
+    assert [tuple(r) for r in got] == [(0, 10.0, 65.0, N)] and time.time() - t < 60
