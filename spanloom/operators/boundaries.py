@@ -61,10 +61,11 @@ def confidence_penalty(gaps: DataFrame, asr: DataFrame, around_s: float = 30.0)
 
 
 def score_gaps(words: DataFrame, asr: DataFrame, least_s: float = 3.0) -> DataFrame:
-    """(stream, at_s, gap_s, score, before, after) of gaps in words (stream, pos, word, start_s, end_s, speaker)."""
+    """(stream, at_s, gap_s, score, before, after) of gaps in words (stream, pos, word, start_s, end_s, speaker), or in
+    lists of them (stream, ws)."""
     from .sequence import with_context
 
-    rows = with_context(words.select("stream", "pos", "word", "start_s", "end_s", "speaker"), "start_s", "end_s", least_s, 20, 30, "stream", ["start_s"])
+    rows = with_context(words if "ws" in words.columns else words.select("stream", "pos", "word", "start_s", "end_s", "speaker"), "start_s", "end_s", least_s, 20, 30, "stream", ["start_s"])
     rows = rows.select("stream", F.col("start_s").alias("at_s"), F.col("gap").alias("gap_s"), F.array_join("past.word", " ").alias("before"), F.array_join("ahead.word", " ").alias("after"), F.array_compact("past.speaker").alias("sb"), F.array_compact("ahead.speaker").alias("sa"))
     scored = rows.withColumn("score", transition_score(F.col("gap_s"), F.col("before"), F.col("after")) + speaker_change_score(F.col("sb"), F.col("sa")))
     return scored.join(confidence_penalty(rows, asr), ["stream", "at_s"], "left").select("stream", "at_s", "gap_s", (F.col("score") + F.coalesce("penalty", F.lit(0))).alias("score"), "before", "after")

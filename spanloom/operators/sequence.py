@@ -22,23 +22,32 @@ def silence_gaps(words: DataFrame, least_ms: int = 3000, key: str = "doc_id") ->
     return rows.withColumn("gap_ms", F.col("gap_end_ms") - F.col("gap_start_ms")).where(F.col("gap_ms") >= least_ms)
 
 
+def listed(words: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, ws): a key's words in order as one list of structs of ``pos`` and ``columns``. Words that come as such lists
+    (``timing.word_lists``) stay as they are, without a shuffle."""
+    if "ws" in words.columns:
+        return words
+    return words.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", *columns))).alias("ws"))
+
+
 def with_context(words: DataFrame, start: str, end: str, least: float, before: int, after: int, key: str, columns: list[str]) -> DataFrame:
     """(key, ``columns``, gap, past, ahead) at gaps of ``least`` or more: the words before and after as arrays of structs.
 
-    A key's words are listed once, in order, and the list is cut at its gaps alone.
+    A key's words are listed once, in order, and the list is cut at its gaps alone; the list itself isn't repeated.
     """
-    each = F.struct("pos", *[c for c in words.columns if c not in (key, "pos")])
-    lists = words.groupBy(key).agg(F.sort_array(F.collect_list(each)).alias("ws"))
+    lists = listed(words, key, [c for c in words.columns if c not in (key, "pos")])
     at = F.filter(F.sequence(F.lit(1), F.size("ws") - 1), lambda i: F.get("ws", i)[start] - F.get("ws", i - 1)[end] >= least)
-    gaps = lists.where("size(ws) > 1").select(key, "ws", F.explode(at).alias("i"))
-    own, last = F.get("ws", F.col("i")), F.get("ws", F.col("i") - 1)
-    first = F.greatest(F.col("i") - before, F.lit(0))
-    return gaps.select(key, *[own[c].alias(c) for c in columns], (own[start] - last[end]).alias("gap"), F.slice("ws", first + 1, F.col("i") - first).alias("past"), F.slice("ws", F.col("i") + 1, F.lit(after)).alias("ahead"))
+
+    def cut(i: Column) -> Column:
+        own, last, first = F.get("ws", i), F.get("ws", i - 1), F.greatest(i - before, F.lit(0))
+        return F.struct(*[own[c].alias(c) for c in columns], (own[start] - last[end]).alias("gap"), F.slice("ws", first + 1, i - first).alias("past"), F.slice("ws", i + 1, F.lit(after)).alias("ahead"))
+
+    return lists.where("size(ws) > 1").select(key, F.explode(F.transform(at, cut)).alias("g")).select(key, "g.*")
 
 
 def gap_context(words: DataFrame, least_ms: int = 3000, before: int = 20, after: int = 30, key: str = "doc_id") -> DataFrame:
     """Gaps with the words before and after them as text."""
-    rows = with_context(words.select(key, "pos", "word", "start_ms", "end_ms"), "start_ms", "end_ms", least_ms, before, after, key, ["pos"])
+    rows = with_context(words if "ws" in words.columns else words.select(key, "pos", "word", "start_ms", "end_ms"), "start_ms", "end_ms", least_ms, before, after, key, ["pos"])
     return rows.select(key, "pos", F.col("gap").alias("gap_ms"), F.array_join("past.word", " ").alias("before"), F.array_join("ahead.word", " ").alias("after"))
 
 

@@ -17,15 +17,21 @@ from .timed import RUNS
 
 
 def words(spark, d):
-    """(stream, pos, word, start_s, end_s, speaker): three speakers take turns of some sixty words; some words have none."""
-    turn = (F.floor(F.col("pos") / (40 + F.col("doc_id") % 5 * 10)) + F.col("doc_id")) % 3 + 1
-    speaker = F.when(F.col("pos") % 10 != 7, F.element_at(F.array(*map(F.lit, ("ann", "bo", "cy"))), F.when(F.col("pos") % 17 == 0, 1).otherwise(turn).cast("int")))
-    return A.words(spark, d).select(F.col("doc_id").alias("stream"), "pos", "word", (F.col("start_ms") / 64).alias("start_s"), (F.col("end_ms") / 64).alias("end_s"), speaker.alias("speaker"))
+    """(stream, ws) of (pos, word, start_s, end_s, speaker): three speakers take turns of some sixty words; some words have none."""
+
+    def each(w):
+        pos = w["pos"]
+        turn = (F.floor(pos / (40 + F.col("doc_id") % 5 * 10)) + F.col("doc_id")) % 3 + 1
+        speaker = F.when(pos % 10 != 7, F.element_at(F.array(*map(F.lit, ("ann", "bo", "cy"))), F.when(pos % 17 == 0, 1).otherwise(turn).cast("int")))
+        return F.struct(pos.alias("pos"), w["word"].alias("word"), (w["start_ms"] / 64).alias("start_s"), (w["end_ms"] / 64).alias("end_s"), speaker.alias("speaker"))
+
+    return A.listed_words(spark, d).select(F.col("doc_id").alias("stream"), F.transform("ws", each).alias("ws"))
 
 
 def asr(rows):
     """Each eleventh word as a recognized segment of more or less confidence."""
-    return rows.where("pos % 11 = 0").select("stream", "start_s", "end_s", (-(F.col("pos") % 5) / 2).alias("avg_logprob"), ((F.col("pos") + 3) % 10 / 10).alias("no_speech_prob"))
+    each = rows.select("stream", F.explode(F.filter("ws", lambda w: w["pos"] % 11 == 0)).alias("w")).select("stream", "w.*")
+    return each.select("stream", "start_s", "end_s", (-(F.col("pos") % 5) / 2).alias("avg_logprob"), ((F.col("pos") + 3) % 10 / 10).alias("no_speech_prob"))
 
 
 def _most(speakers: str) -> str:
