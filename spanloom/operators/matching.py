@@ -63,6 +63,8 @@ def segment_signals(words: DataFrame, segments: DataFrame, talks: DataFrame, cod
     intro = segments.select(*keys, F.lit("intro").alias("window"), F.col("start_s").alias("_from"), F.least(F.col("start_s") + intro_s, "end_s").alias("_to"))
     before = segments.select(*keys, F.lit("before").alias("window"), F.greatest(F.col("start_s") - before_s, F.lit(0.0)).alias("_from"), F.col("start_s").alias("_to"))
     heard = containment_join(words.select("stream", "pos", "word", "start_s", "end_s"), intro.union(before), ["stream"], "start_s", "end_s", "_from", "_to", intro_s)
+    # all below read the words of the windows, a small part of the stream's, several times: the words themselves are read once
+    heard = written(heard.select(*keys, "window", "pos", "word"), "heard")
     texts = heard.groupBy(*keys, "window").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda w: w["word"]), " ").alias("text"))
     named = lambda source, names: F.transform(names, lambda n: F.struct(F.lit(source).alias("source"), n.alias("name")))
     found = [F.when(F.col("window") == window, named(source, F.regexp_extract_all("text", F.lit(p), 1))) for source, window, p in SAID]
@@ -73,7 +75,7 @@ def segment_signals(words: DataFrame, segments: DataFrame, talks: DataFrame, cod
     said = said.where((F.col("source") != "self-intro") | ~F.col("name").isin(*NO_NAMES))
 
     token = F.regexp_replace(F.lower("word"), "[^a-z'-]", "")
-    near = heard.select(*keys, token.alias("token")).distinct()
+    near = written(heard.select(*keys, token.alias("token")).distinct(), "near")
     known = _coded(speaker_parts(talks), "part", code).withColumnRenamed("code", "_ca")
     spoken = _coded(near, "token", code)
     start = known.withColumn("_k", F.substring("_ca", 1, 3)).join(spoken.withColumn("_k", F.substring("code", 1, 3)), ["stream", "_k"])
