@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.sources.files import written
+
 from .boundaries import phonetic_name_join
+from .sequence import listed
 
 # fixed values: title words that say nothing
 COMMON_TITLE_WORDS = ("about", "their", "these", "those", "where", "which", "would", "could", "should")
@@ -30,11 +33,23 @@ def clean(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), "[^a-z'-]", "")
 
 
-def heard_names(talks: DataFrame, words: DataFrame, code: Callable | None = None) -> DataFrame:
-    """(stream, talk, heard): the distinct words (word) that sound like a part of a speaker's name, of talks with any."""
-    parts = talks.select("stream", "talk", F.explode("speakers").alias("s")).select("stream", "talk", F.explode(F.split(F.lower(F.trim("s")), r"\s+")).alias("part")).where(F.length("part") >= 3).distinct()
-    pairs = phonetic_name_join(parts.select(F.col("part").alias("name_id"), F.col("part").alias("name")).distinct(), words, code)
-    return parts.join(pairs.withColumnRenamed("name_id", "part"), "part").groupBy("stream", "talk").agg(F.collect_set("word").alias("heard"))
+def name_parts(talks: DataFrame) -> DataFrame:
+    """(stream, talk, part): the distinct parts of the speakers' names of three letters or more, in lower case."""
+    return talks.select("stream", "talk", F.explode("speakers").alias("s")).select("stream", "talk", F.explode(F.split(F.lower(F.trim("s")), r"\s+")).alias("part")).where(F.length("part") >= 3).distinct()
+
+
+def with_heard_parts(rows: DataFrame, parts: DataFrame, keys: list[str], said: str, code: Callable | None = None) -> DataFrame:
+    """``rows`` with ``heard``, the parts of names (part) that a word of ``said`` (cleaned, distinct) sounds like, in place
+    of ``said``. ``keys`` find rows; rows of equal keys keep their own words.
+
+    A row has the few parts heard in it; a talk never has the words of the corpus that sound like its speakers.
+    """
+    names = parts.select(F.col("part").alias("name_id"), F.col("part").alias("name")).distinct()
+    each = rows.select(*keys, F.explode(said).alias("word"))
+    pairs = written(phonetic_name_join(names, each.select("word").distinct(), code), "sounds")
+    found = each.join(pairs, "word").groupBy(*keys).agg(F.collect_set(F.struct("word", F.col("name_id").alias("part"))).alias("_pairs"))
+    own = F.filter("_pairs", lambda p: F.array_contains(said, p["word"]))
+    return rows.join(found, keys, "left").withColumn("heard", F.array_distinct(own["part"])).drop("_pairs", said)
 
 
 def planned_starts(talks: DataFrame) -> DataFrame:
@@ -55,11 +70,14 @@ def score_gap_talk_pairs(gaps: DataFrame, talks: DataFrame, within_s: float = 72
     """
     around = F.concat("before", "after")
     g = gaps.select("stream", "at_s", F.lower(F.array_join(around, " ")).alias("_text"), F.array_distinct(F.transform(around, clean)).alias("_said"), F.floor(F.col("at_s") / within_s).alias("_bucket"))
-    words = gaps.select(F.explode(around).alias("word")).distinct()
+    parts = name_parts(talks)
+    # names and titles read the gaps' words several times
+    g = with_heard_parts(written(g, "gap-words"), parts, ["stream", "at_s"], "_said", code)
     title = F.filter(F.split(F.lower("title"), r"\s+"), lambda w: (F.length(w) > 4) & ~w.isin(*COMMON_TITLE_WORDS))
-    t = talks.join(heard_names(talks, words, code), ["stream", "talk"], "left").select("stream", "talk", "due_s", "heard", title.alias("_title"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("due_s") / within_s) + k)).alias("_bucket"))
+    own = parts.groupBy("stream", "talk").agg(F.collect_set("part").alias("_parts"))
+    t = talks.join(own, ["stream", "talk"], "left").select("stream", "talk", "due_s", "_parts", title.alias("_title"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("due_s") / within_s) + k)).alias("_bucket"))
     pairs = t.join(g, ["stream", "_bucket"]).where(F.abs(F.col("at_s") - F.col("due_s")) <= within_s)
-    named = F.when(F.coalesce(F.arrays_overlap("heard", "_said"), F.lit(False)), 10).otherwise(0)
+    named = F.when(F.coalesce(F.arrays_overlap("_parts", "heard"), F.lit(False)), 10).otherwise(0)
     pairs = pairs.withColumn("_n", F.size(F.filter(F.coalesce("_title", F.expr("cast(array() as array<string>)")), lambda w: F.contains(F.col("_text"), w))))
     scored = pairs.select("stream", "talk", "at_s", (named + F.when(F.col("_n") >= 2, 3 * F.col("_n")).otherwise(0)).cast("long").alias("bonus"))
     return scored.where("bonus > 0")
@@ -128,7 +146,7 @@ def assign_transitions(talks: DataFrame, gaps: DataFrame, bonus: DataFrame | Non
 def refine_start(words: DataFrame, starts: DataFrame, within_s: float = 900.0, least: int = 8, pause_s: float = 5.0, code: Callable | None = None) -> DataFrame:
     """(stream, talk, start_s, score, signal): the best place in the ``within_s`` after a talk's gap at which it seems to start.
 
-    ``words``: (stream, pos, word, start_s, end_s); ``starts``: (stream, talk,
+    ``words``: (stream, pos, word, start_s, end_s), or lists of them (stream, ws); ``starts``: (stream, talk,
     at_s, speakers). A word after a pause of ``pause_s`` scores the start phrases
     of its 15 words and 12 if a speaker is heard in its 20; every fifth word
     scores the best phrase of its 10 words plus 8 if a speaker is heard there.
@@ -136,21 +154,26 @@ def refine_start(words: DataFrame, starts: DataFrame, within_s: float = 900.0, l
     a score. Phrases are looked for once a word, not once a talk; marks and talks
     meet in buckets of time.
     """
-    ordered = W.partitionBy("stream").orderBy("pos")
-    ahead = F.collect_list("word").over(ordered.rowsBetween(0, 19))
-    rows = words.select("stream", "start_s", (F.row_number().over(ordered) - 1).alias("i"), (F.col("start_s") - F.lag("end_s").over(ordered)).alias("_gap"), ahead.alias("_ws"))
-    rows = rows.where((F.col("_gap") >= pause_s) | (F.col("i") % 5 == 0))
+    lists = listed(words, "stream", ["word", "start_s", "end_s"])
+    gap = lambda i: F.get("ws", i)["start_s"] - F.get("ws", i - 1)["end_s"]
+    places = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: (gap(i) >= pause_s) | (i % 5 == 0))
+    each = F.transform(places, lambda i: F.struct(F.get("ws", i)["start_s"].alias("start_s"), i.alias("i"), gap(i).alias("_gap"), F.slice("ws", i + 1, F.lit(20))["word"].alias("_ws")))
+    rows = lists.where("size(ws) > 0").select("stream", F.explode(each).alias("p")).select("stream", "p.*")
     text = lambda n: F.array_join(F.slice("_ws", 1, n), " ")
     found = lambda n: F.filter(F.array(*[F.when(text(n).rlike(f"(?i){p}"), F.struct(F.lit(w).alias("w"), F.lit(-k).alias("k"), F.lit(label).alias("label"))) for k, (label, p, w) in enumerate(STARTS)]), lambda x: x.isNotNull())
     said = lambda n: F.array_distinct(F.transform(F.slice("_ws", 1, n), clean))
     labels = lambda f: F.array_join(F.transform(f, lambda x: x["label"]), "+")
-    pauses = rows.where(F.col("_gap") >= pause_s).withColumn("_f", found(15)).select("stream", "start_s", "i", F.lit(0).alias("kind"), F.aggregate("_f", F.lit(0), lambda a, x: a + x["w"]).alias("w"), labels(F.col("_f")).alias("label"), said(20).alias("_said"))
-    fifth = rows.where(F.col("i") % 5 == 0).withColumn("_f", F.array_max(found(10))).where("_f is not null").select("stream", "start_s", "i", F.lit(1).alias("kind"), F.col("_f.w").alias("w"), F.col("_f.label").alias("label"), said(10).alias("_said"))
-    marks = pauses.union(fifth).withColumn("_bucket", F.floor(F.col("start_s") / within_s))
-    heard = heard_names(starts, words.select("word").distinct(), code)
-    asked = starts.join(heard, ["stream", "talk"], "left").select("stream", "talk", "at_s", "heard", F.explode(F.transform(F.array(F.lit(0), F.lit(1)), lambda k: F.floor(F.col("at_s") / within_s) + k)).alias("_bucket"))
+    pause = F.struct(F.lit(0).alias("kind"), F.aggregate("_f15", F.lit(0), lambda a, x: a + x["w"]).alias("w"), labels(F.col("_f15")).alias("label"), said(20).alias("_said"))
+    fifth = F.struct(F.lit(1).alias("kind"), F.col("_f10.w").alias("w"), F.col("_f10.label").alias("label"), said(10).alias("_said"))
+    both = F.array_compact(F.array(F.when(F.col("_gap") >= pause_s, pause), F.when(F.col("_f10").isNotNull(), fifth)))
+    rows = rows.withColumns({"_f15": F.when(F.col("_gap") >= pause_s, found(15)), "_f10": F.when(F.col("i") % 5 == 0, F.array_max(found(10)))})
+    marks = rows.select("stream", "start_s", "i", F.floor(F.col("start_s") / within_s).alias("_bucket"), F.explode(both).alias("m")).select("stream", "start_s", "i", "_bucket", "m.*")
+    parts = name_parts(starts)
+    marks = with_heard_parts(written(marks, "marks"), parts, ["stream", "i", "kind"], "_said", code)
+    own = parts.groupBy("stream", "talk").agg(F.collect_set("part").alias("_parts"))
+    asked = starts.join(own, ["stream", "talk"], "left").select("stream", "talk", "at_s", "_parts", F.explode(F.transform(F.array(F.lit(0), F.lit(1)), lambda k: F.floor(F.col("at_s") / within_s) + k)).alias("_bucket"))
     near = asked.join(marks, ["stream", "_bucket"]).where(F.col("start_s").between(F.col("at_s"), F.col("at_s") + within_s))
-    named = F.coalesce(F.arrays_overlap("heard", "_said"), F.lit(False))
+    named = F.coalesce(F.arrays_overlap("_parts", "heard"), F.lit(False))
     near = near.withColumn("_named", named).where(F.col("_named") | (F.col("kind") == 0))
     score = F.col("w") + F.when(F.col("kind") == 1, 8).otherwise(F.when(F.col("_named"), 12).otherwise(0))
     signal = F.when(F.col("kind") == 1, F.concat("label", F.lit("+speaker"))).otherwise(F.concat_ws("+", F.when(F.col("_named"), "speaker-after-gap"), F.nullif("label", F.lit(""))))

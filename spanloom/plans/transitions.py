@@ -23,11 +23,16 @@ PLACES, WITHIN = 8, 3000.0
 
 
 def words(spark, d):
-    doc, pos = F.col("doc_id"), F.col("pos")
-    name = F.element_at(F.array(*map(F.lit, NAMES)), ((doc + F.floor(pos / 50)) % len(NAMES) + 1).cast("int"))
-    at = (pos % 50 - AT + 1).cast("int")
-    said = F.when((doc % 3 == 0) & at.between(1, len(SCRIPT)), F.try_element_at(F.array(*[name if s == 0 else F.lit(s) for s in SCRIPT]), F.when(at > 0, at).otherwise(1))).otherwise(F.col("word"))
-    return A.words(spark, d).select(doc.alias("stream"), "pos", said.alias("word"), (F.col("start_ms") / 50).alias("start_s"), (F.col("end_ms") / 50).alias("end_s"))
+    """(stream, ws): the words of each document in order."""
+
+    def said(w):
+        doc, pos = F.col("doc_id"), w["pos"]
+        name = F.element_at(F.array(*map(F.lit, NAMES)), ((doc + F.floor(pos / 50)) % len(NAMES) + 1).cast("int"))
+        at = (pos % 50 - AT + 1).cast("int")
+        return F.when((doc % 3 == 0) & at.between(1, len(SCRIPT)), F.try_element_at(F.array(*[name if s == 0 else F.lit(s) for s in SCRIPT]), F.when(at > 0, at).otherwise(1))).otherwise(w["word"])
+
+    each = lambda w: F.struct(w["pos"].alias("pos"), said(w).alias("word"), (w["start_ms"] / 50).alias("start_s"), (w["end_ms"] / 50).alias("end_s"))
+    return A.listed_words(spark, d).select(F.col("doc_id").alias("stream"), F.transform("ws", each).alias("ws"))
 
 
 def talks(spark, d):
