@@ -63,3 +63,25 @@ def test_signals_read_the_words_once(spark):
     got = {(r["source"], r["name"]) for r in M.segment_signals(words, segments, talks).collect()}
     assert ("self-intro", "Alun") in got and ("name-scan", "Alan") in got
     assert read.value == 8
+
+
+def test_layers_are_cut_and_stamped_in_place(spark):
+    from spanloom.operators import spans as P
+
+    lists, rows = word_lists(transcripts(spark)), words_table(transcripts(spark))
+    noted = spark.createDataFrame([(1, "entity", 0, 1, "x"), (9, "entity", 0, 1, "y")], "doc_id long, kind string, byte_start long, byte_end long, value string")
+    layers = P.token_layers(lists, 3)
+    assert sorted(map(str, layers.collect())) == sorted(map(str, P.token_layers(rows, 3).collect()))
+    spans = P.layers_to_spans(layers, noted)
+    assert "Exchange" not in plan(spans.where("kind = 'timestamp'")) and "Join" not in plan(spans)
+    texts = transcripts(spark).select("doc_id", "text")
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(P.assemble_layers(texts, layers, noted)) == key(P.assemble_documents(texts, spans))
+
+
+def test_tokens_meet_times_by_number(spark):
+    from spanloom.operators import spans as P
+
+    layers = spark.sql("SELECT 1L AS doc_id, 0 AS chunk, array(named_struct('pos', 0, 'byte_start', 0L, 'byte_end', 1L), named_struct('pos', 2, 'byte_start', 4L, 'byte_end', 5L)) AS tokens, array(named_struct('pos', 1, 'start_ms', 7L, 'end_ms', 8L), named_struct('pos', 2, 'start_ms', 9L, 'end_ms', 10L)) AS times")
+    none = spark.createDataFrame([], "doc_id long, kind string, byte_start long, byte_end long, value string")
+    assert [tuple(r) for r in P.layers_to_spans(layers, none).collect()] == [(1, "timestamp", 4, 5, "9000000-10000000")]
