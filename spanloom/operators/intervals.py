@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.sources.files import written
+
 
 def islands(df: DataFrame, keys: list[str], start: str, end: str, joins: Column | None = None, within: float = 0.0, order: list[str] = (), strict: bool = False) -> DataFrame:
     """``df`` with ``island``, a number per key: rows whose start lies within ``within`` of the largest end so far
@@ -24,6 +26,12 @@ def with_buckets(df: DataFrame, start: str, end: str, size: float, name: str = "
     return df.withColumn(name, F.explode(F.sequence(F.floor(F.col(start) / size), F.floor(F.greatest(F.col(end), F.col(start)) / size))))
 
 
+def of_keys(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` whose keys ``others`` have. The distinct keys are written first, so Spark knows their size: where they are
+    few, the other rows go before any shuffle."""
+    return rows.join(written(others.select(*keys).distinct(), "keys"), keys, "left_semi")
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], ls: str, le: str, rs: str, re: str, size: float) -> DataFrame:
     """Pairs with ls < re and le > rs on equal keys. Both sides are dealt to buckets; a pair is
     emitted only in the bucket where the later of its starts lies, so none repeats."""
