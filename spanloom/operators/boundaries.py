@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from spanloom.functions.text import phonetic_code
 from spanloom.sources.files import written
 
+from .intervals import as_of
+
 # fixed values: phrases that end or open a talk, with their weights
 PHRASES_BEFORE = [(r"thank\s*you", 3), (r"round\s*of\s*applause", 4), (r"that'?s\s*(my|our)\s*time", 4), (r"any\s*questions", 2)]
 PHRASES_AFTER = [
@@ -144,10 +146,15 @@ def phonetic_name_join(names: DataFrame, words: DataFrame, code: Callable[[Colum
 
 
 def nearest_snap(targets: DataFrame, asked: DataFrame, radius_s: float = 3.0) -> DataFrame:
-    """(stream, asked_s, at_s, priority): the target within ``radius_s`` by priority, then distance, then time."""
-    t = targets.withColumn("_bucket", F.floor(F.col("at_s") / radius_s))
-    q = asked.withColumn("_bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("asked_s") / radius_s) + k)))
-    near = q.join(t, ["stream", "_bucket"]).where(F.abs(F.col("at_s") - F.col("asked_s")) <= radius_s)
+    """(stream, asked_s, at_s, priority): the target within ``radius_s`` by priority, then distance, then time.
+
+    Only the targets next before and after an asked time count, of each priority that its stream has (a few ranks): two
+    as-of joins, however dense the targets lie."""
+    keys = ["stream", "priority"]
+    points = asked.select("stream", "asked_s").distinct().join(targets.select(*keys).distinct(), "stream")
+    sides = as_of(points, targets.select(*keys, F.col("at_s").alias("_before")), keys, "asked_s", "_before")
+    sides = as_of(sides, targets.select(*keys, F.col("at_s").alias("_after")), keys, "asked_s", "_after", forward=True)
+    near = sides.select(*keys, "asked_s", F.explode(F.array("_before", "_after")).alias("at_s")).where(F.abs(F.col("at_s") - F.col("asked_s")) <= radius_s)
     order = F.struct("priority", F.abs(F.col("at_s") - F.col("asked_s")), "at_s")
     best = near.groupBy("stream", "asked_s").agg(F.min_by(F.struct("at_s", "priority"), order).alias("b"))
     return best.select("stream", "asked_s", "b.at_s", "b.priority")

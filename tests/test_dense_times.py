@@ -63,3 +63,24 @@ def test_zones_of_one_time_meet_segments_once(spark):
     segments = spark.range(N).select(F.lit("s").alias("stream"), F.col("id").alias("event_id"), (F.col("id") % 2 * 50 + 5.0).alias("start_s"), (F.col("id") % 2 * 50 + 15.0).alias("end_s"))
     got = S.zone_speech_chunks(zones, segments).groupBy("chunk", "start_s", "end_s").count().collect()
     assert [tuple(r) for r in got] == [(0, 10.0, 65.0, N)] and time.time() - t < 60
+
+
+def test_snaps_among_dense_targets(spark):
+    """20,000 targets within the radius of 200 asked times: the nearest of the best rank, without a pair of each."""
+    from spanloom.operators import boundaries as B
+
+    targets = spark.range(20_000).selectExpr("'s' AS stream", "id / 1000D AS at_s", "CAST(1 + id % 2 AS int) AS priority")
+    asked = spark.range(200).selectExpr("'s' AS stream", "id / 10D + 0.0005D AS asked_s")
+    rows = B.nearest_snap(targets.union(spark.sql("SELECT 't', 1D, 2")), asked.union(spark.sql("SELECT 't', 99D")), 30.0)
+    assert "_bucket" not in rows._sc._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "extended")
+    got = {r["asked_s"]: (r["at_s"], r["priority"]) for r in rows.collect()}
+    assert len(got) == 200 and all(abs(at - (a - 0.0005)) < 1e-9 and p == 1 for a, (at, p) in got.items())
+
+
+def test_rows_of_other_keys_go_before_the_shuffle(spark):
+    from spanloom.operators.intervals import of_keys
+
+    rows, spans = spark.range(1000).selectExpr("id % 100 AS doc_id", "id AS pos"), spark.createDataFrame([(3,), (3,), (500,)], "doc_id long")
+    kept = of_keys(rows, spans, ["doc_id"])
+    assert kept.count() == 10 and {r["doc_id"] for r in kept.collect()} == {3}
+    assert "Exchange hashpartitioning" not in rows._sc._jvm.PythonSQLUtils.explainString(kept._jdf.queryExecution(), "simple")
