@@ -163,11 +163,13 @@ def phrase_loop_zones(words: DataFrame, phrases: list[tuple[str, str, int]] = LO
     """
     longest = max(n for _, _, n in phrases)
     ahead = F.collect_list(F.struct("word", "end_ms")).over(W.partitionBy(key).orderBy("pos").rowsBetween(0, longest - 1))
-    rows = words.select(key, "pos", "start_ms", ahead.alias("ahead"))
+    # a window's words are joined once for each length of a phrase
+    said = {f"_said{n}": F.array_join(F.slice("ahead", 1, n)["word"], " ") for n in sorted({n for _, _, n in phrases})}
+    rows = words.select(key, "pos", "start_ms", ahead.alias("ahead")).withColumns(said)
     heard = []
     for pattern, name, n in phrases:
         part = F.slice("ahead", 1, n)
-        hit = F.array_join(F.transform(part, lambda x: x["word"]), " ").rlike(f"(?i){pattern}")
+        hit = F.col(f"_said{n}").rlike(f"(?i){pattern}")
         heard.append(F.when(hit, F.struct(F.element_at(part, -1)["end_ms"].alias("end_ms"), F.lit(name).alias("pattern"), F.lit(n).alias("n"))))
     found = rows.select(key, "pos", "start_ms", F.explode(F.array_compact(F.array(*heard))).alias("h")).select(key, "pos", "start_ms", "h.*")
     hits = found.groupBy(key, "pattern", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "start_ms", "end_ms"))).alias("hits"))

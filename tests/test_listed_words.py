@@ -85,3 +85,9 @@ def test_tokens_meet_times_by_number(spark):
     layers = spark.sql("SELECT 1L AS doc_id, 0 AS chunk, array(named_struct('pos', 0, 'byte_start', 0L, 'byte_end', 1L), named_struct('pos', 2, 'byte_start', 4L, 'byte_end', 5L)) AS tokens, array(named_struct('pos', 1, 'start_ms', 7L, 'end_ms', 8L), named_struct('pos', 2, 'start_ms', 9L, 'end_ms', 10L)) AS times")
     none = spark.createDataFrame([], "doc_id long, kind string, byte_start long, byte_end long, value string")
     assert [tuple(r) for r in P.layers_to_spans(layers, none).collect()] == [(1, "timestamp", 4, 5, "9000000-10000000")]
+
+
+def test_phrases_of_one_length_share_the_joined_words(spark):
+    rows = S.phrase_loop_zones(words_table(transcripts(spark)))
+    assert plan(rows).count("array_join(") == len({n for _, _, n in S.LOOP_PHRASES}) == 3 + 1
+    assert rows.count() == 0
