@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import slugify, tokenize_name
+from spanloom.sources.files import written
 
 from .sequence import fill_end_times, first_rows
 
@@ -51,14 +52,18 @@ def enrich_index(entries: DataFrame, concepts: DataFrame, concept_talks: DataFra
     best = [F.desc("n"), "talk"]
     top = lambda rows, keys, order, most: rows.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= most)
     listed = lambda rows, keys: rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "talk"))), lambda t: t["talk"]).alias("talks"))
+    entries = written(entries, "entries")
     terms = entries.groupBy("term").agg(F.count("*").alias("talks_n"), F.sum("n").alias("n"), F.max("proper").alias("proper"))
+    terms = written(terms, "terms")
     names = concepts.select("uri", "name", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array()))).alias("said"))
     related = names.select(F.explode(tokenize_name(F.col("said"))).alias("term"), "uri", "name").distinct()
 
     reached = related.join(concept_talks.select(F.col("concept_uri").alias("uri"), "talk").distinct(), "uri")
-    shared = entries.join(reached, ["term", "talk"]).join(terms.where(F.col("talks_n") >= least).select("term"), "term", "left_semi")
+    # an entry with its concepts that share a talk: read once for the subentries and once for the talks outside them
+    shared = written(entries.join(reached, ["term", "talk"]).join(terms.where(F.col("talks_n") >= least).select("term"), "term", "left_semi"), "shared")
     subs = listed(top(shared, ["term", "uri", "name"], best, 3), ["term", "uri", "name"])
     subs = top(subs, ["term"], [F.desc(F.size("talks")), "uri"], subentries).select("term", F.lit("subentry").alias("role"), "place", F.col("name").alias("label"), "talks", F.size("talks").cast("long").alias("n"))
+    subs = written(subs, "subentries")
     open_talks = entries.join(shared.select("term", "talk").distinct(), ["term", "talk"], "left_anti")
     own = terms.join(listed(top(open_talks, ["term"], best, talks), ["term"]), "term", "left")
     none = F.lit(None).cast("string")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import clean_token
-from spanloom.operators import index
+from spanloom.operators import catalog, index
 
 
 def test_bigram_pmi_reads_stored_counts(spark):
@@ -25,3 +25,12 @@ def test_clean_token_of_plain_words(spark):
     said = ["Word", "42", "it's", "'tis", "well-known-", "Ünder", "line\n", "s", "", None]
     rows = spark.createDataFrame([(w,) for w in said], "w string").select(clean_token(F.col("w"))).collect()
     assert [r[0] for r in rows] == ["word", "42", "it", "tis", "well-known", "nder", "line", "s", "", None]
+
+
+def test_enrich_index_reads_stored_steps(spark):
+    entries = spark.createDataFrame([("ring", False, k, 1) for k in range(4)], "term string, proper boolean, talk long, n long")
+    concepts = spark.createDataFrame([(1, "Red Ring", ["band"])], "uri long, name string, aliases array<string>")
+    talks = spark.createDataFrame([(1, 0), (1, 2)], "concept_uri long, talk long")
+    rows = catalog.enrich_index(entries, concepts, talks)
+    assert {"entries", "shared", "subentries"} <= {f.rsplit("/", 2)[-2].split("-")[0] for f in rows.inputFiles()}
+    assert {(r["role"], r["label"], tuple(r["talks"]), r["n"]) for r in rows.collect()} == {("entry", None, (1, 3), 4), ("subentry", "Red Ring", (0, 2), 2)}
