@@ -38,16 +38,20 @@ def name_parts(talks: DataFrame) -> DataFrame:
     return talks.select("stream", "talk", F.explode("speakers").alias("s")).select("stream", "talk", F.explode(F.split(F.lower(F.trim("s")), r"\s+")).alias("part")).where(F.length("part") >= 3).distinct()
 
 
+def sounds(said: DataFrame, parts: DataFrame, code: Callable | None = None) -> DataFrame:
+    """(word, part): words of ``said`` (word, cleaned) that sound like a part of a name, written once."""
+    names = parts.select(F.col("part").alias("name_id"), F.col("part").alias("name")).distinct()
+    return written(phonetic_name_join(names, said.distinct(), code), "sounds").select("word", F.col("name_id").alias("part"))
+
+
 def with_heard_parts(rows: DataFrame, parts: DataFrame, keys: list[str], said: str, code: Callable | None = None) -> DataFrame:
     """``rows`` with ``heard``, the parts of names (part) that a word of ``said`` (cleaned, distinct) sounds like, in place
     of ``said``. ``keys`` find rows; rows of equal keys keep their own words.
 
     A row has the few parts heard in it; a talk never has the words of the corpus that sound like its speakers.
     """
-    names = parts.select(F.col("part").alias("name_id"), F.col("part").alias("name")).distinct()
     each = rows.select(*keys, F.explode(said).alias("word"))
-    pairs = written(phonetic_name_join(names, each.select("word").distinct(), code), "sounds")
-    found = each.join(pairs, "word").groupBy(*keys).agg(F.collect_set(F.struct("word", F.col("name_id").alias("part"))).alias("_pairs"))
+    found = each.join(sounds(each.select("word"), parts, code), "word").groupBy(*keys).agg(F.collect_set(F.struct("word", "part")).alias("_pairs"))
     own = F.filter("_pairs", lambda p: F.array_contains(said, p["word"]))
     return rows.join(found, keys, "left").withColumn("heard", F.array_distinct(own["part"])).drop("_pairs", said)
 
@@ -66,18 +70,23 @@ def score_gap_talk_pairs(gaps: DataFrame, talks: DataFrame, within_s: float = 72
     word of five letters or more in the text there, from two on.
 
     ``gaps``: (stream, at_s, before, after), arrays of words; ``talks``: (stream, talk, title, speakers, due_s). Pairs are
-    gaps within ``within_s`` of a talk's planned start; both are dealt to buckets of that length.
+    gaps within ``within_s`` of a talk's planned start; both are dealt to buckets of that length. A gap's text is shuffled
+    once, to its bucket; a bucket's talks know the numbers of the gaps in which their names are heard.
     """
-    around = F.concat("before", "after")
-    g = gaps.select("stream", "at_s", F.lower(F.array_join(around, " ")).alias("_text"), F.array_distinct(F.transform(around, clean)).alias("_said"), F.floor(F.col("at_s") / within_s).alias("_bucket"))
-    parts = name_parts(talks)
-    # names and titles read the gaps' words several times
-    g = with_heard_parts(written(g, "gap-words"), parts, ["stream", "at_s"], "_said", code)
+    parts, at = name_parts(talks), ["stream", "_bucket"]
+    # names and titles read the gaps' words several times; numbers stay as they are, once written
+    g = gaps.select("stream", "at_s", F.concat("before", "after").alias("_words"), F.monotonically_increasing_id().alias("_gap"))
+    g = written(g, "gap-words").withColumn("_bucket", F.floor(F.col("at_s") / within_s))
+    each = g.select(*at, "_gap", F.explode(F.array_distinct(F.transform("_words", clean))).alias("word"))
+    heard = each.join(sounds(each.select("word"), parts, code), "word").groupBy(*at).agg(F.collect_set(F.struct("_gap", "part")).alias("_heard"))
+    g = g.select(*at, "at_s", "_gap", F.lower(F.array_join("_words", " ")).alias("_text"))
     title = F.filter(F.split(F.lower("title"), r"\s+"), lambda w: (F.length(w) > 4) & ~w.isin(*COMMON_TITLE_WORDS))
     own = parts.groupBy("stream", "talk").agg(F.collect_set("part").alias("_parts"))
     t = talks.join(own, ["stream", "talk"], "left").select("stream", "talk", "due_s", "_parts", title.alias("_title"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("due_s") / within_s) + k)).alias("_bucket"))
-    pairs = t.join(g, ["stream", "_bucket"]).where(F.abs(F.col("at_s") - F.col("due_s")) <= within_s)
-    named = F.when(F.coalesce(F.arrays_overlap("_parts", "heard"), F.lit(False)), 10).otherwise(0)
+    mine = F.filter("_heard", lambda h: F.array_contains("_parts", h["part"]))["_gap"]
+    t = t.join(heard, at, "left").withColumn("_named", mine).drop("_heard", "_parts")
+    pairs = t.join(g, at).where(F.abs(F.col("at_s") - F.col("due_s")) <= within_s)
+    named = F.when(F.coalesce(F.array_contains("_named", F.col("_gap")), F.lit(False)), 10).otherwise(0)
     pairs = pairs.withColumn("_n", F.size(F.filter(F.coalesce("_title", F.expr("cast(array() as array<string>)")), lambda w: F.contains(F.col("_text"), w))))
     scored = pairs.select("stream", "talk", "at_s", (named + F.when(F.col("_n") >= 2, 3 * F.col("_n")).otherwise(0)).cast("long").alias("bonus"))
     return scored.where("bonus > 0")
