@@ -330,13 +330,20 @@ def sentence_rows(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.where("text <> ''")
 
 
-def replace_in_zones(words: DataFrame, zones: DataFrame, new: DataFrame, key: str = "doc_id", start: str = "start_ms", end: str = "end_ms", size: float = 60_000) -> DataFrame:
+def replace_in_zones(words: DataFrame, zones: DataFrame, new: DataFrame, key: str = "doc_id", start: str = "start_ms", end: str = "end_ms") -> DataFrame:
     """(key, pos, word, start, end): words that overlap a zone (key, start, end) give way to the ``new`` words (key, word,
-    start, end), and all are numbered again in the order of their starts; on ties old words come first, in their order."""
-    spans = zones.select(key, F.col(start).alias("_zs"), F.col(end).alias("_ze"))
-    hit = overlap_join(words.select(key, "pos", start, end), spans, [key], start, end, "_zs", "_ze", size).select(key, "pos").distinct()
-    kept = words.join(hit, [key, "pos"], "left_anti").select(key, F.lit(0).alias("_new"), F.col("pos").cast("long").alias("_pos"), "word", start, end)
-    both = kept.unionByName(new.select(key, F.lit(1).alias("_new"), F.lit(0).cast("long").alias("_pos"), "word", start, end))
+    start, end), and all are numbered again in the order of their starts; on ties old words come first, in their order.
+
+    Words, new words and zones come to their key in one shuffle. A word overlaps a zone if the largest end of the zones
+    that start before its end lies behind its start.
+    """
+    row = lambda rows, kind, pos, word: rows.select(key, F.lit(kind).alias("_new"), pos.cast("long").alias("_pos"), word.cast("string").alias("word"), start, end)
+    spans = zones.where(F.col(key).isNotNull() & F.col(start).isNotNull())
+    rows = row(words, 0, F.col("pos"), F.col("word")).unionByName(row(new, 1, F.lit(0), F.col("word"))).unionByName(row(spans, 2, F.lit(0), F.lit(None))).repartition(key)
+    zone = F.col("_new") == 2
+    before = W.partitionBy(key).orderBy(F.when(zone, F.col(start)).otherwise(F.col(end)), "_new").rowsBetween(*BEFORE)
+    rows = rows.withColumn("_far", F.max(F.when(zone, F.col(end))).over(before))
+    both = rows.where((F.col("_new") == 1) | ((F.col("_new") == 0) & ~F.coalesce(F.col("_far") > F.col(start), F.lit(False))))
     place = F.row_number().over(W.partitionBy(key).orderBy(start, "_new", "_pos", end, "word")) - 1
     return both.select(key, place.cast("int").alias("pos"), "word", start, end)
 

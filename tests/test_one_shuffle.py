@@ -34,3 +34,20 @@ def test_texts_of_gaps_are_shuffled_once(spark, shuffled):
     rows = T.score_gap_talk_pairs(gaps, talks, 1000.0, F.upper)
     assert sum("array_join(_words" in x.partition("Exchange")[0] for x in planned(rows).split("Exchange ")) == 1
     assert sorted((r["talk"], r["at_s"], r["bonus"]) for r in rows.collect()) == [("a", 100.0, 6), ("a", 100.0, 10), ("a", 9000.0, 10), ("b", 100.0, 10)]
+
+
+def test_words_in_zones_are_shuffled_once(spark, shuffled):
+    """Zones that overlap, touch, turn round and lack a place; words without times, of no length and of equal starts."""
+    said = [(1, k, f"w{k}", a, b) for k, (a, b) in enumerate([(0, 5), (5, 9), (10, 10), (12, 20), (12, 13), (30, 31), (None, None), (40, 60)])]
+    said += [(2, 0, "x", 0, 5), (None, 0, "y", 0, 5)]
+    cuts = [(1, 5, 7), (1, 9, 11), (1, 6, 6), (1, 13, 30), (1, 55, 50), (1, None, 99), (3, 0, 9), (None, 0, 9)]
+    words = spark.createDataFrame(said, WORDS)
+    zones = spark.createDataFrame(cuts, "doc_id long, start_ms long, end_ms long")
+    new = spark.createDataFrame([(1, "new", 12, 12), (3, "new", 1, 2)], "doc_id long, word string, start_ms long, end_ms long")
+    rows = S.replace_in_zones(words, zones, new)
+    assert shuffled(rows) == 1
+    over = lambda w, z: None not in (w[0], *w[3:], *z) and w[0] == z[0] and w[3] < z[2] and w[4] > z[1]
+    kept = [(w[0], 0, w[1], w[2]) for w in said if not any(over(w, z) for z in cuts)]
+    got = [(r["doc_id"], r["word"]) for r in rows.collect()]
+    assert sorted(got, key=str) == sorted([*[(k[0], k[3]) for k in kept], (1, "new"), (3, "new")], key=str)
+    assert [r["word"] for r in rows.where("doc_id = 1").orderBy("pos").collect()] == ["w6", "w0", "w4", "new", "w5"]
