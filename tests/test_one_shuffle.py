@@ -51,3 +51,9 @@ def test_words_in_zones_are_shuffled_once(spark, shuffled):
     got = [(r["doc_id"], r["word"]) for r in rows.collect()]
     assert sorted(got, key=str) == sorted([*[(k[0], k[3]) for k in kept], (1, "new"), (3, "new")], key=str)
     assert [r["word"] for r in rows.where("doc_id = 1").orderBy("pos").collect()] == ["w6", "w0", "w4", "new", "w5"]
+
+
+def test_streamed_words_need_no_python(spark):
+    rows = A.streamed_words(spark, SF, 3.0, 1.5)
+    assert "MapInArrow" not in planned(rows)
+    assert rows.select("word").exceptAll(A.words(spark, SF).select("word")).count() == 0 and rows.count() == A.words(spark, SF).count()
