@@ -176,13 +176,21 @@ def garbled_until(words: DataFrame, window: int = 10, least_s: float = 60.0, key
 
 def paragraph_breaks(words: DataFrame, sentences: DataFrame, pause_ms: int = 2000, within: int = 5, key: str = "doc_id") -> DataFrame:
     """(key, paragraph, byte_start, byte_end): a pause of ``pause_ms`` or more breaks at the nearest sentence start within
-    ``within`` words (the earlier on ties), never at the first. Sentences and words share byte places."""
-    starts = sentences.join(words.select(key, F.col("byte_start"), F.col("pos").alias("_w")), [key, "byte_start"]).select(key, "ordinal", "_w")
-    ordered = W.partitionBy(key).orderBy("pos")
-    pauses = words.select(key, F.col("pos").alias("_p"), (F.col("start_ms") - F.lag("end_ms").over(ordered)).alias("_gap")).where(F.col("_gap") >= pause_ms)
-    spread = pauses.withColumn("_w", F.explode(F.sequence(F.col("_p") - within, F.col("_p") + within)))
+    ``within`` words (the earlier on ties), never at the first. Sentences and words share byte places.
+
+    Words, or lists of them (``timing.word_lists``), are looked at in a key's row, so only those around a pause are joined."""
+    from .sequence import listed
+
+    lists = listed(words, key, ["byte_start", "start_ms", "end_ms"]).where("size(ws) > 1")
+    at = F.filter(F.sequence(F.lit(1), F.size("ws") - 1), lambda i: F.get("ws", i)["start_ms"] - F.get("ws", i - 1)["end_ms"] >= pause_ms)
+
+    def around(i: Column) -> Column:
+        first = F.greatest(i - within, F.lit(0))
+        return F.transform(F.slice("ws", first + 1, i - first + within + 1), lambda w: F.struct(F.get("ws", i)["pos"].alias("_p"), w["pos"].alias("_w"), w["byte_start"].alias("byte_start")))
+
+    spread = lists.select(key, F.explode(F.flatten(F.transform(at, around))).alias("x")).select(key, "x.*").where(F.abs(F.col("_w") - F.col("_p")) <= within)
     first = sentences.groupBy(key).agg(F.min("ordinal").alias("_first"))
-    near = spread.join(starts, [key, "_w"]).join(first, key).where(F.col("ordinal") > F.col("_first"))
+    near = spread.join(sentences.select(key, "ordinal", "byte_start"), [key, "byte_start"]).join(first, key).where(F.col("ordinal") > F.col("_first"))
     chosen = near.groupBy(key, "_p").agg(F.min_by("ordinal", F.struct(F.abs(F.col("_w") - F.col("_p")), "ordinal")).alias("ordinal")).select(key, "ordinal").distinct()
     rows = sentences.join(chosen.withColumn("_b", F.lit(1)), [key, "ordinal"], "left")
     number = F.sum(F.coalesce("_b", F.lit(0))).over(W.partitionBy(key).orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0))

@@ -57,3 +57,13 @@ def test_streamed_words_need_no_python(spark):
     rows = A.streamed_words(spark, SF, 3.0, 1.5)
     assert "MapInArrow" not in planned(rows)
     assert rows.select("word").exceptAll(A.words(spark, SF).select("word")).count() == 0 and rows.count() == A.words(spark, SF).count()
+
+
+def test_only_words_near_pauses_are_joined(spark, shuffled):
+    text, times = " ".join("abcdefgh"), [0, 5, 0, 5, 3000, 5, 0, 5, 0, 5, 2500, 5, 0, 5, 2000, 5]
+    docs = spark.createDataFrame([(1, text, 0, times, "pairs"), (2, "a", 0, [0, 5], "pairs"), (3, None, 0, [], "pairs")], "doc_id long, text string, start_ms long, timings array<long>, encoding string")
+    sentences = spark.createDataFrame([(1, 0, 0, 1), (1, 1, 2, 7), (1, 2, 8, 13), (1, 3, 14, 15), (2, 0, 0, 1)], "doc_id long, ordinal long, byte_start long, byte_end long")
+    rows = B.paragraph_breaks(word_lists(docs), sentences, within=1)
+    assert planned(rows).count("MapInArrow") == 1
+    want = [(1, 0, 0, 1), (1, 1, 2, 7), (1, 2, 8, 13), (1, 3, 14, 15), (2, 0, 0, 1)]
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, B.paragraph_breaks(words_table(docs), sentences, within=1).collect())) == want
