@@ -67,3 +67,16 @@ def test_only_words_near_pauses_are_joined(spark, shuffled):
     assert planned(rows).count("MapInArrow") == 1
     want = [(1, 0, 0, 1), (1, 1, 2, 7), (1, 2, 8, 13), (1, 3, 14, 15), (2, 0, 0, 1)]
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, B.paragraph_breaks(words_table(docs), sentences, within=1).collect())) == want
+
+
+def test_words_under_spans_are_shuffled_once(spark, shuffled):
+    """Spans of one kind may overlap and lie in any order; the first by number that holds the word counts."""
+    words = spark.createDataFrame([(d, k, 10 * k, 10 * k + 9) for d in (1, 2) for k in range(30)] + [(3, 0, None, None)], "doc_id long, pos int, byte_start long, byte_end long")
+    spans = "doc_id long, ordinal int, byte_start long, byte_end long"
+    a = [(1, k, 290 - 20 * k, 330 - 20 * k) for k in range(15)] + [(1, 99, 0, 299)]
+    b = [(1, 5, 0, 100), (1, 2, 50, 299), (2, 1, 3, 8), (2, 0, 9, 9)]
+    rows = P.span_hierarchy(words, spark.createDataFrame(a, spans), spark.createDataFrame(b, spans), size=64)
+    assert shuffled(rows) == 2  # words, and spans of both kinds
+    first = lambda w, xs: min([x[1] for x in xs if x[0] == w["doc_id"] and w["byte_start"] is not None and x[2] <= w["byte_start"] and x[3] >= w["byte_end"]], default=-1)
+    want = sorted((w["doc_id"], w["pos"], first(w, a), first(w, b)) for w in words.collect())
+    assert sorted(map(tuple, rows.collect())) == want
