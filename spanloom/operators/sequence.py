@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .intervals import containment_join, islands, overlap_join
+from .intervals import containment_join, islands
 
 BEFORE = (W.unboundedPreceding, 0)
 
@@ -348,27 +348,76 @@ def replace_in_zones(words: DataFrame, zones: DataFrame, new: DataFrame, key: st
     return both.select(key, place.cast("int").alias("pos"), "word", start, end)
 
 
-def zone_speech_chunks(zones: DataFrame, diarization: DataFrame, gap_s: float = 5.0, most_s: float = 1200.0, size: float = 300.0) -> DataFrame:
+def _chunks_of_zones(start, end, zones, gap_s: float, most_s: float):
+    """For zones (a, b) in the order of a: lists of chunks (start, end) of the segments given in order as arrays.
+
+    Segments that start in a zone are a slice, and their blocks those of the whole stream but for the ends, so a zone costs
+    its blocks, not its segments. Of the segments that reach into it only the last one counts; a stack holds those that may
+    be. Where a segment or zone ends before it starts, a zone looks at all segments.
+    """
+    import numpy as np
+
+    fresh = np.flatnonzero(start[1:] - end[:-1] >= gap_s) + 1
+    odd = bool((end <= start).any()) or any(b <= a for a, b in zones)
+    reach, done = [], 0  # segments whose end no later one's reaches
+    for a, b in zones:
+        if odd:
+            own = np.flatnonzero((start < b) & (end > a))
+            s, e = np.maximum(start[own], a), np.minimum(end[own], b)
+            first = np.append(0, np.flatnonzero(s[1:] - e[:-1] >= gap_s) + 1) if len(own) else own
+            blocks = [(s[i], e[j - 1]) for i, j in zip(first, np.append(first[1:], len(own))[: len(first)], strict=True)]
+        else:
+            lo, hi = np.searchsorted(start, [a, b])
+            for i in range(done, lo):
+                while reach and end[reach[-1]] <= end[i]:
+                    reach.pop()
+                reach.append(i)
+            done = max(done, int(lo))
+            while reach and end[reach[-1]] <= a:
+                reach.pop()
+            cuts = fresh[np.searchsorted(fresh, lo, "right") : np.searchsorted(fresh, hi)]
+            first, last = np.append(lo, cuts), np.append(cuts, hi) - 1
+            blocks = list(zip(start[first], np.minimum(end[last], b), strict=True)) if lo < hi else []
+            if reach:
+                e = min(end[reach[-1]], b)
+                blocks = [(a, blocks[0][1]), *blocks[1:]] if blocks and blocks[0][0] - e < gap_s else [(a, e), *blocks]
+        out = []
+        for s, e in blocks:
+            if out and e - out[-1][0] <= most_s:
+                out[-1] = (out[-1][0], e)
+            else:
+                out.append((s, e))
+        yield out
+
+
+def zone_speech_chunks(zones: DataFrame, diarization: DataFrame, gap_s: float = 5.0, most_s: float = 1200.0) -> DataFrame:
     """(stream, zone, chunk, start_s, end_s): speech inside a zone (stream, zone, zone_start, zone_end), clamped to it,
     joined at gaps under ``gap_s`` and packed in order into spans of at most ``most_s``; a longer block stays whole.
-    Zones of one start and end meet the segments once."""
+
+    A stream's segments are shuffled and sorted once, and no pair of a zone and a segment is made (``_chunks_of_zones``).
+    Zones of one start and end are looked at once. A stream's segments must fit in a Python worker, three numbers each.
+    """
     key = ["stream", "zone_start", "zone_end"]
-    inside = overlap_join(diarization.select("stream", *SPEECH, "end_s"), zones.select(*key).distinct(), ["stream"], "start_s", "end_s", "zone_start", "zone_end", size)
-    clamped = inside.select(*key, "event_id", F.greatest("start_s", "zone_start").alias("start_s"), F.least("end_s", "zone_end").alias("end_s"), F.col("start_s").alias("_order"))
-    ordered = W.partitionBy(*key).orderBy("_order", "event_id")
-    fresh = F.when(F.col("start_s") - F.lag("end_s").over(ordered) < gap_s, 0).otherwise(1)
-    rows = clamped.withColumn("_f", fresh).withColumn("block", F.sum("_f").over(ordered.rowsBetween(*BEFORE)))
-    place = F.struct("_order", "event_id")
-    blocks = rows.groupBy(*key, "block").agg(F.min_by("start_s", place).alias("s"), F.max_by("end_s", place).alias("e"))
-    listed = blocks.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("block", "s", "e"))).alias("bs"))
-    empty = F.expr("cast(array() as array<struct<start_s: double, end_s: double>>)")
-
-    def pack(out, b):
-        top = F.try_element_at(out, F.lit(-1))
-        one = F.array(F.struct(b["s"].cast("double").alias("start_s"), b["e"].cast("double").alias("end_s")))
-        longer = F.array(F.struct(top["start_s"].alias("start_s"), b["e"].cast("double").alias("end_s")))
-        fits = (F.size(out) > 0) & (b["e"] - top["start_s"] <= most_s)
-        return F.when(fits, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), longer)).otherwise(F.concat(out, one))
-
-    chunks = listed.select(*key, F.aggregate("bs", empty, pack).alias("cs"))
-    return zones.select("zone", *key).distinct().join(chunks, key).select("stream", "zone", F.posexplode("cs").alias("chunk", "c")).select("stream", "zone", "chunk", "c.start_s", "c.end_s")
+    number = lambda c: F.col(c).cast("double").alias(c)
+    asked = zones.select(*key).distinct().dropna()
+    heard = diarization.select("stream", F.col("event_id"), number("start_s"), number("end_s")).dropna(subset=["stream", "start_s", "end_s"])
+
+    def chunked(segments, own):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        segments = segments.take(pc.sort_indices(segments, sort_keys=[("start_s", "ascending"), ("event_id", "ascending")], null_placement="at_start"))
+        start, end = (segments.column(c).to_numpy() for c in ("start_s", "end_s"))
+        own = own.sort_by("zone_start")
+        bounds = list(zip(own.column("zone_start").cast("double").to_pylist(), own.column("zone_end").cast("double").to_pylist(), strict=True))
+        rows = [(n, k, float(s), float(e)) for n, found in enumerate(_chunks_of_zones(start, end, bounds, gap_s, most_s)) for k, (s, e) in enumerate(found)]
+        at, chunk, s, e = zip(*rows, strict=True) if rows else ((),) * 4
+        out = own.select(key).take(pa.array(at, pa.int64()))
+        for name, column in (("chunk", pa.array(chunk, pa.int32())), ("start_s", pa.array(s, pa.float64())), ("end_s", pa.array(e, pa.float64()))):
+            out = out.append_column(name, column)
+        return out
+
+    kinds = dict(zones.dtypes)
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in key], "chunk int", "start_s double", "end_s double"])
+    chunks = heard.groupBy("stream").cogroup(asked.groupBy("stream")).applyInArrow(chunked, schema)
+    return zones.select("zone", *key).distinct().join(chunks, key).select("stream", "zone", "chunk", "start_s", "end_s")
