@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import phonetic_code
-from spanloom.sources.files import written
+from spanloom.sources.files import small, written
 
 from .intervals import as_of, containment_join
 from .sequence import first_rows
@@ -51,6 +51,16 @@ def speaker_parts(talks: DataFrame) -> DataFrame:
     return parts.where(F.length("part") >= 3).distinct()
 
 
+def window_texts(heard: DataFrame, keys: list[str], size: int = 500) -> DataFrame:
+    """(``keys``, text): words (pos, word) joined in order. They are numbered by a sort, which spills, and joined by ``size``
+    before a text's parts meet: a crowded window has hundreds of thousands, too many for one list of structs."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("pos", "word"))
+    parts = heard.where("word is not null").withColumn("_part", F.floor((place - 1) / size)).groupBy(*keys, "_part")
+    parts = parts.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda w: w["word"]), " ").alias("_text"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_part", "_text"))), lambda p: p["_text"]), " ")
+    return parts.groupBy(*keys).agg(text.alias("text"))
+
+
 def segment_signals(words: DataFrame, segments: DataFrame, talks: DataFrame, code: Coder = sounds, intro_s: float = 120.0, before_s: float = 60.0) -> DataFrame:
     """(stream, segment, source, name): names said in introductions (self-intro) and before them (mc-handoff), names of
     the schedule that sound like a word of either (name-scan), and the words of the introduction (topic).
@@ -62,10 +72,11 @@ def segment_signals(words: DataFrame, segments: DataFrame, talks: DataFrame, cod
     keys = ["stream", "segment"]
     intro = segments.select(*keys, F.lit("intro").alias("window"), F.col("start_s").alias("_from"), F.least(F.col("start_s") + intro_s, "end_s").alias("_to"))
     before = segments.select(*keys, F.lit("before").alias("window"), F.greatest(F.col("start_s") - before_s, F.lit(0.0)).alias("_from"), F.col("start_s").alias("_to"))
-    heard = containment_join(words.select("stream", "pos", "word", "start_s", "end_s"), intro.union(before), ["stream"], "start_s", "end_s", "_from", "_to", intro_s)
+    windows = small(written(intro.union(before), "windows"))
+    heard = containment_join(words.select("stream", "pos", "word", "start_s", "end_s"), windows, ["stream"], "start_s", "end_s", "_from", "_to", intro_s)
     # all below read the words of the windows, a small part of the stream's, several times: the words themselves are read once
     heard = written(heard.select(*keys, "window", "pos", "word"), "heard")
-    texts = heard.groupBy(*keys, "window").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda w: w["word"]), " ").alias("text"))
+    texts = window_texts(heard, [*keys, "window"])
     named = lambda source, names: F.transform(names, lambda n: F.struct(F.lit(source).alias("source"), n.alias("name")))
     found = [F.when(F.col("window") == window, named(source, F.regexp_extract_all("text", F.lit(p), 1))) for source, window, p in SAID]
     found.append(F.when((F.col("window") == "before") & F.col("text").rlike(r"(?i)\bsetting up next\b"), F.array(F.struct(F.lit("mc-handoff").alias("source"), F.lit("").alias("name")))))
@@ -222,11 +233,11 @@ def reconcile(matches: DataFrame, segments: DataFrame, talks: DataFrame, zones:
 def detect_boundaries(words: DataFrame, diarization: DataFrame, talks: DataFrame, lengths: DataFrame, code: Coder = sounds) -> DataFrame:
     """The whole chain: garbage zones, segments of speech, matches in two passes, reconciled with the schedule. Each
     stage is written to the shared folder, as the next ones read it several times."""
-    from .sequence import speech_blocks
+    from .sequence import may_loop, speech_blocks
     from .sequence import talk_segments as cut
     from .spans import zones_of
 
-    zones = zones_of(words, diarization)
+    zones = zones_of(words, diarization, may_loop(words, key="stream"))
     segments = written(cut(speech_blocks(diarization)), "segments")
     signals = written(segment_signals(words, segments, talks, code), "signals")
     first = written(match_segments(signals, segments, talks, code), "matches")
