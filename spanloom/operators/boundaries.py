@@ -49,28 +49,38 @@ def speaker_change_score(before: Column, after: Column) -> Column:
     return F.when(~known, 0).when(_main(a) != _main(b), F.when(common == 0, 15).otherwise(12)).when(common < least * 0.5, 8).otherwise(0)
 
 
-def confidence_penalty(gaps: DataFrame, asr: DataFrame, around_s: float = 30.0) -> DataFrame:
-    """(stream, at_s, penalty): 3 for each segment of low log-probability within ``around_s`` (10 at most) and 2 for
-    each without speech (8 at most), below zero. Gaps and segments meet in buckets of time."""
+def _near_doubts(gaps: DataFrame, asr: DataFrame, around_s: float = 30.0) -> DataFrame:
+    """(stream, at_s, a, b): the two parts of ``confidence_penalty``, above zero, for the gaps that have any. Gaps and
+    segments meet in buckets of time."""
     size = 2 * around_s
     low, silent = F.col("avg_logprob") < -1, F.col("no_speech_prob") > 0.5
     bad = asr.where(low | silent).select("stream", "start_s", "end_s", F.coalesce(low, F.lit(False)).alias("low"), F.coalesce(silent, F.lit(False)).alias("silent"))
     bad = bad.withColumn("_bucket", F.floor(F.col("start_s") / size))
     spread = gaps.select("stream", "at_s").withColumn("_bucket", F.explode(F.sequence(F.floor((F.col("at_s") - around_s) / size), F.floor((F.col("at_s") + around_s) / size))))
     near = spread.join(bad, ["stream", "_bucket"]).where((F.col("start_s") >= F.col("at_s") - around_s) & (F.col("end_s") <= F.col("at_s") + around_s))
-    sums = near.groupBy("stream", "at_s").agg(F.least(F.lit(10), 3 * F.count_if("low")).alias("a"), F.least(F.lit(8), 2 * F.count_if("silent")).alias("b"))
-    return gaps.select("stream", "at_s").join(sums, ["stream", "at_s"], "left").select("stream", "at_s", (-(F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0)))).cast("long").alias("penalty"))
+    return near.groupBy("stream", "at_s").agg(F.least(F.lit(10), 3 * F.count_if("low")).alias("a"), F.least(F.lit(8), 2 * F.count_if("silent")).alias("b"))
+
+
+def _penalty() -> Column:
+    return (-(F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0)))).cast("long")
+
+
+def confidence_penalty(gaps: DataFrame, asr: DataFrame, around_s: float = 30.0) -> DataFrame:
+    """(stream, at_s, penalty): 3 for each segment of low log-probability within ``around_s`` (10 at most) and 2 for
+    each without speech (8 at most), below zero."""
+    return gaps.select("stream", "at_s").join(_near_doubts(gaps, asr, around_s), ["stream", "at_s"], "left").select("stream", "at_s", _penalty().alias("penalty"))
 
 
-def score_gaps(words: DataFrame, asr: DataFrame, least_s: float = 3.0) -> DataFrame:
+def score_gaps(words: DataFrame, asr: DataFrame, least_s: float = 3.0, each: Callable[[Column], Column] = lambda w: w) -> DataFrame:
     """(stream, at_s, gap_s, score, before, after) of gaps in words (stream, pos, word, start_s, end_s, speaker), or in
-    lists of them (stream, ws)."""
+    lists of them (stream, ws), whose structs ``each`` may make of other ones where they are needed."""
     from .sequence import with_context
 
-    rows = with_context(words if "ws" in words.columns else words.select("stream", "pos", "word", "start_s", "end_s", "speaker"), "start_s", "end_s", least_s, 20, 30, "stream", ["start_s"])
+    rows = with_context(words if "ws" in words.columns else words.select("stream", "pos", "word", "start_s", "end_s", "speaker"), "start_s", "end_s", least_s, 20, 30, "stream", ["start_s"], each, ["word", "speaker"])
     rows = rows.select("stream", F.col("start_s").alias("at_s"), F.col("gap").alias("gap_s"), F.array_join("past.word", " ").alias("before"), F.array_join("ahead.word", " ").alias("after"), F.array_compact("past.speaker").alias("sb"), F.array_compact("ahead.speaker").alias("sa"))
     scored = rows.withColumn("score", transition_score(F.col("gap_s"), F.col("before"), F.col("after")) + speaker_change_score(F.col("sb"), F.col("sa")))
-    return scored.join(confidence_penalty(rows, asr), ["stream", "at_s"], "left").select("stream", "at_s", "gap_s", (F.col("score") + F.coalesce("penalty", F.lit(0))).alias("score"), "before", "after")
+    # gaps without doubtful segments nearby needn't be joined twice
+    return scored.join(_near_doubts(rows, asr), ["stream", "at_s"], "left").select("stream", "at_s", "gap_s", (F.col("score") + _penalty()).alias("score"), "before", "after")
 
 
 def first_talk_start(gaps: DataFrame, usable: DataFrame, bonus: DataFrame | None = None, within_s: float = 2700.0) -> DataFrame:

@@ -6,6 +6,8 @@ of one key are sorted together, so a key must fit in a task's sort, which spills
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,17 +34,19 @@ def listed(words: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return words.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", *columns))).alias("ws"))
 
 
-def with_context(words: DataFrame, start: str, end: str, least: float, before: int, after: int, key: str, columns: list[str]) -> DataFrame:
+def with_context(words: DataFrame, start: str, end: str, least: float, before: int, after: int, key: str, columns: list[str], each: Callable[[Column], Column] = lambda w: w, fields: list[str] | None = None) -> DataFrame:
     """(key, ``columns``, gap, past, ahead) at gaps of ``least`` or more: the words before and after as arrays of structs.
 
-    A key's words are listed once, in order, and the list is cut at its gaps alone; the list itself isn't repeated.
+    A key's words are listed once, in order, and the list is cut at its gaps alone; the list itself isn't repeated. ``each``
+    makes the struct of a listed word: of all words only the times are made, and for those in a context ``fields``, or all.
     """
     lists = listed(words, key, [c for c in words.columns if c not in (key, "pos")])
-    at = F.filter(F.sequence(F.lit(1), F.size("ws") - 1), lambda i: F.get("ws", i)[start] - F.get("ws", i - 1)[end] >= least)
+    at = F.filter(F.sequence(F.lit(1), F.size("ws") - 1), lambda i: each(F.get("ws", i))[start] - each(F.get("ws", i - 1))[end] >= least)
 
     def cut(i: Column) -> Column:
-        own, last, first = F.get("ws", i), F.get("ws", i - 1), F.greatest(i - before, F.lit(0))
-        return F.struct(*[own[c].alias(c) for c in columns], (own[start] - last[end]).alias("gap"), F.slice("ws", first + 1, i - first).alias("past"), F.slice("ws", i + 1, F.lit(after)).alias("ahead"))
+        own, last, first = each(F.get("ws", i)), each(F.get("ws", i - 1)), F.greatest(i - before, F.lit(0))
+        made = lambda part: F.transform(part, lambda w: each(w) if fields is None else F.struct(*[each(w)[f].alias(f) for f in fields]))
+        return F.struct(*[own[c].alias(c) for c in columns], (own[start] - last[end]).alias("gap"), made(F.slice("ws", first + 1, i - first)).alias("past"), made(F.slice("ws", i + 1, F.lit(after))).alias("ahead"))
 
     return lists.where("size(ws) > 1").select(key, F.explode(F.transform(at, cut)).alias("g")).select(key, "g.*")
 

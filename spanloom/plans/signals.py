@@ -16,22 +16,19 @@ from .registry import query
 from .timed import RUNS
 
 
-def words(spark, d):
-    """(stream, ws) of (pos, word, start_s, end_s, speaker): three speakers take turns of some sixty words; some words have none."""
-
-    def each(w):
-        pos = w["pos"]
-        turn = (F.floor(pos / (40 + F.col("doc_id") % 5 * 10)) + F.col("doc_id")) % 3 + 1
-        speaker = F.when(pos % 10 != 7, F.element_at(F.array(*map(F.lit, ("ann", "bo", "cy"))), F.when(pos % 17 == 0, 1).otherwise(turn).cast("int")))
-        return F.struct(pos.alias("pos"), w["word"].alias("word"), (w["start_ms"] / 64).alias("start_s"), (w["end_ms"] / 64).alias("end_s"), speaker.alias("speaker"))
-
-    return A.listed_words(spark, d).select(F.col("doc_id").alias("stream"), F.transform("ws", each).alias("ws"))
+def word(w):
+    """A listed word as (pos, word, start_s, end_s, speaker): three speakers take turns of some sixty words; some words have none."""
+    pos = w["pos"]
+    turn = (F.floor(pos / (40 + F.col("stream") % 5 * 10)) + F.col("stream")) % 3 + 1
+    speaker = F.when(pos % 10 != 7, F.element_at(F.array(*map(F.lit, ("ann", "bo", "cy"))), F.when(pos % 17 == 0, 1).otherwise(turn).cast("int")))
+    return F.struct(pos.alias("pos"), w["word"].alias("word"), (w["start_ms"] / 64).alias("start_s"), (w["end_ms"] / 64).alias("end_s"), speaker.alias("speaker"))
 
 
 def asr(rows):
     """Each eleventh word as a recognized segment of more or less confidence."""
-    each = rows.select("stream", F.explode(F.filter("ws", lambda w: w["pos"] % 11 == 0)).alias("w")).select("stream", "w.*")
-    return each.select("stream", "start_s", "end_s", (-(F.col("pos") % 5) / 2).alias("avg_logprob"), ((F.col("pos") + 3) % 10 / 10).alias("no_speech_prob"))
+    pos = F.col("w.pos")
+    each = rows.select("stream", F.explode(F.filter("ws", lambda w: w["pos"] % 11 == 0)).alias("w"))
+    return each.select("stream", (F.col("w.start_ms") / 64).alias("start_s"), (F.col("w.end_ms") / 64).alias("end_s"), (-(pos % 5) / 2).alias("avg_logprob"), ((pos + 3) % 10 / 10).alias("no_speech_prob"))
 
 
 def _most(speakers: str) -> str:
@@ -55,8 +52,8 @@ FROM s LEFT JOIN p ON p.stream = s.stream AND p.at_s = s.at_s"""
 
 @query(V(GAP_SCORES, "words"))
 def score_gaps(spark, d):
-    rows = words(spark, d)
-    return B.score_gaps(rows, asr(rows))
+    rows = A.listed_words(spark, d).withColumnRenamed("doc_id", "stream")
+    return B.score_gaps(rows, asr(rows), each=word)
 
 
 ZONES = (
